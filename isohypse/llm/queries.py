@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import ngram_join, packing, tokens
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op6_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(read(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_bpe_encode_decode, op6_token_ids_orc)}
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_bpe_encode_decode, op6_token_ids_orc, op8_ngram_jaccard_join)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -19,10 +19,9 @@ END_ID = 1
 def token_batches(rows, path: str, forms, text: str = "text"):
     """For each Arrow batch, in parts of bounded bytes: the part and its texts' forms."""
     for batch in rows:
-        column = batch.column(batch.schema.get_field_index(text))
-        size = np.diff(np.asarray(column.offsets)) if hasattr(column, "offsets") else np.diff(views(column)[0])
-        for part in batches(batch, size, BATCH_BYTES):
-            yield part, bpe.encode_texts(path, part.column(batch.schema.get_field_index(text)), forms)
+        at = batch.schema.get_field_index(text)
+        for part in batches(batch, np.diff(views(batch.column(at))[0]), BATCH_BYTES):
+            yield part, bpe.encode_texts(path, part.column(at), forms)
 
 
 def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
