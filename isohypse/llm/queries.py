@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, tokens
+from . import ngram_join, packing, tokens, vectors
 from .common import read
 
 
@@ -15,6 +15,10 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_hnsw_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.self_search(read(spark, sf_dir, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary())
 
@@ -31,6 +35,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_bpe_encode_decode, op6_token_ids_orc, op8_ngram_jaccard_join)}
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_hnsw_nearest, op3_best_fit_packing, op5_bpe_encode_decode, op6_token_ids_orc, op8_ngram_jaccard_join, op9_embedding_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
