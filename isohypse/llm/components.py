@@ -104,7 +104,7 @@ def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio
         "lag(id) over (partition by key order by n, id) as before",
         "lag(n) over (partition by key order by n, id) as before_n",
         "lead(id) over (partition by key order by n, id) as after",
-    ).where("before is not null or after is not null")
+    ).where("before <> id or after <> id")
     shared = materialize(shared, "shared-keys")
     near = f"least(n, m) >= {size_ratio!r} * greatest(n, m)"
     star = shared.where("before is not null").selectExpr("id", "explode(array(struct(head as other, head_n as m), struct(before as other, before_n as m))) as o", "n").selectExpr("id", "o.other", "n", "o.m")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, tokens, vectors
+from . import lines, ngram_join, packing, tokens, vectors
 from .common import read
 
 
@@ -31,6 +31,10 @@ def op6_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.first_lines(read(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,6 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_hnsw_nearest, op3_best_fit_packing, op5_bpe_encode_decode, op6_token_ids_orc, op8_ngram_jaccard_join, op9_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_hnsw_nearest, op3_best_fit_packing, op5_bpe_encode_decode, op6_token_ids_orc, op7_fuzzy_line_dedup, op8_ngram_jaccard_join, op9_embedding_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
