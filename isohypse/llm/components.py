@@ -85,16 +85,18 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), "b")).distinct().select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio: float = 0.0) -> DataFrame:
+def linked(keys: DataFrame, thin: Callable[[DataFrame], DataFrame] | None, verify: Callable[[DataFrame], DataFrame], size_ratio: float = 0.0) -> DataFrame:
     """Components (id, component) of the links among ids that share a key; ids without link don't come.
 
-    keys: key (any columns' hash as long), id long, n long (a set's size). `verify` takes distinct
-    pairs (a < b) and returns those that link. With `size_ratio`, pairs whose smaller n is under that
-    part of the larger are known not to link.
+    keys: key (any columns' hash as long), id long, n long (a set's size). `thin` takes distinct pairs
+    (a < b) and may leave out some that can't link; `verify` takes a written table of pairs and
+    returns those that link, as a written table. With `size_ratio`, pairs whose smaller n is under that part of
+    the larger are known not to link.
 
-    Pairs are not formed within groups at once. First each id is tried against its group's first one,
-    a link for each id and key at most; that settles groups of copies. Only ids of one group that are
-    still in different components are paired then, as those pairs can add links between components.
+    Pairs are not formed within groups at once. First each id is tried against its group's first one
+    and the one before it, and of what `thin` leaves, each id against one only; that settles groups of
+    copies. Only ids of one group that are still in different components are paired then, as those
+    pairs can add links between components.
     """
     spark = keys.sparkSession
     shared = keys.selectExpr(
@@ -109,16 +111,17 @@ def linked(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio
     near = f"least(n, m) >= {size_ratio!r} * greatest(n, m)"
     star = shared.where("before is not null").selectExpr("id", "explode(array(struct(head as other, head_n as m), struct(before as other, before_n as m))) as o", "n").selectExpr("id", "o.other", "n", "o.m")
     star = star.where(f"id <> other and {near}").selectExpr("least(id, other) as a", "greatest(id, other) as b").distinct()
-    links = materialize(verify(star), "star-links")
+    star = thin(star) if thin else star
+    links = verify(materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star"))
     labels = materialize(components(links), "star-labels")
     named = shared.select("key", "id", "n").join(labels, "id", "left").selectExpr("key", "id", "n", "coalesce(component, id) as label")
     # a group that is all in one component has nothing left to try
-    named = materialize(named, "named")
+    named = materialize(named.distinct(), "named")
     mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
     rest = named.join(mixed, "key").repartition(partitions(spark), "key")
     other = rest.selectExpr("key", "id as other", "n as m", "label as other_label")
     pairs = rest.join(other, "key").where(f"label < other_label and {near}").selectExpr("least(id, other) as a", "greatest(id, other) as b").distinct()
-    more = materialize(verify(pairs), "cross-links")
+    more = verify(materialize(thin(pairs) if thin else pairs, "cross"))
     out = materialize(components(links.unionByName(more)), "labels")
     for x in (shared, labels, named, links, more):
         drop(x)

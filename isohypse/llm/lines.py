@@ -79,7 +79,6 @@ def all_lines(docs: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
     """Of the pairs (a, b) of line hashes, those of Jaccard similarity >= threshold."""
-    pairs = materialize(pairs, "line-pairs")
     ids = materialize(pairs.selectExpr("explode(array(a, b)) as id").distinct(), "line-ids")
     found = all_lines(docs).select("id", "line").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     lines = materialize(found.groupBy("id").agg(F.first("line").alias("line")), "lines")
@@ -98,7 +97,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> Dat
 
     full = pairs.join(lines.selectExpr("id as a", "line as x"), "a").join(lines.selectExpr("id as b", "line as y"), "b")
     out = materialize(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "line-links")
-    for x in (pairs, ids, lines):
+    for x in (ids, lines):
         drop(x)
     return out
 
@@ -121,7 +120,7 @@ def first_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
                 yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(size, BANDS))], ["key", "id", "n"])
 
     put = all_lines(docs).select("id", "line").mapInArrow(keys, "key long, id long, n long")
-    labels = linked(put, lambda pairs: _similar(pairs, docs, CHARS, threshold))
+    labels = linked(put, None, lambda pairs: _similar(pairs, docs, CHARS, threshold))
     labels = labels.where("id <> component")
     lines = all_lines(docs).select("doc_id", "line_no", "id").join(labels, "id", "left")
     lines = materialize(lines.select("doc_id", "line_no", F.coalesce("component", "id").alias("group")), "line-groups")

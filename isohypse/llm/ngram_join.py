@@ -110,19 +110,15 @@ def _described(ids, n, one, two, bits, e) -> pa.RecordBatch:
 
 def choose_boundary(sizes: list[tuple[int, int]], t: Fraction) -> int:
     """The largest light size, by least cost over (size, documents); sizes over 4,000 are never light."""
-    best, at = None, 0
-    sizes = sorted(sizes)
-    for x in [0, *(n for n, _ in sizes if n <= 4000)]:
-        cost = 0
-        for n, count in sizes:
-            p = n - required(n, t) + 1
-            if n <= x:
-                cost += count * (p + 1) * p // 2
-            if n > t * x or n > x:
-                cost += count * p * LIST_COST
-        if best is None or cost < best:
-            best, at = cost, x
-    return at
+    sizes = sorted(x for x in sizes if x[0] <= 4000)
+    n = np.array([x[0] for x in sizes], np.int64)
+    count = np.array([x[1] for x in sizes], np.int64)
+    p = n - np.array([required(int(x), t) for x in n], np.int64) + 1
+    light = np.concatenate(([0], np.cumsum(count * p * (p + 1) // 2)))
+    heavy = np.concatenate(([0], np.cumsum(count * p * LIST_COST)))
+    choices = np.concatenate(([0], n))
+    listed = np.searchsorted(n * t.denominator, choices * t.numerator, "right")  # sizes that need no list
+    return int(choices[np.argmin(light[np.arange(len(choices))] + heavy[-1] - heavy[listed])])
 
 
 def set_keys(row: np.ndarray, common: np.ndarray, boundary: int, t: Fraction) -> np.ndarray:
@@ -150,11 +146,10 @@ def set_keys(row: np.ndarray, common: np.ndarray, boundary: int, t: Fraction) ->
     return np.concatenate(out).view(np.int64)
 
 
-def verify_pairs(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """Of the pairs (a, b), those whose sets' Jaccard similarity is at least t."""
-    bits = described.select("id", "n", "parity")
-    left = bits.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("parity").alias("pa"))
-    right = bits.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("parity").alias("pb"))
+def thin_pairs(pairs: DataFrame, described: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) without those whose bitmaps differ too much for a Jaccard similarity of t."""
+    left = described.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("parity").alias("pa"))
+    right = described.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("parity").alias("pb"))
 
     def thin(rows):
         for batch in rows:
@@ -165,17 +160,18 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int
             keep = differ * (t.numerator + t.denominator) <= (n + m) * (t.denominator - t.numerator)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
 
-    thinned = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "pa", "pb").mapInArrow(thin, "a long, b long")
-    thinned = materialize(thinned, "thinned")
-    ids = materialize(thinned.selectExpr("explode(array(a, b)) as id").distinct(), "to-check")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "pa", "pb").mapInArrow(thin, "a long, b long")
+
+
+def verify_pairs(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """Of the pairs (a, b), those whose sets' Jaccard similarity is at least t; `pairs` is a written table."""
+    ids = materialize(pairs.selectExpr("explode(array(a, b)) as id").distinct(), "to-check")
     wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
     def load(rows):
         for own, sets in _sets(rows, k):
             yield pa.RecordBatch.from_arrays([own, pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "s"])
 
-    sets = materialize(wanted.mapInArrow(load, "id long, s binary"), "checked-sets", "lz4")
-
     def exact(rows):
         for batch in rows:
             keep = []
@@ -185,10 +181,11 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, described: DataFrame, k: int
                 keep.append(both * t.denominator >= t.numerator * (len(x) + len(y) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
-    full = thinned.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    # a set goes to where its pairs' other set is: once for each pair on the side of more sets, once on the other
+    sets = wanted.mapInArrow(load, "id long, s binary")
+    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     found = materialize(full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "links")
-    for x in (thinned, ids, sets):
-        drop(x)
+    drop(ids)
     return found
 
 
@@ -224,7 +221,7 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     head_docs = docs.join(F.broadcast(heads) if heads.count() <= BROADCAST_IDS else heads, "id", "left_semi")
     put = head_docs.mapInArrow(keys, "key long, id long, n long")
-    labels = linked(put, lambda pairs: verify_pairs(pairs, head_docs, described, k, t), float(t))
+    labels = linked(put, lambda pairs: thin_pairs(pairs, described, t), lambda pairs: verify_pairs(pairs, head_docs, k, t), float(t))
     named = classes.join(labels, "id", "left").select("one", "two", "n", F.coalesce("component", "id").alias("component_id"))
     out = described.join(named, ["one", "two", "n"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))).otherwise(F.col("id")).alias("component_id"))
