@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, ngram_join, packing, quality, tokens, toxicity, vectors
+from . import licenses, lines, ngram_join, packing, quality, tokens, toxicity, vectors
 from .common import read
 
 
@@ -15,6 +15,10 @@ def vocabulary() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op2_hnsw_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.self_search(read(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,6 @@ def op10_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_hnsw_nearest, op3_best_fit_packing, op4_toxicity_grammar, op5_bpe_encode_decode, op6_token_ids_orc, op7_fuzzy_line_dedup, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_quality_ordinal)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_hnsw_nearest, op3_best_fit_packing, op4_toxicity_grammar, op5_bpe_encode_decode, op6_token_ids_orc, op7_fuzzy_line_dedup, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_quality_ordinal)}
 
 ORACLE_SQL: dict[str, str] = {}
