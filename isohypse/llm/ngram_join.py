@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, batches, drop, materialize, mix64, text_or_empty, views
+from .common import BATCH_BYTES, batches, drop, materialize, mix64, partitions, text_or_empty, views
 from .components import linked
 from .shingles import shingle_rows
 
@@ -40,6 +40,8 @@ COMMON, COMMON_LEAST, COMMON_MOST = 0.002, 4, 200_000
 #: Cost of an element in an inverted list against one of a subset: it is dealt and sorted alike, and its lists are longer.
 LIST_COST = 3
 PARITY_BITS = 2048
+#: Sets that meet a set in one task.
+HEAD_PART = 2000
 #: Ids that may be broadcast: 32 MB.
 BROADCAST_IDS = 4_000_000
 
@@ -164,28 +166,41 @@ def thin_pairs(pairs: DataFrame, described: DataFrame, t: Fraction) -> DataFrame
 
 
 def verify_pairs(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """Of the pairs (a, b), those whose sets' Jaccard similarity is at least t; `pairs` is a written table."""
-    ids = materialize(pairs.selectExpr("explode(array(a, b)) as id").distinct(), "to-check")
-    wanted = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    """Of the pairs (a, b), those whose sets' Jaccard similarity is at least t; `pairs` is a written table.
+
+    b's set goes to its a, in parts of HEAD_PART where an a has more; a's set goes to each part before them.
+    """
+    parts = pairs.groupBy("a").agg(F.count("*").alias("m")).selectExpr("a", f"cast(ceil(m / {HEAD_PART}) as int) as parts")
+    member = pairs.join(parts, "a").selectExpr("b as id", "a as head", "cast(pmod(xxhash64(b), parts) as int) as part")
+    heads = parts.selectExpr("a as id", "a as head", "explode(sequence(0, parts - 1)) as part")
+    wanted = materialize(member.unionByName(heads), "to-check")
+    read = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id").select("id", "text", "head", "part")
 
     def load(rows):
-        for own, sets in _sets(rows, k):
-            yield pa.RecordBatch.from_arrays([own, pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "s"])
+        for batch in rows:
+            for part in batches(batch, np.diff(views(batch.column(1))[0]), BATCH_BYTES):
+                sets = [x.tobytes() for x in shingle_rows(part.column(1), k)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(sets, pa.binary())], ["id", "head", "part", "s"])
 
     def exact(rows):
+        head, own = None, None
         for batch in rows:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * t.denominator >= t.numerator * (len(x) + len(y) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    # a set goes to where its pairs' other set is: once for each pair on the side of more sets, once on the other
-    sets = wanted.mapInArrow(load, "id long, s binary")
-    full = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    found = materialize(full.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long"), "links")
-    drop(ids)
+            found: tuple[list[int], list[int]] = ([], [])
+            for i, (x, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                s = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
+                if x == h:
+                    head, own = h, s.copy()
+                elif h == head:
+                    both = len(np.intersect1d(own, s, assume_unique=True))
+                    if both * t.denominator >= t.numerator * (len(own) + len(s) - both):
+                        found[0].append(h)
+                        found[1].append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+    sets = read.mapInArrow(load, "id long, head long, part int, s binary")
+    dealt = sets.repartition(partitions(docs.sparkSession), "head", "part").sortWithinPartitions("head", "part", F.col("id") != F.col("head"))
+    found = materialize(dealt.mapInArrow(exact, "a long, b long"), "links")
+    drop(wanted)
     return found
 
 
