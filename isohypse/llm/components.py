@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from .common import drop, materialize, partitions
 
 
+#: Pairs that each id is tried in before its groups' other pairs.
+TRIES = 3
+
+
 def union_find(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of the edges, ascending, and the least node of each one's component."""
     nodes, code = np.unique(np.concatenate((left, right)), return_inverse=True)
@@ -93,36 +97,45 @@ def linked(keys: DataFrame, thin: Callable[[DataFrame], DataFrame] | None, verif
     returns those that link, as a written table. With `size_ratio`, pairs whose smaller n is under that part of
     the larger are known not to link.
 
-    Pairs are not formed within groups at once. First each id is tried against its group's first one
-    and the one before it, and of what `thin` leaves, each id against one only; that settles groups of
-    copies. Only ids of one group that are still in different components are paired then, as those
-    pairs can add links between components.
+    Pairs are not formed within groups at once. First each id is tried against the centres of its groups
+    (a group's member that shares most with others, all groups counted) and its neighbours by that order: of these
+    the TRIES with which it shares most keys. That settles groups of copies at a few pairs an id. Only
+    ids of one group that are still in different components are paired then, as only those pairs can
+    add links between components.
     """
     spark = keys.sparkSession
-    shared = keys.selectExpr(
-        "key", "id", "n",
-        "first(id) over (partition by key order by n, id rows between unbounded preceding and current row) as head",
-        "first(n) over (partition by key order by n, id rows between unbounded preceding and current row) as head_n",
-        "lag(id) over (partition by key order by n, id) as before",
-        "lag(n) over (partition by key order by n, id) as before_n",
-        "lead(id) over (partition by key order by n, id) as after",
-    ).where("before <> id or after <> id")
-    shared = materialize(shared, "shared-keys")
+    shared = keys.selectExpr("key", "id", "n", "count(*) over (partition by key) as c", "min(id) over (partition by key) as least", "max(id) over (partition by key) as most")
+    shared = materialize(shared.where("least < most").select("key", "id", "n", "c").distinct(), "shared-keys")
+    degree = shared.groupBy("id").agg(F.sum("c").alias("degree"))
     near = f"least(n, m) >= {size_ratio!r} * greatest(n, m)"
-    star = shared.where("before is not null").selectExpr("id", "explode(array(struct(head as other, head_n as m), struct(before as other, before_n as m))) as o", "n").selectExpr("id", "o.other", "n", "o.m")
-    star = star.where(f"id <> other and {near}").selectExpr("least(id, other) as a", "greatest(id, other) as b").distinct()
-    star = thin(star) if thin else star
-    links = verify(materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star"))
+    window = "over (partition by key order by degree desc, id"
+    star = shared.join(degree, "id").selectExpr(
+        "id", "n",
+        f"first(id) {window} rows between unbounded preceding and current row) as head", f"first(n) {window} rows between unbounded preceding and current row) as head_n",
+        f"lag(id) {window}) as before", f"lag(n) {window}) as before_n",
+    ).where("before is not null")
+    star = star.selectExpr("id", "n", "explode(array(struct(head as other, head_n as m), struct(before as other, before_n as m))) as o").selectExpr("id", "o.other", "n", "o.m").where(near)
+    star = star.groupBy("id", "other").agg(F.count("*").alias("s")).withColumn("place", F.expr("row_number() over (partition by id order by s desc, other)")).where(f"place <= {TRIES}")
+    star = star.selectExpr("least(id, other) as a", "greatest(id, other) as b").distinct()
+    star = materialize(thin(star) if thin else star, "star")
+    links = verify(materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star-first"))
+    labels = materialize(components(links), "star-labels")
+
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs (a, b) whose ends are in different components."""
+        one, two = labels.selectExpr("id as a", "component as p"), labels.selectExpr("id as b", "component as q")
+        return pairs.join(one, "a", "left").join(two, "b", "left").where("coalesce(p, a) <> coalesce(q, b)").select("a", "b")
+
+    links = links.unionByName(verify(materialize(apart(star, labels), "star-rest")))
     labels = materialize(components(links), "star-labels")
-    named = shared.select("key", "id", "n").join(labels, "id", "left").selectExpr("key", "id", "n", "coalesce(component, id) as label")
+    named = materialize(shared.join(labels, "id", "left").selectExpr("key", "id", "n", "coalesce(component, id) as label"), "named")
     # a group that is all in one component has nothing left to try
-    named = materialize(named.distinct(), "named")
     mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
     rest = named.join(mixed, "key").repartition(partitions(spark), "key")
     other = rest.selectExpr("key", "id as other", "n as m", "label as other_label")
     pairs = rest.join(other, "key").where(f"label < other_label and {near}").selectExpr("least(id, other) as a", "greatest(id, other) as b").distinct()
     more = verify(materialize(thin(pairs) if thin else pairs, "cross"))
     out = materialize(components(links.unionByName(more)), "labels")
-    for x in (shared, labels, named, links, more):
+    for x in (shared, star, labels, named, more):
         drop(x)
     return out
