@@ -1,0 +1 @@
+"""Reserved: the engine's operators are batch operators; there is no stream to reproduce."""
