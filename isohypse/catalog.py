@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as geo
-from .operators import lines, places, raster, segments
+from .operators import graph, lines, places, raster, segments
 from .plans import output
 from .sources import relations as rel
 
@@ -264,9 +264,11 @@ def j09_g10_label_candidates(spark, d):
 @query()
 def g11_g12_label_placement(spark, d):
     kept = places.drop_crowded(_planar(spark, d), 4.0)
-    region = (F.floor(F.col("x") / 60) * 100 + F.floor(F.col("y") / 40)).cast("long")
     top = kept.agg(F.min("population").alias("lo"), F.max("population").alias("hi"))
-    kept = kept.crossJoin(F.broadcast(top)).withColumn("priority", F.coalesce((F.col("population") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)), F.lit(0.0))).withColumn("region", region)
+    kept = kept.crossJoin(F.broadcast(top)).withColumn("priority", F.coalesce((F.col("population") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)), F.lit(0.0)))
+    other = kept.select(F.col("id").alias("o_id"), F.col("x").alias("o_x"), F.col("y").alias("o_y"))
+    edges = places.band_pairs(kept.select("id", "x", "y"), other, 6.0).where("id < o_id").select(F.col("id").alias("a"), F.col("o_id").alias("b"))
+    kept = kept.join(graph.components(kept.select("id"), edges), "id")
     return places.place_labels(places.candidates(kept, width=0.1), kept)
 
 
@@ -418,3 +420,84 @@ def f05_taubin_smoothing(spark, d):
 def g13_streamlines(spark, d):
     t = raster.gradient(rel.cells(spark, d))
     return _round(lines.streamlines(t.select("y", "x", "angle", (F.col("magnitude") < 0.001).alias("flat"))), 6, "x", "y")
+
+
+# ---- scales, tiles, zones, regions
+
+
+@query("select id, round(pow(t, 2.5e0), 6) power, round(sin(t * pi() / 2), 6) sine, round(1 / (1 + exp(-10 * (t - 0.5e0))), 6) sigmoid, cast(floor(t * 7) as int) as bin, cast(least(255, floor(t * 256)) as int) colour, round(6 * t / (5 * t + 1), 6) unlogged from (select id, (lat + 80) / 160 t from places)", "places")
+def f38_f39_f40_scales(spark, d):
+    t = (F.col("lat") + 80) / 160
+    return rel.places(spark, d).select("id", F.round(F.pow(t, 2.5), 6).alias("power"), F.round(F.sin(t * math.pi / 2), 6).alias("sine"), F.round(1 / (1 + F.exp(-10 * (t - 0.5))), 6).alias("sigmoid"), F.floor(t * 7).cast("int").alias("bin"), F.least(F.lit(255), F.floor(t * 256)).cast("int").alias("colour"), F.round(geo.unlog(t, 5), 6).alias("unlogged"))
+
+
+@query("select cast(width as double) width, 'Scale: 1:' || cast(floor(40075000000e0 / width) as bigint) as scale from (values (750e0), (1500e0), (3000e0)) t(width)")
+def f41_scale_text(spark, d):
+    return spark.createDataFrame([(w, geo.scale_text(w)) for w in (750.0, 1500.0, 3000.0)], "width double, scale string")
+
+
+@query("select cast(i as int) i, round(3 + i * 0.5e0, 6) open_end, round(3 + i * 5e0 / 9, 6) closed_end from (select unnest(range(0, 10)) i)")
+def f37_linspace(spark, d):
+    return spark.range(10).select(F.col("id").cast("int").alias("i"), F.round(3 + F.col("id") * 0.5, 6).alias("open_end"), F.round(3 + F.col("id") * F.lit(5.0) / 9, 6).alias("closed_end"))
+
+
+@query("select a.i * 20e0 - 280 + 0e0 lon1, a.i * 20e0 - 260 lon2, b.j * 20e0 - 100 lat1, b.j * 20e0 - 80 lat2 from (select unnest(range(0, 28)) i) a, (select unnest(range(0, 10)) j) b")
+def g04_j08_grid_tiles(spark, d):
+    i, j = spark.range(28).withColumnRenamed("id", "i"), spark.range(10).withColumnRenamed("id", "j")
+    return i.crossJoin(F.broadcast(j)).select((F.col("i") * 20.0 - 280).alias("lon1"), (F.col("i") * 20.0 - 260).alias("lon2"), (F.col("j") * 20.0 - 100).alias("lat1"), (F.col("j") * 20.0 - 80).alias("lat2"))
+
+
+@query("select layer, round(avg(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))), 4) mean_length, cast(count(*) filter (sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) > 20) as bigint) long_ones from segments group by layer", "segments")
+def a12_p14_lengths(spark, d):
+    return rel.segments(spark, d).groupBy("layer").agg(F.round(F.avg(segments.length()), 4).alias("mean_length"), F.count_if(segments.length() > 20).alias("long_ones"))
+
+
+@query("select cast(floor(y / 10e0) as int) zone_y, cast(floor(x / 20e0) as int) zone_x, round(avg(z), 4) + 0e0 mean_z, cast(count(*) as bigint) n from cells where y < 40 and x < 60 group by 1, 2", "cells")
+def j15_a08_zonal_means(spark, d):
+    """Cells joined to the box they lie in by the box's own cell keys."""
+    zone = rel.cells(spark, d).groupBy(F.floor(F.col("y") / 10).cast("int").alias("zone_y"), F.floor(F.col("x") / 20).cast("int").alias("zone_x"))
+    return _round(zone.agg(F.avg("z").alias("mean_z"), F.count("*").alias("n")), 4, "mean_z")
+
+
+@query("select y - 5 y, x - 10 x, z from cells where y between 5 and 24 and x between 10 and 49", "cells")
+def s15_raster_crop(spark, d):
+    return rel.cells(spark, d).where("y between 5 and 24 and x between 10 and 49").select((F.col("y") - 5).alias("y"), (F.col("x") - 10).alias("x"), "z")
+
+
+@query("select y, x, u, v from uv", "uv")
+def s05_current_grid(spark, d):
+    return rel.uv(spark, d)
+
+
+@query()
+def w15_orientation_mask(spark, d):
+    g = raster.gradient(rel.cells(spark, d))
+    inside = (F.degrees("angle") > 65) & (F.degrees("angle") < 205) & (F.col("magnitude") >= 50)
+    return raster.open_close(g.select("y", "x", F.when(inside, 1).otherwise(0).alias("m"))).select("y", "x", "clean")
+
+
+@query()
+def j05_label_regions(spark, d):
+    """Places whose labels may overlap, in connected regions."""
+    p = _planar(spark, d)
+    other = p.select(F.col("id").alias("o_id"), F.col("x").alias("o_x"), F.col("y").alias("o_y"))
+    edges = places.band_pairs(p.select("id", "x", "y"), other, 3.0).where("id < o_id").select(F.col("id").alias("a"), F.col("o_id").alias("b"))
+    return graph.components(p.select("id"), edges)
+
+
+@query()
+def g25_blob_centres(spark, d):
+    c = rel.cells(spark, d)
+    blobs = raster.region_labels(c.where("z > 200").select("y", "x"))
+    return _round(blobs.groupBy("region").agg(F.avg("y").alias("y"), F.avg("x").alias("x"), F.count("*").alias("n")), 4, "y", "x")
+
+
+@query()
+def g22_level_hatching(spark, d):
+    """Boxes of each level's cells, hatched at 4 - 0.2 * level."""
+    boxes = raster.slice_levels(rel.cells(spark, d), BANDS).groupBy(F.col("level").cast("long").alias("id")).agg(*[f(c).cast("double").alias(f"{c}{n}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max"))])
+    out = None
+    for level, _, _ in BANDS:
+        one = lines.hatch_lines(boxes.where(F.col("id") == level), 45, 4.0 - 0.2 * level)
+        out = one if out is None else out.unionByName(one)
+    return _round(out, 4, *segments.ENDS)

@@ -133,17 +133,21 @@ def highest_level(cells: DataFrame, bands: list[tuple[int, float, float]]) -> Da
     return slice_levels(cells, bands, overlap=True).groupBy("y", "x").agg(F.max("level").alias("level"))
 
 
+def checkpoints(spark) -> None:
+    """Use the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="isohypse-"))
+
+
 def region_labels(mask: DataFrame, eight: bool = True) -> DataFrame:
     """y, x, region: connected cells (y, x), named by their least cell y * 2^32 + x.
 
     Least labels spread to neighbours round by round and jump along what the label itself has found, so
     rounds grow with the logarithm of a region's breadth; each is cut by a written checkpoint.
     """
-    spark = mask.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="isohypse-"))
+    checkpoints(mask.sparkSession)
     steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (eight or not (a and b))]
     key = lambda y, x: y.cast("long") * 4294967296 + x
     now = mask.select("y", "x", key(F.col("y"), F.col("x")).alias("id")).withColumn("region", F.col("id")).checkpoint()
