@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -72,9 +73,16 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._isohypse_path = path
+    release(df.sparkSession)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; else they stay till the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that `materialize` made and nothing will read again."""
     if path := getattr(df, "_isohypse_path", None):
