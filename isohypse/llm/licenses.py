@@ -66,10 +66,10 @@ def _shingles(words: str) -> str:
     return f"case when size({words}) >= {WORDS} then transform(sequence(0, size({words}) - {WORDS}), i -> xxhash64({each})) when size({words}) > 0 then array(xxhash64(array_join({words}, ' '))) else cast(array() as array<bigint>) end"
 
 
-def _band(shingles: str, b: int) -> str:
-    """The least of the hashes under permutation b, an exclusive or; the first five bits differ by band, so the least ones do."""
-    mask = (b << 59 | (0xD6E8FEB86659FD93 * (b + 1)) & (2**59 - 1)) & (2**64 - 1)
-    return f"array_min(transform({shingles}, x -> x ^ ({mask - 2**64 if mask >= 2**63 else mask}L)))"
+#: Permutations of hashes: exclusive or with these. The first five bits differ by band, so the least hashes do.
+_MASKS = [(b << 59) | ((0xD6E8FEB86659FD93 * (b + 1)) & (2**59 - 1)) for b in range(BANDS)]
+_MASKS = "array(" + ", ".join(f"{m - 2**64 if m >= 2**63 else m}L" for m in _MASKS) + ")"
+_BANDS = f"transform({_MASKS}, m -> array_min(transform(ws, x -> x ^ m)))"
 
 
 def templates(spark, table: dict[str, list[str]] = TEMPLATES) -> DataFrame:
@@ -79,7 +79,7 @@ def templates(spark, table: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     whole = SPAN - STEP + 1
     t = t.withColumn("p", F.explode(F.expr(f"sequence(0, greatest(0, case when size(w) <= {whole} then 0 else size(w) - {whole} end))"))).withColumn("v", F.expr(f"slice(w, p + 1, {whole})"))
     t = t.withColumn("ws", F.expr(f"array_distinct({_let('v', 'u', _shingles('u'))})"))
-    return t.select("license", "template", F.col("p").alias("window"), "ws", F.expr("array(" + ", ".join(_band("ws", b) for b in range(BANDS)) + ")").alias("bands"))
+    return t.select("license", "template", F.col("p").alias("window"), "ws", F.expr(_BANDS).alias("bands"))
 
 
 def scan(docs: DataFrame, table: dict[str, list[str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,21 +92,15 @@ def scan(docs: DataFrame, table: dict[str, list[str]] = TEMPLATES, doc_id: str =
     """
     spark = docs.sparkSession
     index = materialize(templates(spark, table), "templates")
-    keys = [set() for _ in range(BANDS)]
-    for r in index.select("bands").collect():  # fixed by the list above
-        for b, v in enumerate(r["bands"]):
-            keys[b].add(v)
+    keys = sorted({v for r in index.select("bands").collect() for v in r["bands"]})  # fixed by the list above
     count = SPAN - WORDS + 1
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     cut = f"transform(sequence(0, greatest(0, size(s) - {count} + {STEP} - 1), {STEP}), p -> struct(p, slice(s, p + 1, {count}) as ws))"
     windows = docs.select("doc_id", F.explode(F.expr(_let(_SPLIT, "w", _let(_shingles("w"), "s", cut)))).alias("x")).select("doc_id", "x.p", "x.ws")
-    signed = windows.select("doc_id", "p", "ws", *[F.expr(_band("ws", b)).alias(f"b{b}") for b in range(BANDS)])
-    hit = None
-    for b in range(BANDS):
-        one = F.col(f"b{b}").isin(*sorted(keys[b]))
-        hit = one if hit is None else hit | one
-    found = signed.where(hit)
-    banded = found.select("doc_id", "p", "ws", F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.col(f"b{b}").alias("v")) for b in range(BANDS)])).alias("k")).select("doc_id", "p", "ws", "k.b", "k.v")
+    # a window with some band's value among all templates' values goes on; the join then asks for the same band
+    known = ", ".join(f"{v}L" if v > -(2**63) else "-9223372036854775808L" for v in keys)
+    found = windows.where(F.expr(f"exists({_MASKS}, m -> array_min(transform(ws, x -> x ^ m)) in ({known}))"))
+    banded = found.select("doc_id", "p", "ws", F.posexplode(F.expr(_BANDS)).alias("b", "v"))
     of = index.select("license", "template", F.col("ws").alias("ts"), F.posexplode("bands").alias("b", "v"))
     pairs = banded.join(F.broadcast(of), ["b", "v"])
     exact = pairs.select("doc_id", "p", "license", "template", (F.size(F.array_intersect("ts", "ws")) / F.size("ts")).alias("c")).where(F.col("c") >= CONTAINED)
