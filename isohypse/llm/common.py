@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of an Arrow batch sent to a Python worker: keeps a batch of long texts small.
 BATCH_ROWS, BATCH_BYTES = 1000, 3 << 20
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _scratch: dict[str, str] = {}
 
 
@@ -69,20 +70,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write `df` to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # the write's shuffle files go when it ends; nothing else reads them
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._isohypse_path = path
-    release(df.sparkSession)
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; else they stay till the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop(df: DataFrame) -> None:
     """Delete a table that `materialize` made and nothing will read again."""
     if path := getattr(df, "_isohypse_path", None):
