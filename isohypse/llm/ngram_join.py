@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, batches, drop, materialize, mix64, partitions, text_or_empty, views
+from .common import BATCH_BYTES, batch_rows, batches, drop, materialize, mix64, partitions, text_or_empty, views
 from .components import linked
 from .shingles import shingle_rows
 
@@ -199,7 +199,8 @@ def verify_pairs(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> Data
 
     sets = read.mapInArrow(load, "id long, head long, part int, s binary")
     dealt = sets.repartition(partitions(docs.sparkSession), "head", "part").sortWithinPartitions("head", "part", F.col("id") != F.col("head"))
-    found = materialize(dealt.mapInArrow(exact, "a long, b long"), "links")
+    with batch_rows(docs.sparkSession, 64):  # sets of long texts are large
+        found = materialize(dealt.mapInArrow(exact, "a long, b long"), "links")
     drop(wanted)
     return found
 
