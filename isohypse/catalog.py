@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry as geo
-from .operators import graph, lines, places, raster, segments
+from .operators import lines, places, raster, segments
 from .plans import output
 from .sources import relations as rel
 
@@ -263,13 +263,11 @@ def j09_g10_label_candidates(spark, d):
 
 @query()
 def g11_g12_label_placement(spark, d):
-    kept = places.drop_crowded(_planar(spark, d), 4.0)
-    top = kept.agg(F.min("population").alias("lo"), F.max("population").alias("hi"))
-    kept = kept.crossJoin(F.broadcast(top)).withColumn("priority", F.coalesce((F.col("population") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)), F.lit(0.0)))
-    other = kept.select(F.col("id").alias("o_id"), F.col("x").alias("o_x"), F.col("y").alias("o_y"))
-    edges = places.band_pairs(kept.select("id", "x", "y"), other, 6.0).where("id < o_id").select(F.col("id").alias("a"), F.col("o_id").alias("b"))
-    kept = kept.join(graph.components(kept.select("id"), edges), "id")
-    return places.place_labels(places.candidates(kept, width=0.1), kept)
+    p = _planar(spark, d)
+    top = p.agg(F.min("population").alias("lo"), F.max("population").alias("hi"))
+    kept = places.drop_crowded(p, 4.0).crossJoin(F.broadcast(top)).withColumn("priority", F.coalesce((F.col("population") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0)), F.lit(0.0)))
+    boxes = places.candidates(kept)
+    return places.place_labels(boxes, kept.join(places.label_regions(boxes), "id"))
 
 
 @query("select n_nationkey id, n_name name, coalesce(r_name, '') altname from nation left join (select * from region where r_name <> 'ASIA') r on n_regionkey = r_regionkey")
@@ -479,10 +477,7 @@ def w15_orientation_mask(spark, d):
 @query()
 def j05_label_regions(spark, d):
     """Places whose labels may overlap, in connected regions."""
-    p = _planar(spark, d)
-    other = p.select(F.col("id").alias("o_id"), F.col("x").alias("o_x"), F.col("y").alias("o_y"))
-    edges = places.band_pairs(p.select("id", "x", "y"), other, 3.0).where("id < o_id").select(F.col("id").alias("a"), F.col("o_id").alias("b"))
-    return graph.components(p.select("id"), edges)
+    return places.label_regions(places.candidates(_planar(spark, d)))
 
 
 @query()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import components
+
 # Fixed positions of a label about its point: key, angle in degrees, alignment, error.
 POSITIONS = [
     ("top-right", 315, "LEFT", 0), ("top-left", 225, "RIGHT", 1), ("bottom-right", 45, "LEFT", 2), ("bottom-left", 135, "RIGHT", 3),
@@ -25,6 +27,30 @@ def band_pairs(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
     return a.join(b, ["cx", "cy"]).where((F.abs(F.col("x") - F.col("o_x")) <= reach) & (F.abs(F.col("y") - F.col("o_y")) <= reach)).drop("cx", "cy")
 
 
+def box_pairs(boxes: DataFrame) -> DataFrame:
+    """a, b: ids, a < b, of boxes (id, xmin, ymin, xmax, ymax) that overlap.
+
+    Boxes are put in all cells they touch, cells as wide and high as the largest box, so in four at most.
+    A pair is formed only in the cell of its overlap's least corner. The one row of extents is broadcast.
+    """
+    sides = [F.greatest(F.max(F.col(f"{c}max") - F.col(f"{c}min")), F.lit(1.0)).alias(f"_{c}") for c in "xy"]
+    b = boxes.select("id", "xmin", "ymin", "xmax", "ymax")
+    b = b.crossJoin(F.broadcast(b.agg(*sides)))
+    for c in "xy":
+        b = b.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"{c}min") / F.col(f"_{c}")), F.floor(F.col(f"{c}max") / F.col(f"_{c}")))))
+    other = b.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("id", "xmin", "ymin", "xmax", "ymax")])
+    hit = F.col("id") < F.col("o_id")
+    for c in "xy":
+        hit = hit & (F.col(f"{c}min") < F.col(f"o_{c}max")) & (F.col(f"o_{c}min") < F.col(f"{c}max")) & (F.floor(F.greatest(f"{c}min", f"o_{c}min") / F.col(f"_{c}")) == F.col(f"c{c}"))
+    return b.join(other, ["cx", "cy"]).where(hit).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
+
+
+def label_regions(boxes: DataFrame) -> DataFrame:
+    """id, region: places connected by overlaps of the envelopes of their candidate boxes (id, xmin, ymin, xmax, ymax)."""
+    whole = boxes.groupBy("id").agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
+    return components(whole.select("id"), box_pairs(whole))
+
+
 def drop_crowded(places: DataFrame, reach: float) -> DataFrame:
     """Without places within `reach` on both axes of a more populous one (equals: the smaller id), dropped or not."""
     other = places.select(F.col("id").alias("o_id"), F.col("x").alias("o_x"), F.col("y").alias("o_y"), F.col("population").alias("o_population"))
@@ -55,11 +81,14 @@ def _overlap(a, b):
     return (a[:, 0, None] < b[None, :, 2]) & (b[None, :, 0] < a[:, 2, None]) & (a[:, 1, None] < b[None, :, 3]) & (b[None, :, 1] < a[:, 3, None])
 
 
-def place_labels(boxes: DataFrame, places: DataFrame, rounds: int = 200, seed: int = 1) -> DataFrame:
+def place_labels(boxes: DataFrame, places: DataFrame, rounds: int = 10000, seed: int = 1, radius: float = 1.5) -> DataFrame:
     """id, key, kept: per region (column `region` of places), the state of least error found, then greedy elimination.
 
-    A state takes one box a place; its error is 100 for each overlapping pair and the positions' errors,
-    weighted by 1 + priority. Each round tries another box for one place, drawn from a seed by region.
+    A state takes one box a place. A place's error is 100 for each other place's box and for each circle
+    about a point, its own included, that its box overlaps, and the position's error; all weighted by
+    1 + priority. Circles count by the squares about them. Each round tries another box for one place,
+    drawn from a seed by region. By population, a label is kept if its box hits no kept box or circle,
+    and its circle no kept box.
     """
     import numpy as np
     import pandas as pd
@@ -68,30 +97,33 @@ def place_labels(boxes: DataFrame, places: DataFrame, rounds: int = 200, seed: i
         group = group.sort_values(["population", "id", "error"], ascending=[False, True, True])
         ids = group.id.drop_duplicates().to_numpy()
         n = len(ids)
-        box = group[["xmin", "ymin", "xmax", "ymax"]].to_numpy().reshape(n, 8, 4)
-        error = group.error.to_numpy().reshape(n, 8)
+        # rounded, so that boxes that touch don't overlap by an error of the last digit
+        box = group[["xmin", "ymin", "xmax", "ymax"]].to_numpy().round(9).reshape(n, 8, 4)
+        at = group[["x", "y"]].to_numpy().reshape(n, 8, 2)[:, 0]
+        circle = np.concatenate((at - radius, at + radius), 1).round(9)
         weight = 1 + group.priority.to_numpy().reshape(n, 8)[:, 0]
         rng = np.random.default_rng(seed + int(group.region.iloc[0]) % 2**31)
-        state = np.zeros(n, int)
-
-        def cost(s):
-            own = box[np.arange(n), s]
-            return float(((100 * (_overlap(own, own).sum(1) - 1) + error[np.arange(n), s]) * weight).sum())
-
-        best = cost(state)
-        for _ in range(rounds if n > 1 else 0):
+        state, rows = np.zeros(n, int), np.arange(n)
+        # what each box costs whatever the others are
+        fixed = group.error.to_numpy().reshape(n, 8) + 100.0 * np.stack([[_overlap(b[None], circle).sum() for b in own] for own in box])
+        own = box[rows, state]
+        hits = np.array([_overlap(own[i : i + 1], own)[0].sum() - 1 for i in rows])
+        best = float(((100 * hits + fixed[rows, state]) * weight).sum())
+        for _ in range(rounds if n > 1 or best >= 1 else 0):
             i, k = int(rng.integers(n)), int(rng.integers(8))
-            trial = state.copy()
-            trial[i] = k
-            if (c := cost(trial)) < best:
-                state, best = trial, c
+            before, after = _overlap(own[i : i + 1], own)[0], _overlap(box[i, k][None], own)[0]
+            before[i] = after[i] = False
+            # an overlap counts for both places
+            change = 100 * float((after * (weight + weight[i])).sum() - (before * (weight + weight[i])).sum()) + float(fixed[i, k] - fixed[i, state[i]]) * weight[i]
+            if change < -1e-9:
+                state[i], own[i], best = k, box[i, k], best + change
             if best < 1:
                 break
-        own, kept = box[np.arange(n), state], []
+        kept = []
         for i in range(n):
-            if not kept or not _overlap(own[i : i + 1], own[kept]).any():
+            if not kept or not (_overlap(own[i : i + 1], own[kept]).any() or _overlap(own[i : i + 1], circle[kept]).any() or _overlap(circle[i : i + 1], own[kept]).any()):
                 kept.append(i)
         keys = group.key.to_numpy().reshape(n, 8)
-        return pd.DataFrame({"id": ids, "key": keys[np.arange(n), state], "kept": np.isin(np.arange(n), kept)})
+        return pd.DataFrame({"id": ids, "key": keys[rows, state], "kept": np.isin(rows, kept)})
 
-    return boxes.join(places.select("id", "region", "population", "priority"), "id").groupBy("region").applyInPandas(run, "id long, key string, kept boolean")
+    return boxes.join(places.select("id", "x", "y", "region", "population", "priority"), "id").groupBy("region").applyInPandas(run, "id long, key string, kept boolean")
