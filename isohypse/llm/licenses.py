@@ -5,9 +5,11 @@ STEP-th word, so whatever stands in SPAN - STEP + 1 words in a row lies whole in
 signature has BANDS least values of its shingles' hashes under as many permutations, a band each: a
 window and a template's window of Jaccard similarity s agree on a band with probability
 1 - (1 - s)^BANDS, over 0.9999 from s = 0.42 on; a notice of five words, the shortest here, has 3 / 7. Windows that agree on a band are candidates, and a
-match needs CONTAINED of the template window's shingles in the window, by exact count.
+window matches if it has CONTAINED of the template window's shingles, by exact count.
 
-A template of at most SPAN - STEP + 1 words is one window; a longer one has a window at each word.
+A template of at most SPAN - STEP + 1 words is one window; a longer one has a window at each word. Windows
+only say where to look: a match needs CONTAINED of the whole template's distinct shingles, by exact count, in
+one passage of the document, which is 1 / CONTAINED times as long as the template, SPAN words at least.
 """
 
 from __future__ import annotations
@@ -73,36 +75,49 @@ _BANDS = f"transform({_MASKS}, m -> array_min(transform(ws, x -> x ^ m)))"
 
 
 def templates(spark, table: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """license, template, window, ws (the window's distinct shingles), bands."""
+    """license, template, n_words, ts (the template's distinct shingles), window, ws (the window's), bands."""
     rows = [(name, i, text) for name, texts in table.items() for i, text in enumerate(texts)]
     t = spark.createDataFrame(rows, "license string, template int, text string").withColumn("w", F.expr(_SPLIT))
+    t = t.withColumn("n_words", F.size("w")).withColumn("ts", F.expr(f"array_distinct({_let('w', 'u', _shingles('u'))})"))
     whole = SPAN - STEP + 1
     t = t.withColumn("p", F.explode(F.expr(f"sequence(0, greatest(0, case when size(w) <= {whole} then 0 else size(w) - {whole} end))"))).withColumn("v", F.expr(f"slice(w, p + 1, {whole})"))
     t = t.withColumn("ws", F.expr(f"array_distinct({_let('v', 'u', _shingles('u'))})"))
-    return t.select("license", "template", F.col("p").alias("window"), "ws", F.expr(_BANDS).alias("bands"))
+    return t.select("license", "template", "n_words", "ts", F.col("p").alias("window"), "ws", F.expr(_BANDS).alias("bands"))
 
 
 def scan(docs: DataFrame, table: dict[str, list[str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, license, template, n_windows, first_word, containment: a row for each document and template that matches.
 
-    n_windows counts the document's windows that match; first_word is the first such window's place in
-    words, containment the best one's. Null, empty and wordless texts match nothing; rows that repeat a
-    doc_id count together, and a null doc_id comes back null. Other columns are ignored; no
-    documents give no rows. The templates are a fixed list, so their table is broadcast.
+    containment is the share of the whole template's shingles that the best passage has. n_windows counts
+    the document's windows that match in passages with CONTAINED of them, first_word is the first such
+    window's place in words. Null, empty and wordless texts match nothing; rows that repeat a doc_id count
+    together, and a null doc_id comes back null. Other columns are ignored; no documents give no rows. The
+    templates are a fixed list, so their table is broadcast.
     """
     spark = docs.sparkSession
     index = materialize(templates(spark, table), "templates")
     keys = sorted({v for r in index.select("bands").collect() for v in r["bands"]})  # fixed by the list above
     count = SPAN - WORDS + 1
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
-    cut = f"transform(sequence(0, greatest(0, size(s) - {count} + {STEP} - 1), {STEP}), p -> struct(p, slice(s, p + 1, {count}) as ws))"
-    windows = docs.select("doc_id", F.explode(F.expr(_let(_SPLIT, "w", _let(_shingles("w"), "s", cut)))).alias("x")).select("doc_id", "x.p", "x.ws")
     # a window with some band's value among all templates' values goes on; the join then asks for the same band
     known = ", ".join(f"{v}L" if v > -(2**63) else "-9223372036854775808L" for v in keys)
-    found = windows.where(F.expr(f"exists({_MASKS}, m -> array_min(transform(ws, x -> x ^ m)) in ({known}))"))
-    banded = found.select("doc_id", "p", "ws", F.posexplode(F.expr(_BANDS)).alias("b", "v"))
+    cut = f"transform(sequence(0, greatest(0, size(s) - {count} + {STEP} - 1), {STEP}), p -> struct(p, slice(s, p + 1, {count}) as ws))"
+    hits = f"filter({cut}, c -> exists({_MASKS}, m -> array_min(transform(c.ws, x -> x ^ m)) in ({known})))"
+    found = docs.select("doc_id", F.expr(_let(_SPLIT, "w", _let(_shingles("w"), "s", f"struct(s, {hits} as hits)"))).alias("x"))
+    found = found.select("doc_id", "x.s", "x.hits").where("size(hits) > 0")
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "license-hits")
+    banded = found.select("row", F.explode("hits").alias("x")).select("row", "x.p", "x.ws").select("row", "p", "ws", F.posexplode(F.expr(_BANDS)).alias("b", "v"))
     of = index.select("license", "template", F.col("ws").alias("ts"), F.posexplode("bands").alias("b", "v"))
     pairs = banded.join(F.broadcast(of), ["b", "v"])
-    exact = pairs.select("doc_id", "p", "license", "template", (F.size(F.array_intersect("ts", "ws")) / F.size("ts")).alias("c")).where(F.col("c") >= CONTAINED)
-    best = exact.groupBy("doc_id", "license", "template", "p").agg(F.max("c").alias("c"))
-    return best.groupBy("doc_id", "license", "template").agg(F.count("*").alias("n_windows"), F.min("p").alias("first_word"), F.max("c").alias("containment"))
+    exact = pairs.where(F.size(F.array_intersect("ts", "ws")) >= CONTAINED * F.size("ts"))
+    seen = exact.groupBy("row", "license", "template").agg(F.collect_set("p").alias("ps"))
+    # the whole template, in the documents that have windows of it
+    whole = index.select("license", "template", "n_words", "ts").where("window = 0").withColumn("span", F.expr(f"greatest({SPAN}, cast(ceil(n_words / {CONTAINED}D) as int))"))
+    full = seen.join(found.select("row", "doc_id", "s"), "row").join(F.broadcast(whole), ["license", "template"])
+    share = f"size(array_intersect(ts, slice(s, a + 1, greatest(1, span - {WORDS - 1})))) / size(ts)"
+    full = full.withColumn("at", F.expr(f"transform(filter(sequence(0, size(s) - 1), a -> array_contains(ts, s[a])), a -> struct(a, {share} as c))"))
+    full = full.withColumn("good", F.expr(f"filter(at, x -> x.c >= {CONTAINED}D)")).where("size(good) > 0")
+    # windows that a good passage touches, a multiple of STEP each
+    touched = f"array_distinct(flatten(transform(good, x -> sequence(greatest(0, x.a - {SPAN - STEP}) div {STEP} * {STEP}, (x.a + span - 1) div {STEP} * {STEP}, {STEP}))))"
+    full = full.select("doc_id", "license", "template", F.expr(f"array_intersect(ps, transform({touched}, x -> cast(x as int)))").alias("ps"), F.expr("array_max(good.c)").alias("c"))
+    return full.groupBy("doc_id", "license", "template").agg(F.sum(F.size("ps")).cast("long").alias("n_windows"), F.min(F.array_min("ps")).alias("first_word"), F.max("c").alias("containment"))

@@ -1,7 +1,7 @@
 """Places where a query once did less than its whole job."""
 
-from pyspark.sql import functions as F
 from isohypse import catalog
+from isohypse.llm import licenses
 from isohypse.operators import places
 
 
@@ -29,3 +29,16 @@ def test_box_pairs_equal_all_pairs(spark):
     b = spark.createDataFrame(rows, "id long, xmin double, ymin double, xmax double, ymax double")
     want = sorted((a[0], c[0]) for a in rows for c in rows if a[0] < c[0] and a[1] < c[3] and c[1] < a[3] and a[2] < c[4] and c[2] < a[4])
     assert want and sorted(tuple(r) for r in places.box_pairs(b).select("a", "b").collect()) == want
+
+
+def test_licenses_need_the_whole_template(spark):
+    by = licenses.TEMPLATES["CC-BY-4.0"][1]
+    long = licenses.TEMPLATES["MIT"][2]
+    words = long.split()
+    pad = "other words stand here before and after it " * 7
+    rows = [(1, pad + by + pad), (2, licenses.TEMPLATES["Apache-2.0"][0]), (3, pad + " ".join(words[:20]) + " " + pad), (4, pad + " ".join([*words[:12], "altered", *words[13:]])), (5, " ".join(words[:15]) + " " + pad * 3 + " ".join(words[15:]))]
+    got = {(r["doc_id"], r["license"], r["template"]): r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, "CC-BY-4.0", 1), (2, "Apache-2.0", 0), (4, "MIT", 2)}
+    n = len(words) - 2
+    assert got[1, "CC-BY-4.0", 1]["containment"] == 1 and abs(got[4, "MIT", 2]["containment"] - (n - 3) / n) < 1e-12
+    assert 48 <= got[1, "CC-BY-4.0", 1]["first_word"] <= 60 and got[4, "MIT", 2]["n_windows"] > 3
