@@ -1,7 +1,10 @@
 """Places where a query once did less than its whole job."""
 
+import numpy as np
+import pytest
+
 from isohypse import catalog
-from isohypse.llm import licenses
+from isohypse.llm import licenses, vectors
 from isohypse.operators import places
 
 
@@ -42,3 +45,15 @@ def test_licenses_need_the_whole_template(spark):
     n = len(words) - 2
     assert got[1, "CC-BY-4.0", 1]["containment"] == 1 and abs(got[4, "MIT", 2]["containment"] - (n - 3) / n) < 1e-12
     assert 48 <= got[1, "CC-BY-4.0", 1]["first_word"] <= 60 and got[4, "MIT", 2]["n_windows"] > 3
+
+
+@pytest.mark.parametrize("rows,together", [(10**4, 2), (10**6, 3), (10**8, 4)])
+def test_vectors_meet_at_every_size(rows, together):
+    assert vectors.rotations(rows, 64) == together
+    rng = np.random.default_rng(3)
+    x, z = rng.normal(size=(2, 1000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.9 * x + np.sqrt(1 - 0.9**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    a, b = (vectors.buckets(v, together) for v in (x, y))
+    assert ((a[:, :, :1] == b).any((1, 2)) | (b[:, :, :1] == a).any((1, 2))).all()
