@@ -142,10 +142,9 @@ def a14_blend(spark, d):
 
 @query()
 def g08_regions(spark, d):
-    """Regions of land and the holes in them: connected cells above 0, and the parts of the rest that touch no edge."""
+    """Regions of land, connected cells above 0, as polygons, with the holes in them: the parts of the rest that touch no edge."""
     c = rel.cells(spark, d)
-    land = raster.region_labels(c.where("z > 0").select("y", "x"))
-    return land.groupBy("region").agg(F.count("*").alias("n_cells"), F.min("y").alias("ymin"), F.max("y").alias("ymax"), F.min("x").alias("xmin"), F.max("x").alias("xmax"))
+    return raster.region_polygons(c.where("z > 0").select("y", "x"), c)
 
 
 # ---- segments

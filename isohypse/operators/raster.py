@@ -163,3 +163,68 @@ def region_labels(mask: DataFrame, eight: bool = True) -> DataFrame:
         if after.where("moved").isEmpty():
             return after.select("y", "x", "region")
         now = after.drop("moved")
+
+
+def _rings(edges: list[tuple]) -> list[list[tuple[int, int]]]:
+    """Closed rings of corners (y, x) from directed edges (y1, x1, y2, x2, fy, fx) that face the cell (fy, fx).
+
+    Where two of a region's cells touch at a corner only, the ring goes on along the cell it faces, so the
+    two stay in one ring. Corners in a straight line are left out.
+    """
+    out: dict[tuple, list] = {}
+    for e in sorted(edges):
+        out.setdefault(e[:2], []).append(e)
+    rings = []
+    for start in sorted(out):
+        while out[start]:
+            e, ring = out[start].pop(0), []
+            while True:
+                ring.append(e[:2])
+                after = out[e[2:4]]
+                if not after:
+                    break
+                e = after.pop(next((i for i, x in enumerate(after) if x[4:] == e[4:]), 0))
+            n = len(ring)
+            rings.append([p for i, p in enumerate(ring) if (ring[i - 1][0] != ring[(i + 1) % n][0]) and (ring[i - 1][1] != ring[(i + 1) % n][1])])
+    return rings
+
+
+def region_polygons(mask: DataFrame, cells: DataFrame) -> DataFrame:
+    """region, n_cells, ymin, ymax, xmin, xmax, ring, holes (hole, n_cells, ring): polygons of the cells of `mask` (y, x).
+
+    Regions are 8-connected, what is left of the rectangle about `cells` is 4-connected; its parts that
+    touch no edge of the rectangle are holes. A hole's parent is the region above its topmost cell. Rings
+    are corners (y, x), cell (y, x) being the square up to (y + 1, x + 1); boundary edges are chained in
+    one group for each ring.
+    """
+    import pandas as pd
+
+    mask = mask.select("y", "x").distinct()
+    extent = cells.agg(*[f(c).alias(f"_{c}{n}") for c in "yx" for f, n in ((F.min, "0"), (F.max, "1"))])
+    grid = extent.where("_y0 is not null").withColumn("y", F.expr("explode(sequence(_y0, _y1))")).withColumn("x", F.expr("explode(sequence(_x0, _x1))"))
+    land = region_labels(mask)
+    rest = region_labels(grid.select("y", "x").join(mask, ["y", "x"], "left_anti"), eight=False)
+    box = [f(c).alias(f"{c}{n}") for c in "yx" for f, n in ((F.min, "min"), (F.max, "max"))]
+    holes = rest.groupBy(F.col("region").alias("hole")).agg(F.count("*").alias("hole_cells"), F.min(F.struct("y", "x")).alias("top"), *box)
+    holes = holes.crossJoin(F.broadcast(extent)).where("ymin > _y0 and ymax < _y1 and xmin > _x0 and xmax < _x1").select("hole", "hole_cells", (F.col("top.y") - 1).alias("y"), F.col("top.x").alias("x"))
+    holes = holes.join(land, ["y", "x"]).select("hole", "hole_cells", F.col("region").alias("parent"))
+    # a cell's four sides, clockwise: the neighbour, and the corners from and to
+    sides = [(-1, 0, 0, 0, 0, 1), (0, 1, 0, 1, 1, 1), (1, 0, 1, 1, 1, 0), (0, -1, 1, 0, 0, 0)]
+    names = ("fy", "fx", "y1", "x1", "y2", "x2")
+    side = F.explode(F.array(*[F.struct(*[(F.col("yx"[i % 2]) + v).cast("int").alias(n) for i, (n, v) in enumerate(zip(names, s))]) for s in sides]))
+    edges = land.select("region", side.alias("e")).select("region", "e.*")
+    edges = edges.join(mask.select(F.col("y").alias("fy"), F.col("x").alias("fx")), ["fy", "fx"], "left_anti")
+    edges = edges.join(rest.select(F.col("y").alias("fy"), F.col("x").alias("fx"), F.col("region").alias("hole")), ["fy", "fx"], "left")
+    edges = edges.join(holes.select("hole", F.col("parent").alias("region"), F.lit(True).alias("own")), ["hole", "region"], "left")
+    edges = edges.withColumn("hole", F.when(F.col("own"), F.col("hole")).otherwise(-1))
+
+    def chain(group: pd.DataFrame) -> pd.DataFrame:
+        found = _rings(list(group[["y1", "x1", "y2", "x2", "fy", "fx"]].itertuples(index=False, name=None)))
+        return pd.DataFrame({"region": [group.region.iloc[0]], "hole": [group.hole.iloc[0]], "ring": [[{"y": y, "x": x} for y, x in found[0]]], "rings": [len(found)]})
+
+    rings = edges.select("region", "hole", "y1", "x1", "y2", "x2", "fy", "fx").groupBy("region", "hole").applyInPandas(chain, "region long, hole long, ring array<struct<y:int,x:int>>, rings int")
+    rings = rings.withColumn("ring", F.when(F.col("rings") == 1, F.col("ring")).otherwise(F.raise_error(F.lit("a boundary isn't one ring")).cast("array<struct<y:int,x:int>>")))
+    inner = rings.where("hole <> -1").join(holes, "hole").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("hole", F.col("hole_cells").alias("n_cells"), "ring"))).alias("holes"))
+    out = land.groupBy("region").agg(F.count("*").alias("n_cells"), *box).join(rings.where("hole = -1").select("region", "ring"), "region").join(inner, "region", "left")
+    none = F.array().cast("array<struct<hole:bigint,n_cells:bigint,ring:array<struct<y:int,x:int>>>>")
+    return out.select("region", "n_cells", "ymin", "ymax", "xmin", "xmax", "ring", F.coalesce("holes", none).alias("holes"))

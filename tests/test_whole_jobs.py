@@ -5,7 +5,7 @@ import pytest
 
 from isohypse import catalog
 from isohypse.llm import licenses, vectors
-from isohypse.operators import places
+from isohypse.operators import places, raster
 
 
 def test_kept_labels_of_the_query_do_not_overlap(spark):
@@ -57,3 +57,24 @@ def test_vectors_meet_at_every_size(rows, together):
     y = 0.9 * x + np.sqrt(1 - 0.9**2) * z / np.linalg.norm(z, axis=1)[:, None]
     a, b = (vectors.buckets(v, together) for v in (x, y))
     assert ((a[:, :, :1] == b).any((1, 2)) | (b[:, :, :1] == a).any((1, 2))).all()
+
+
+def area(ring):
+    return abs(sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(ring, [*ring[1:], ring[0]]))) / 2
+
+
+def test_region_polygons_have_their_holes(spark):
+    # a ring with two holes, an island in one; a pair that touches at a corner; a bay at the edge is no hole
+    rows = ["..........", ".#######..", ".#..#.##..", ".#....##..", ".#.##.##..", ".#.##.#.#.", ".#....##..", ".#######..", "........#.", "###......#", "..#...####", "..#...#..."]
+    cells = spark.createDataFrame([(y, x, c == "#") for y, r in enumerate(rows) for x, c in enumerate(r)], "y int, x int, land boolean")
+    got = {r["ymin"]: r for r in raster.region_polygons(cells.where("land").select("y", "x"), cells).collect()}
+    assert sum(r["n_cells"] for r in got.values()) == sum(r.count("#") for r in rows)
+    big, island, bay = got[1], got[4], got[9]
+    assert sorted((h["n_cells"], area(h["ring"]), len(h["ring"])) for h in big["holes"]) == [(1, 1, 4), (15, 19, 8)]
+    assert area(big["ring"]) == big["n_cells"] + 1 + 19 and not island["holes"] and not bay["holes"]
+    assert area(island["ring"]) == 4 and len(island["ring"]) == 4
+
+
+def test_regions_of_the_query_are_polygons(spark):
+    got = catalog.QUERIES["g08_regions"](spark, "/root/testdata/sf0.01").collect()
+    assert any(r["holes"] for r in got) and all(area(r["ring"]) >= r["n_cells"] + sum(h["n_cells"] for h in r["holes"]) for r in got)
