@@ -209,7 +209,7 @@ def k03_svg_lines(spark, d):
 
 @query()
 def w09_w13_budgeted_files(spark, d):
-    return segments.budgeted(rel.segments(spark, d), 5000.0)
+    return segments.dips(segments.budgeted(rel.segments(spark, d), 5000.0)).select("layer", "seq", "file", "dip")
 
 
 @query()

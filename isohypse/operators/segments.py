@@ -34,9 +34,9 @@ def drop_short_unconnected(segments: DataFrame, least: float = 0.10) -> DataFram
     return out.where((length() >= least) | F.col("_edge") | F.col("_joined")).drop("_edge", "_joined")
 
 
-def pen_lifts(segments: DataFrame, tolerance: float = 0.20) -> DataFrame:
+def pen_lifts(segments: DataFrame, tolerance: float = 0.20, by: tuple[str, ...] = ("layer",)) -> DataFrame:
     """lift: whether the pen goes up behind the segment, as the next one of the layer doesn't begin at its end."""
-    w = Window.partitionBy("layer").orderBy("seq")
+    w = Window.partitionBy(*by).orderBy("seq")
     joined = is_close(F.lead("x1").over(w), F.col("x2"), tolerance) & is_close(F.lead("y1").over(w), F.col("y2"), tolerance)
     return segments.withColumn("lift", ~F.coalesce(joined, F.lit(False)))
 
@@ -69,7 +69,7 @@ def orientation_split(segments: DataFrame, angle: float = 135.0, width: float =
 
 
 def budgeted(segments: DataFrame, most: float) -> DataFrame:
-    """layer, seq, file: a new file begins where the running length would pass `most`; the segment at the break isn't counted.
+    """layer, seq, x1, y1, x2, y2, file: a new file begins where the running length would pass `most`; the segment at the break isn't counted.
 
     The sum restarts at breaks, which no window function expresses: a layer's lengths are folded in order in one group.
     """
@@ -85,9 +85,51 @@ def budgeted(segments: DataFrame, most: float) -> DataFrame:
             else:
                 run += d
             files[i] = file
-        return pd.DataFrame({"layer": group.layer, "seq": group.seq, "file": files})
+        return group[["layer", "seq", *ENDS]].assign(file=files)
+
+    rows = segments.select("layer", "seq", *ENDS, length().alias("d"))
+    return rows.groupBy("layer").applyInPandas(fold, "layer int, seq long, x1 double, y1 double, x2 double, y2 double, file int")
+
+
+def dips(segments: DataFrame, most: float = 120.0) -> DataFrame:
+    """`segments` (layer, file, seq, x1, y1, x2, y2) with dip: whether the pen is dipped behind the segment.
+
+    It is where the length drawn in the file since the last dip, the segment included, passes `most`; the
+    sum then restarts at 0. A file's lengths are folded in order in one group.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seq", kind="stable")
+        out, run = np.zeros(len(group), bool), 0.0
+        for i, d in enumerate(np.hypot(group.x2 - group.x1, group.y2 - group.y1)):
+            run += d
+            if run > most:
+                out[i], run = True, 0.0
+        return group[["layer", "file", "seq", *ENDS]].assign(dip=out)
+
+    return segments.select("layer", "file", "seq", *ENDS).groupBy("layer", "file").applyInPandas(fold, "layer int, file int, seq long, x1 double, y1 double, x2 double, y2 double, dip boolean")
+
+
+def _greedy(p) -> list[tuple[int, bool]]:
+    """Rows of the ends `p` in greedy order from the first on, and whether each is reversed."""
+    import numpy as np
 
-    return segments.select("layer", "seq", length().alias("d")).groupBy("layer").applyInPandas(fold, "layer int, seq long, file int")
+    n = len(p)
+    free, out = np.ones(n, bool), [(0, False)]
+    free[0] = False
+    at = p[0, 2:]
+    for _ in range(n - 1):
+        own = np.flatnonzero(free)
+        d = np.abs(p[own][:, :2] - at).sum(1), np.abs(p[own][:, 2:] - at).sum(1)
+        i, j = int(np.argmin(d[0])), int(np.argmin(d[1]))
+        back = d[1][j] < d[0][i]
+        k = own[j if back else i]
+        free[k] = False
+        out.append((k, back))
+        at = p[k, :2] if back else p[k, 2:]
+    return out
 
 
 def greedy_order(segments: DataFrame) -> DataFrame:
@@ -95,26 +137,19 @@ def greedy_order(segments: DataFrame) -> DataFrame:
 
     A chain of choices that can't be split: a layer is one group's work.
     """
+    return drawn_order(segments).select("layer", "place", "seq", "reversed")
+
+
+def drawn_order(segments: DataFrame) -> DataFrame:
+    """`greedy_order` with the ends x1, y1, x2, y2 as drawn: swapped where a segment is reversed."""
     import numpy as np
     import pandas as pd
 
     def order(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
+        group = group.sort_values("seq", kind="stable")
         p = group[ENDS].to_numpy()
-        n = len(p)
-        free, out = np.ones(n, bool), [(0, False)]
-        free[0] = False
-        at = p[0, 2:]
-        for _ in range(n - 1):
-            own = np.flatnonzero(free)
-            d = np.abs(p[own][:, :2] - at).sum(1), np.abs(p[own][:, 2:] - at).sum(1)
-            i, j = int(np.argmin(d[0])), int(np.argmin(d[1]))
-            back = d[1][j] < d[0][i]
-            k = own[j if back else i]
-            free[k] = False
-            out.append((k, back))
-            at = p[k, :2] if back else p[k, 2:]
-        rows = [k for k, _ in out]
-        return pd.DataFrame({"layer": group.layer.iloc[0], "place": np.arange(n), "seq": group.seq.to_numpy()[rows], "reversed": [b for _, b in out]})
-
-    return segments.groupBy("layer").applyInPandas(order, "layer int, place long, seq long, reversed boolean")
+        rows, back = (np.array(v) for v in zip(*_greedy(p)))
+        ends = np.where(back[:, None], p[rows][:, [2, 3, 0, 1]], p[rows])
+        return pd.DataFrame({"layer": group.layer.iloc[0], "place": np.arange(len(p)), "seq": group.seq.to_numpy()[rows], "reversed": back.astype(bool), **{c: ends[:, k] for k, c in enumerate(ENDS)}})
+
+    return segments.groupBy("layer").applyInPandas(order, "layer int, place long, seq long, reversed boolean, x1 double, y1 double, x2 double, y2 double")

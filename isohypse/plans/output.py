@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.segments import budgeted, pen_lifts
+from ..operators.segments import budgeted, dips, drawn_order, pen_lifts
 
 
 def fold_zones(points: DataFrame, zones: DataFrame) -> DataFrame:
@@ -19,17 +19,23 @@ def svg_lines(segments: DataFrame) -> DataFrame:
     return segments.select("layer", "seq", F.format_string("M%.2f %.2f L%.2f %.2f", "x1", "y1", "x2", "y2").alias("d"))
 
 
-def gcode(segments: DataFrame, most: float = 5000.0) -> DataFrame:
-    """layer, seq, file, lines: each segment's commands; a travel first where the pen is up.
+def gcode(segments: DataFrame, most: float = 5000.0, dip: float | None = 120.0) -> DataFrame:
+    """layer, seq, file, lines: each segment's commands in the order drawn; a travel first where the pen is up.
 
-    Fixed commands and speeds: travel F6000, write F3000, lift F5000.
+    Order, split into files, lifts, dips, text. seq is the segment's place in its layer's greedy order. A
+    file begins and ends with the pen up. Dips come behind the segment that passes `dip`; None: no dips.
+    Fixed commands and speeds: travel F6000, write F3000, lift F5000; a dip goes up to Z7, to (0, -20),
+    down to Z2 (F500) and up.
     """
-    w = Window.partitionBy("layer").orderBy("seq")
-    lifted = pen_lifts(segments).withColumn("up", F.coalesce(F.lag("lift").over(w), F.lit(True)))
+    drawn = budgeted(drawn_order(segments).select("layer", F.col("place").alias("seq"), "x1", "y1", "x2", "y2"), most)
+    drawn = drawn.withColumn("dip", F.lit(False)) if dip is None else dips(drawn, dip)
+    w = Window.partitionBy("layer", "file").orderBy("seq")
+    lifted = pen_lifts(drawn, by=("layer", "file")).withColumn("up", F.coalesce(F.lag(F.col("lift") | F.col("dip")).over(w), F.lit(True)))
     move = F.format_string("G1 X%.3f Y%.3f", "x1", "y1")
     draw = F.format_string("G1 X%.3f Y%.3f", "x2", "y2")
-    lines = F.concat_ws("\n", F.when(F.col("up"), F.concat_ws("\n", F.lit("G1 F6000"), move, F.lit("G1 Z0 F5000"), F.lit("G1 F3000"))), draw, F.when(F.col("lift"), F.lit("G1 Z7 F5000")))
-    return lifted.select("layer", "seq", lines.alias("lines")).join(budgeted(segments, most), ["layer", "seq"])
+    down = F.when(F.col("up"), F.concat_ws("\n", F.lit("G1 F6000"), move, F.lit("G1 Z0 F5000"), F.lit("G1 F3000")))
+    dipped = F.when(F.col("dip"), F.lit("G1 Z7 F5000\nG1 F6000\nG1 X0.000 Y-20.000\nG1 Z2 F500\nG1 Z7 F5000\nG1 F6000"))
+    return lifted.select("layer", "seq", F.concat_ws("\n", down, draw, F.when(F.col("lift"), F.lit("G1 Z7 F5000")), dipped).alias("lines"), "file")
 
 
 def write_gcode(commands: DataFrame, path: str) -> None:

@@ -5,7 +5,8 @@ import pytest
 
 from isohypse import catalog
 from isohypse.llm import licenses, vectors
-from isohypse.operators import places, raster
+from isohypse.operators import places, raster, segments
+from isohypse.plans import output
 
 
 def test_kept_labels_of_the_query_do_not_overlap(spark):
@@ -78,3 +79,17 @@ def test_region_polygons_have_their_holes(spark):
 def test_regions_of_the_query_are_polygons(spark):
     got = catalog.QUERIES["g08_regions"](spark, "/root/testdata/sf0.01").collect()
     assert any(r["holes"] for r in got) and all(area(r["ring"]) >= r["n_cells"] + sum(h["n_cells"] for h in r["holes"]) for r in got)
+
+
+def test_dips_restart_behind_the_segment(spark):
+    rows = [(0, i // 4, i, 0.0, 0.0, 50.0, 0.0) for i in range(8)]
+    s = spark.createDataFrame(rows, "layer int, file int, seq long, x1 double, y1 double, x2 double, y2 double")
+    assert [r["dip"] for r in segments.dips(s).orderBy("seq").collect()] == [False, False, True, False] * 2
+    assert catalog.QUERIES["w09_w13_budgeted_files"](spark, "/root/testdata/sf0.001").where("dip").count() > 0
+
+
+def test_gcode_is_ordered_and_dips(spark):
+    rows = [(0, 0, 0.0, 0.0, 50.0, 0.0), (0, 1, 100.0, 0.0, 150.0, 0.0), (0, 2, 100.0, 0.0, 50.0, 0.0), (0, 3, 150.0, 0.0, 150.0, 9.0)]
+    got = output.gcode(spark.createDataFrame(rows, "layer int, seq long, x1 double, y1 double, x2 double, y2 double")).orderBy("seq").collect()
+    assert [r["lines"].count("Y-20") for r in got] == [0, 0, 1, 0] and [r["lines"].count("G1 Z0") for r in got] == [1, 0, 0, 1]
+    assert ["G1 X50.000 Y0.000" in got[0]["lines"], got[1]["lines"], "G1 X150.000 Y0.000" in got[2]["lines"]] == [True, "G1 X100.000 Y0.000", True]
