@@ -2,9 +2,10 @@
 
 Texts are cut into words; a shingle is WORDS of them in a row. Windows of SPAN words begin at every
 STEP-th word, so whatever stands in SPAN - STEP + 1 words in a row lies whole in some window. A window's
-signature has BANDS least values of its shingles' hashes under as many permutations, a band each: a
-window and a template's window of Jaccard similarity s agree on a band with probability
-1 - (1 - s)^BANDS, over 0.9999 from s = 0.42 on; a notice of five words, the shortest here, has 3 / 7. Windows that agree on a band are candidates, and a
+signature has BANDS least values of its shingles' hashes, exclusive or with as many masks, a band each. The
+masks aren't independent permutations: with random hashes, 100,000 pairs of windows of Jaccard similarity
+3 / 7 (a notice of five words, the shortest here, in a window) meet in no band in 3.7 % of cases, of
+1 / 2 (an altered window) in 1.4 %. Windows that agree on a band are candidates, and a
 window matches if it has CONTAINED of the template window's shingles, by exact count.
 
 A template of at most SPAN - STEP + 1 words is one window; a longer one has a window at each word. Windows
