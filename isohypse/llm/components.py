@@ -89,53 +89,160 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), "b")).distinct().select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def linked(keys: DataFrame, thin: Callable[[DataFrame], DataFrame] | None, verify: Callable[[DataFrame], DataFrame], size_ratio: float = 0.0) -> DataFrame:
-    """Components (id, component) of the links among ids that share a key; ids without link don't come.
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are in different components."""
+    one, two = labels.selectExpr("id as a", "component as p"), labels.selectExpr("id as b", "component as q")
+    return pairs.join(one, "a", "left").join(two, "b", "left").where("coalesce(p, a) <> coalesce(q, b)").select("a", "b")
 
-    keys: key (any columns' hash as long), id long, n long (a set's size). `thin` takes distinct pairs
-    (a < b) and may leave out some that can't link; `verify` takes a written table of pairs and
-    returns those that link, as a written table. With `size_ratio`, pairs whose smaller n is under that part of
-    the larger are known not to link.
 
-    Pairs are not formed within groups at once. First each id is tried against the centres of its groups
-    (a group's member that shares most with others, all groups counted) and its neighbours by that order: of these
-    the TRIES with which it shares most keys. That settles groups of copies at a few pairs an id. Only
-    ids of one group that are still in different components are paired then, as only those pairs can
-    add links between components.
-    """
-    spark = keys.sparkSession
-    shared = keys.selectExpr("key", "id", "n", "count(*) over (partition by key) as c", "min(id) over (partition by key) as least", "max(id) over (partition by key) as most")
-    shared = materialize(shared.where("least < most").select("key", "id", "n", "c").distinct(), "shared-keys")
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The distinct rows of keys (key, id, perhaps n) whose key has several ids, with c, the key's rows; a written table."""
+    names = [x for x in ("key", "id", "n") if x in keys.columns]
+    shared = keys.selectExpr(*names, "count(*) over (partition by key) as c", "min(id) over (partition by key) as least", "max(id) over (partition by key) as most")
+    return materialize(shared.where("least < most").select(*names, "c").distinct(), "shared-keys")
+
+
+def star_pairs(shared: DataFrame, size_ratio: float = 0.0) -> DataFrame:
+    """Pairs (a < b): each id with the centres of its keys (the member that shares most with others, all keys
+    counted) and with its neighbours by that order; of these the TRIES with which it shares most keys.
+    With `size_ratio`, pairs whose smaller n is under that part of the larger are left out."""
     degree = shared.groupBy("id").agg(F.sum("c").alias("degree"))
-    near = f"least(n, m) >= {size_ratio!r} * greatest(n, m)"
     window = "over (partition by key order by degree desc, id"
+    running = "rows between unbounded preceding and current row"
+    n = "n" if size_ratio else "1"
     star = shared.join(degree, "id").selectExpr(
-        "id", "n",
-        f"first(id) {window} rows between unbounded preceding and current row) as head", f"first(n) {window} rows between unbounded preceding and current row) as head_n",
-        f"lag(id) {window}) as before", f"lag(n) {window}) as before_n",
+        "id", f"{n} as n", f"first(id) {window} {running}) as head", f"first({n}) {window} {running}) as head_n", f"lag(id) {window}) as before", f"lag({n}) {window}) as before_n",
     ).where("before is not null")
-    star = star.selectExpr("id", "n", "explode(array(struct(head as other, head_n as m), struct(before as other, before_n as m))) as o").selectExpr("id", "o.other", "n", "o.m").where(near)
-    star = star.groupBy("id", "other").agg(F.count("*").alias("s")).withColumn("place", F.expr("row_number() over (partition by id order by s desc, other)")).where(f"place <= {TRIES}")
-    star = star.selectExpr("least(id, other) as a", "greatest(id, other) as b").distinct()
-    star = materialize(thin(star) if thin else star, "star")
-    links = verify(materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star-first"))
-    labels = materialize(components(links), "star-labels")
-
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose ends are in different components."""
-        one, two = labels.selectExpr("id as a", "component as p"), labels.selectExpr("id as b", "component as q")
-        return pairs.join(one, "a", "left").join(two, "b", "left").where("coalesce(p, a) <> coalesce(q, b)").select("a", "b")
-
-    links = links.unionByName(verify(materialize(apart(star, labels), "star-rest")))
-    labels = materialize(components(links), "star-labels")
-    named = materialize(shared.join(labels, "id", "left").selectExpr("key", "id", "n", "coalesce(component, id) as label"), "named")
-    # a group that is all in one component has nothing left to try
-    mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-    rest = named.join(mixed, "key").repartition(partitions(spark), "key")
-    other = rest.selectExpr("key", "id as other", "n as m", "label as other_label")
-    pairs = rest.join(other, "key").where(f"label < other_label and {near}").selectExpr("least(id, other) as a", "greatest(id, other) as b").distinct()
-    more = verify(materialize(thin(pairs) if thin else pairs, "cross"))
-    out = materialize(components(links.unionByName(more)), "labels")
-    for x in (shared, star, labels, named, more):
+    star = star.selectExpr("id", "n", "explode(array(struct(head as other, head_n as m), struct(before as other, before_n as m))) as o").selectExpr("id", "o.other", "n", "o.m")
+    star = star.where(f"least(n, m) >= {size_ratio!r} * greatest(n, m)").groupBy("id", "other").agg(F.count("*").alias("s"))
+    star = star.withColumn("place", F.expr("row_number() over (partition by id order by s desc, other)")).where(f"place <= {TRIES}")
+    return star.selectExpr("least(id, other) as a", "greatest(id, other) as b").distinct()
+
+
+def linked(shared: DataFrame, star: DataFrame, verify: Callable[[DataFrame], DataFrame], crosses: list[Callable[[DataFrame, DataFrame], DataFrame]]) -> DataFrame:
+    """Components (id, component) of the links among ids that share a key; ids without link don't come.
+
+    `shared` is from `shared_keys`, `star` from `star_pairs`, perhaps thinned. `verify` takes a written table
+    of pairs (a < b) and returns those that link, as a written table.
+
+    Pairs are not formed within keys at once. First each id is tried in its star pairs, one of them, then the others
+    if still apart; that settles groups of copies at a few pairs an id. Only ids of one key that are still in
+    different components can add links between components: each of `crosses` in turn takes the rows (key, id, label,
+    perhaps n) of keys whose ids have several labels, and the pairs tried before, and returns pairs to verify. The last
+    one must return all that may link.
+    """
+    star = materialize(star, "star")
+    first = materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star-first")
+    links = verify(first)
+    drop(first)
+    labels = materialize(components(links), "labels")
+    rest = materialize(apart(star, labels), "star-rest")
+    for cross in (None, *crosses):
+        if cross:
+            named = materialize(shared.drop("c").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "named")
+            # a key whose ids are all in one component has nothing left to try
+            mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+            rest = materialize(cross(named.join(mixed, "key"), star), "cross")
+            drop(named)
+        more = verify(rest)
+        before = links, labels, rest, more
+        links = materialize(links.unionByName(more), "pair-links")
+        labels = materialize(components(links), "labels")
+        for x in before:
+            drop(x)
+    for x in (shared, star, links):
+        drop(x)
+    return labels
+
+
+#: Members of a family that are compared with as many others at a time, and bits of a set's parity sketch.
+BLOCK, SKETCH_BITS = 1024, 2048
+
+
+def parity(hashes: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """For each of `bits` classes of hashes, whether the set of distinct hashes has an odd number of them."""
+    odd = np.bincount((hashes.view(np.uint64) >> np.uint64(17)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def cross_by_sketch(mixed: DataFrame, tried: DataFrame, sketches: Callable[[DataFrame], DataFrame], threshold: float, best: bool = False) -> DataFrame:
+    """Pairs (a < b) of ids that share a key of `mixed` (key, id, label) under different labels and may have Jaccard similarity
+    `threshold`; `sketches` takes ids and returns (id, n, parity), n being the set's size. Pairs of `tried` don't come again.
+
+    The ids of all keys with one most frequent label are a family, in which each pair is looked at once. No pair is
+    lost: two sets' parity sketches differ in at most as many bits as the sets in elements. The ids outside the
+    family's label are compared with all members, in blocks of BLOCK by BLOCK that go to tasks of their own. With
+    `best`, only the likeliest partners of an id in each block come. A sketch's bits are a power of two; similar sets'
+    lengths differ by a factor of two at most, and the longer one is folded.
+    """
+    spark = mixed.sparkSession
+    by_label = mixed.groupBy("key", "label").agg(F.count("*").alias("m"))
+    main = by_label.groupBy("key").agg(F.max(F.struct("m", "label")).alias("main")).selectExpr("key", "main.label as main")
+    family = materialize(mixed.join(main, "key").select("main", "id", "label").distinct(), "family")
+    size = family.groupBy("main").agg(F.count("*").alias("c"), F.count_if(F.col("label") != F.col("main")).alias("r"))
+    many = family.join(size, "main")
+    own = materialize(sketches(family.select("id").distinct()), "sketches")
+    many = many.selectExpr("main as key", "id", "label", "label <> main as outside", f"cast(ceil(r / {BLOCK}) as int) as p", f"cast(ceil(c / {BLOCK}) as int) as q")
+    many = many.selectExpr("*", "cast(pmod(xxhash64(id, 1), p) as int) as i", "cast(pmod(xxhash64(id, 2), q) as int) as j")
+    # an id outside the family's label meets all blocks of members, and is met as a member by all blocks of outsiders
+    many = many.withColumn("u", F.expr("explode(array_union(if(outside, transform(sequence(0, q - 1), x -> struct(i as i, x as j)), array()), transform(sequence(0, p - 1), x -> struct(x as i, j as j))))"))
+    many = many.selectExpr("id", "key", "u.i as i", "u.j as j", "label", "outside and u.i = i as s", "u.j = j as t").join(own, "id")
+    dealt = many.select("key", "i", "j", "id", "label", "s", "t", "n", "parity").repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(rows):
+        carry = None
+        for batch in rows:
+            table = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])]).combine_chunks()
+            unit = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+            starts = np.flatnonzero(np.concatenate(([True], (unit[1:] != unit[:-1]).any(1))))
+            yield _unlike(table.slice(0, starts[-1]), starts[:-1], threshold, best)
+            carry = table.slice(starts[-1])
+        if carry is not None:
+            yield _unlike(carry, np.zeros(1, np.int64), threshold, best)
+
+    found = dealt.mapInArrow(compare, "a long, b long").distinct()
+    out = materialize(found.join(tried, ["a", "b"], "left_anti"), "crossing")
+    for x in (family, own):
         drop(x)
     return out
+
+
+def fold(x: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows, 64-bit words) at a shorter length; both lengths are powers of two."""
+    return np.bitwise_xor.reduce(x.reshape(len(x), -1, words), 1)
+
+
+def _unlike(table: pa.Table, starts: np.ndarray, threshold: float, best: bool) -> pa.RecordBatch:
+    """The pairs of each unit, a run of rows from one start to the next, that sketches don't rule out."""
+    out: tuple[list[np.ndarray], list[np.ndarray]] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+    if len(starts):
+        ids, label, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
+        s, t = (table.column(c).to_numpy(zero_copy_only=False) for c in ("s", "t"))
+        parities = table.column("parity").to_pylist()
+        words = np.array([len(x) // 8 for x in parities])
+        place, bits = np.empty(len(ids), np.int64), {}
+        for w in np.unique(words).tolist():
+            own = np.flatnonzero(words == w)
+            place[own] = np.arange(len(own))
+            bits[w] = np.frombuffer(b"".join(parities[i] for i in own.tolist()), np.uint64).reshape(-1, w)
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+            left, right = at + np.flatnonzero(s[at:end]), at + np.flatnonzero(t[at:end])
+            for w in set(words[left].tolist()):
+                for v in {w // 2, w, 2 * w} & set(words[right].tolist()):
+                    one, two, short = left[words[left] == w], right[words[right] == v], min(v, w)
+                    y_bits = fold(bits[v][place[two]], short)
+                    step = max(1, (1 << 20) // (len(two) * short))
+                    for k in range(0, len(one), step):
+                        u = one[k : k + step]
+                        differ = np.bitwise_count(fold(bits[w][place[u]], short)[:, None, :] ^ y_bits[None, :, :]).sum(2, dtype=np.int64)
+                        # with i = |A and B| and d = |A or B| - i: n + m = d + 2 i, and i >= t (i + d)
+                        keep = (differ * (1 + threshold) <= (n[u][:, None] + n[two][None, :]) * (1 - threshold)) & (label[u][:, None] != label[two][None, :])
+                        if best:
+                            likely = np.where(keep, (n[u][:, None] + n[two][None, :]) / (1.0 + differ), -1.0).argmax(1)
+                            x = np.flatnonzero(keep.any(1))
+                            y = likely[x]
+                        else:
+                            x, y = np.nonzero(keep)
+                        out[0].append(np.minimum(ids[u[x]], ids[two[y]]))
+                        out[1].append(np.maximum(ids[u[x]], ids[two[y]]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b"])

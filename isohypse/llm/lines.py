@@ -1,10 +1,12 @@
 """Fuzzy line dedup (7): MinHash over character shingles, exact check, distributed union-find.
 
 A line's set is its shingles of CHARS consecutive characters (a shorter line is one shingle). Its
-signature has BANDS * ROWS least values under as many permutations of the shingles' hashes; lines
-that agree on all rows of a band are candidates. Two lines of similarity s meet with probability
-1 - (1 - s^ROWS)^BANDS: 0.9998 at the threshold. Candidates' Jaccard similarity is then computed
-exactly, and of each component of similar lines the first by (doc_id, line_no) stays.
+signature has HASHES least values under as many multiplications of the shingles' hashes by odd numbers;
+BANDS bands join ROWS of them each, and lines that agree on a band are candidates. With bands of values
+of their own, two lines of similarity s would meet with probability 1 - (1 - s^ROWS)^BANDS; as a few values are in two
+bands, it is 0.998 at the threshold, 0.9998 at 0.8, 0.7 at 0.5 and 1e-8 at 0.005, where unrelated lines are.
+Candidates' Jaccard similarity is then computed exactly, and of each component of similar lines the first
+by (doc_id, line_no) stays.
 
 Equal lines are one from the start, under a 64-bit hash of the line.
 """
@@ -17,16 +19,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, batches, drop, flat, materialize, mix64, partitions, text_or_empty, views
-from .components import linked
+from .common import BATCH_BYTES, batches, drop, flat, materialize, mix64, text_or_empty, views
+from .components import cross_by_sketch, linked, parity, shared_keys, star_pairs
 
-CHARS, ROWS, BANDS, THRESHOLD = 8, 3, 16, 0.75
-#: Ids that may be broadcast: 32 MB.
-BROADCAST_IDS = 4_000_000
+CHARS, ROWS, BANDS, HASHES, THRESHOLD = 8, 4, 20, 60, 0.75
+#: Ids of lines that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 400_000
 
 _RNG = np.random.default_rng(4099)
-_A = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_A = _RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_BANDS = np.concatenate([_RNG.permutation(HASHES).reshape(-1, ROWS) for _ in range(-(-BANDS * ROWS // HASHES))])[:BANDS]
 
 
 def shingle_hashes(lines: pa.Array, k: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
@@ -58,48 +60,82 @@ def shingle_hashes(lines: pa.Array, k: int = CHARS) -> tuple[np.ndarray, np.ndar
 _POWERS = mix64(np.arange(1, 64, dtype=np.uint64))
 
 
-def band_keys(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, BANDS) keys, and the number of shingles of each line; lines aren't empty."""
+def band_keys(lines: pa.Array) -> np.ndarray:
+    """(lines, BANDS) keys; lines aren't empty."""
     hashes, size = shingle_hashes(lines)
     starts = np.cumsum(size) - size
     low = (hashes >> np.uint64(32)).astype(np.uint32)
+    product, least = np.empty_like(low), np.empty((HASHES, len(size)), np.uint64)
+    for h in range(HASHES):
+        least[h] = np.minimum.reduceat(np.multiply(low, _A[h], out=product), starts)
     keys = np.zeros((len(size), BANDS), np.uint64)
     for b in range(BANDS):
         for r in range(ROWS):
-            least = np.minimum.reduceat(low * _A[b * ROWS + r] + _B[b * ROWS + r], starts)
-            keys[:, b] = mix64(keys[:, b] + least.astype(np.uint64) * np.uint64(0x9E3779B1) + np.uint64(b + 1))
-    return keys.view(np.int64), size
+            keys[:, b] = mix64(keys[:, b] + least[_BANDS[b, r]] * np.uint64(0x9E3779B1) + np.uint64(b + 1))
+    return keys.view(np.int64)
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line, id (the line's hash) of lines that aren't blank; docs: doc_id, text."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.trim(F.translate("line", "\t\r\x0b\x0c", "    ")) != "").withColumn("id", F.xxhash64("line"))
+    return lines.where(F.col("line").rlike(r"[^ \t\r\x0b\x0c]")).withColumn("id", F.xxhash64("line"))
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Of the pairs (a, b) of line hashes, those of Jaccard similarity >= threshold."""
-    ids = materialize(pairs.selectExpr("explode(array(a, b)) as id").distinct(), "line-ids")
+def distinct_shingles(lines: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes of lines of a batch, each once a line: ascending by (line, hash) and the line's number of each.
+
+    The line's number takes the place of the hash's top bits; a batch of at most 4,096 lines leaves 52.
+    """
+    hashes, size = shingle_hashes(lines, k)
+    bits = np.uint64(max(1, int(len(size) - 1).bit_length()))
+    packed = np.sort((hashes >> bits) | (np.repeat(np.arange(len(size), dtype=np.uint64), size) << (np.uint64(64) - bits)))
+    packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))] if len(packed) else packed
+    return packed, (packed >> (np.uint64(64) - bits)).astype(np.int64)
+
+
+def similar(x: pa.Array, y: pa.Array, k: int, threshold: float) -> np.ndarray:
+    """Of each two lines whether their Jaccard similarity is at least the threshold."""
+    (p, i), (q, j) = distinct_shingles(x, k), distinct_shingles(y, k)
+    n, m = np.bincount(i, minlength=len(x)), np.bincount(j, minlength=len(x))
+    together = np.sort(np.concatenate((p, q)), kind="stable")
+    bits = np.uint64(max(1, int(len(x) - 1).bit_length()))
+    both = np.bincount((together[1:][together[1:] == together[:-1]] >> (np.uint64(64) - bits)).astype(np.int64), minlength=len(x))
+    return both >= threshold * (n + m - both)
+
+
+def candidate_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, line of the lines whose hash is in ids (id); a written table."""
+    ids = materialize(ids.distinct(), "line-ids")
     found = all_lines(docs).select("id", "line").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     lines = materialize(found.groupBy("id").agg(F.first("line").alias("line")), "lines")
+    drop(ids)
+    return lines
+
+
+def _similar(pairs: DataFrame, lines: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Of the pairs (a, b) of line hashes, those of Jaccard similarity >= threshold; lines: id, line."""
 
     def run(rows):
         for batch in rows:
             for part in batches(batch, np.diff(views(batch.column(2))[0]) + np.diff(views(batch.column(3))[0]), BATCH_BYTES):
-                (x, n), (y, m) = (shingle_hashes(part.column(c), k) for c in (2, 3))
-                p, q = np.concatenate(([0], np.cumsum(n))).tolist(), np.concatenate(([0], np.cumsum(m))).tolist()
-                keep = []
-                for i in range(part.num_rows):
-                    u, v = np.unique(x[p[i] : p[i + 1]]), np.unique(y[q[i] : q[i + 1]])
-                    both = len(np.intersect1d(u, v, assume_unique=True))
-                    keep.append(both >= threshold * (len(u) + len(v) - both))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in part.columns[:2]], ["a", "b"])
+                keep = similar(part.column(2), part.column(3), k, threshold)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in part.columns[:2]], ["a", "b"])
 
     full = pairs.join(lines.selectExpr("id as a", "line as x"), "a").join(lines.selectExpr("id as b", "line as y"), "b")
-    out = materialize(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "line-links")
-    for x in (ids, lines):
-        drop(x)
-    return out
+    return materialize(full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "line-links")
+
+
+def _sketches(ids: DataFrame, lines: DataFrame, k: int) -> DataFrame:
+    """id, n, parity of the ids' lines."""
+
+    def run(rows):
+        for batch in rows:
+            for part in batches(batch, np.diff(views(batch.column(1))[0]), BATCH_BYTES):
+                hashes, size = shingle_hashes(part.column(1), k)
+                sets = [np.unique(x) for x in np.split(hashes, np.cumsum(size)[:-1])]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x) for x in sets], pa.binary())], ["id", "n", "parity"])
+
+    return lines.join(ids, "id", "left_semi").select("id", "line").mapInArrow(run, "id long, n long, parity binary")
 
 
 def first_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,11 +152,18 @@ def first_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
         for batch in rows:
             for part in batches(batch, np.diff(views(batch.column(1))[0]), BATCH_BYTES):
                 ids, first = np.unique(part.column(0).to_numpy(), return_index=True)
-                own, size = band_keys(flat(part.column(1).take(pa.array(first))))
-                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids, BANDS)), pa.array(np.repeat(size, BANDS))], ["key", "id", "n"])
-
-    put = all_lines(docs).select("id", "line").mapInArrow(keys, "key long, id long, n long")
-    labels = linked(put, None, lambda pairs: _similar(pairs, docs, CHARS, threshold))
+                own = band_keys(flat(part.column(1).take(pa.array(first))))
+                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids, BANDS))], ["key", "id"])
+
+    shared = shared_keys(all_lines(docs).select("id", "line").mapInArrow(keys, "key long, id long"))
+    texts = candidate_lines(docs, shared.select("id"))
+    labels = linked(
+        shared,
+        star_pairs(shared),
+        lambda pairs: _similar(pairs, texts, CHARS, threshold),
+        [lambda mixed, tried, best=best: cross_by_sketch(mixed, tried, lambda ids: _sketches(ids, texts, CHARS), threshold, best) for best in (True, False)],
+    )
+    drop(texts)
     labels = labels.where("id <> component")
     lines = all_lines(docs).select("doc_id", "line_no", "id").join(labels, "id", "left")
     lines = materialize(lines.select("doc_id", "line_no", F.coalesce("component", "id").alias("group")), "line-groups")
@@ -135,8 +178,9 @@ def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
     A document of which no line is left goes, unless it had none but blank lines; others stay, as do
     blank lines and a document with a null doc_id. Columns stay as they are otherwise.
     """
-    kept = first_lines(docs, threshold).where("kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("kept_lines"))
-    joined = docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id") == F.col("kept_id"), "left")
+    kept = first_lines(docs, threshold).where("kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("kept"))
+    one, two = docs.alias("one"), kept.alias("two")
+    joined = one.join(two, F.col("one.doc_id") == F.col("two.doc_id"), "left").select("one.*", "two.kept")
     columns, schema = docs.columns, docs.schema
     at, where = columns.index("text"), columns.index("doc_id")
     chars = columns.index("n_chars") if "n_chars" in columns else None
@@ -158,4 +202,4 @@ def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
                 out[chars] = pa.array([None if x is None else len(x) for x in texts], out[chars].type)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(stay, pa.bool_())) for c in out], columns)
 
-    return joined.select(*[docs[c] for c in columns], "kept_lines").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)

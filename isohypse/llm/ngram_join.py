@@ -17,7 +17,11 @@ stay out of the prefixes. Which are common decides only how fast the join is. Ev
 fraction COMMON of all documents holds is common in some task, so it is found by counting in tasks.
 
 Candidates are thinned without loss before the exact check: two sets' bitmaps of hash parities
-differ in at most as many bits as the sets in elements.
+differ in at most as many bits as the sets in elements. A set's bitmap has twice as many bits as the set has
+elements; of two, the longer one is folded to the shorter one's length.
+
+The exact check is between classes, known by a hash of their set: each class's text goes to its pairs' head
+and is cut into shingles there, as text compresses and hashes don't.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, batch_rows, batches, drop, materialize, mix64, partitions, text_or_empty, views
-from .components import linked
+from .common import BATCH_BYTES, batches, drop, materialize, mix64, partitions, text_or_empty, views
+from .components import cross_by_sketch, fold, linked, parity, shared_keys, star_pairs
 from .shingles import shingle_rows
 
 THRESHOLD = Fraction(3, 4)
@@ -39,11 +43,12 @@ SHINGLE = 5
 COMMON, COMMON_LEAST, COMMON_MOST = 0.002, 4, 200_000
 #: Cost of an element in an inverted list against one of a subset: it is dealt and sorted alike, and its lists are longer.
 LIST_COST = 3
-PARITY_BITS = 2048
+#: Bits of a bitmap: the power of two from twice the set's elements on, within these.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
 #: Sets that meet a set in one task.
 HEAD_PART = 2000
-#: Ids that may be broadcast: 32 MB.
-BROADCAST_IDS = 4_000_000
+#: Classes that may be broadcast, at three longs each; more are joined by a shuffle.
+BROADCAST_IDS = 300_000
 
 
 def required(n: int, t: Fraction) -> int:
@@ -52,20 +57,28 @@ def required(n: int, t: Fraction) -> int:
 
 
 def _sets(rows, k: int):
-    """(ids, sets) of each bounded part of the batches of (id, text)."""
+    """Each bounded part of the batches of (id, text, ...), and its sets."""
     for batch in rows:
         for part in batches(batch, np.diff(views(batch.column(1))[0]), BATCH_BYTES):
-            yield part.column(0), shingle_rows(part.column(1), k)
+            yield part, shingle_rows(part.column(1), k)
+
+
+def parity_bits(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * n - 1).bit_length())) if n else LEAST_BITS
 
 
-def parity(row: np.ndarray) -> bytes:
-    """For each of PARITY_BITS classes of hashes, whether the set has an odd number of them."""
-    bits = np.bincount((row.view(np.uint64) >> np.uint64(17)).astype(np.int64) & (PARITY_BITS - 1), minlength=PARITY_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+def parity_differ(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded."""
+    u, v = (np.frombuffer(z, np.uint64)[None, :] for z in (x, y))
+    short = min(u.shape[1], v.shape[1])
+    return int(np.bitwise_count(fold(u, short) ^ fold(v, short)).sum())
 
 
 def describe(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """id, n, class hash (two longs), parity of each document; and the elements common in a task (e, seen)."""
+    """id, h (a hash of the text), n, cls (a hash of the set), parity of each row; and the elements common in a task (e, seen).
+
+    docs: id, text, h.
+    """
 
     def run(rows):
         total, ids_seen = {}, 0
@@ -81,33 +94,31 @@ def describe(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
                 for v, c in zip(value[n >= COMMON_LEAST].tolist(), n[n >= COMMON_LEAST].tolist()):
                     total[v] = total.get(v, 0) + c
 
-        for ids, sets in _sets(rows, k):
+        for part, sets in _sets(rows, k):
             n = np.array([len(x) for x in sets], np.int64)
             ids_seen += len(n)
-            one, two, bits = [], [], []
+            cls, bits = [], []
             for x in sets:
                 u = x.view(np.uint64)
-                one.append(int(mix64(np.array([u.sum() + np.uint64(len(x))], np.uint64)).view(np.int64)[0]))
-                two.append(int((mix64(u).sum()).view(np.int64)) if len(x) else 0)
-                bits.append(parity(x))
+                cls.append(int(mix64(np.array([u.sum() + np.uint64(len(x)) + (mix64(u).sum() << np.uint64(1))], np.uint64)).view(np.int64)[0]) if len(x) else 0)
+                bits.append(parity(x, parity_bits(len(x))))
             hashes += sets
             waiting += int(n.sum())
             if waiting > 4_000_000:
                 fold()
-            yield _described(ids, n, one, two, bits, [None] * len(n))
+            yield _described(part.column(0), part.column(2), n, cls, bits, [None] * len(n))
         fold()
         least = max(COMMON_LEAST, COMMON * ids_seen)
         found = sorted(((c, v) for v, c in total.items() if c >= least), reverse=True)
         m = len(found)
-        yield _described(pa.nulls(m, pa.int64()), np.array([c for c, _ in found], np.int64), [None] * m, [None] * m, [None] * m, [v for _, v in found])
+        yield _described(pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), np.array([c for c, _ in found], np.int64), [None] * m, [None] * m, [v for _, v in found])
 
-    rows = docs.mapInArrow(run, "id long, n long, one long, two long, parity binary, e long")
-    rows = materialize(rows, "sets")
-    return rows.where("e is null").select("id", "n", "one", "two", "parity"), rows.where("e is not null").select("e", F.col("n").alias("seen"))
+    rows = materialize(docs.select("id", "text", "h").mapInArrow(run, "id long, h long, n long, cls long, parity binary, e long"), "sets")
+    return rows.where("e is null").select("id", "h", "n", "cls", "parity"), rows.where("e is not null").select("e", F.col("n").alias("seen"))
 
 
-def _described(ids, n, one, two, bits, e) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bits, pa.binary()), pa.array(e, pa.int64())], ["id", "n", "one", "two", "parity", "e"])
+def _described(ids, h, n, cls, bits, e) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, h, pa.array(n), pa.array(cls, pa.int64()), pa.array(bits, pa.binary()), pa.array(e, pa.int64())], ["id", "h", "n", "cls", "parity", "e"])
 
 
 def choose_boundary(sizes: list[tuple[int, int]], t: Fraction) -> int:
@@ -148,16 +159,15 @@ def set_keys(row: np.ndarray, common: np.ndarray, boundary: int, t: Fraction) ->
     return np.concatenate(out).view(np.int64)
 
 
-def thin_pairs(pairs: DataFrame, described: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) without those whose bitmaps differ too much for a Jaccard similarity of t."""
-    left = described.select(F.col("id").alias("a"), F.col("n").alias("n"), F.col("parity").alias("pa"))
-    right = described.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("parity").alias("pb"))
+def thin_pairs(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) without those whose bitmaps differ too much for a Jaccard similarity of t; classes: cls, n, parity."""
+    left = classes.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("parity").alias("pa"))
+    right = classes.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("parity").alias("pb"))
 
     def thin(rows):
         for batch in rows:
             n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n), -1) for c in (4, 5))
-            differ = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
+            differ = np.array([parity_differ(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
             # with u = |A or B| and i = |A and B|: n + m = u + i, the difference is u - i, and i >= t u
             keep = differ * (t.numerator + t.denominator) <= (n + m) * (t.denominator - t.numerator)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], ["a", "b"])
@@ -165,42 +175,40 @@ def thin_pairs(pairs: DataFrame, described: DataFrame, t: Fraction) -> DataFrame
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "pa", "pb").mapInArrow(thin, "a long, b long")
 
 
-def verify_pairs(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """Of the pairs (a, b), those whose sets' Jaccard similarity is at least t; `pairs` is a written table.
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`wanted` (id, h, ...) with its document's text; documents that repeat id and text come again."""
+    return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, ["id", "h"])
+
 
-    b's set goes to its a, in parts of HEAD_PART where an a has more; a's set goes to each part before them.
+def verify_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, t: Fraction) -> DataFrame:
+    """Of the pairs (a, b) of classes, those whose sets' Jaccard similarity is at least t; `pairs` is a written table.
+
+    b's text goes to its a, in parts of HEAD_PART where an a has more; a's text goes to each part before them.
     """
     parts = pairs.groupBy("a").agg(F.count("*").alias("m")).selectExpr("a", f"cast(ceil(m / {HEAD_PART}) as int) as parts")
-    member = pairs.join(parts, "a").selectExpr("b as id", "a as head", "cast(pmod(xxhash64(b), parts) as int) as part")
-    heads = parts.selectExpr("a as id", "a as head", "explode(sequence(0, parts - 1)) as part")
-    wanted = materialize(member.unionByName(heads), "to-check")
-    read = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id").select("id", "text", "head", "part")
-
-    def load(rows):
-        for batch in rows:
-            for part in batches(batch, np.diff(views(batch.column(1))[0]), BATCH_BYTES):
-                sets = [x.tobytes() for x in shingle_rows(part.column(1), k)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(sets, pa.binary())], ["id", "head", "part", "s"])
+    member = pairs.join(parts, "a").selectExpr("b as cls", "a as head", "cast(pmod(xxhash64(b), parts) as int) as part")
+    heads = parts.selectExpr("a as cls", "a as head", "explode(sequence(0, parts - 1)) as part")
+    wanted = materialize(member.unionByName(heads).join(classes.select("cls", "id", "h"), "cls"), "to-check")
+    read = texts_of(docs, wanted).selectExpr("cls", "head", "part", "text")
 
     def exact(rows):
         head, own = None, None
         for batch in rows:
-            found: tuple[list[int], list[int]] = ([], [])
-            for i, (x, h) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                s = np.frombuffer(batch.column(3)[i].as_buffer(), np.int64)
-                if x == h:
-                    head, own = h, s.copy()
-                elif h == head:
-                    both = len(np.intersect1d(own, s, assume_unique=True))
-                    if both * t.denominator >= t.numerator * (len(own) + len(s) - both):
-                        found[0].append(h)
-                        found[1].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
-
-    sets = read.mapInArrow(load, "id long, head long, part int, s binary")
-    dealt = sets.repartition(partitions(docs.sparkSession), "head", "part").sortWithinPartitions("head", "part", F.col("id") != F.col("head"))
-    with batch_rows(docs.sparkSession, 64):  # sets of long texts are large
-        found = materialize(dealt.mapInArrow(exact, "a long, b long"), "links")
+            for piece in batches(batch, np.diff(views(batch.column(3))[0]), BATCH_BYTES):
+                found: tuple[list[int], list[int]] = ([], [])
+                sets = shingle_rows(piece.column(3), k)
+                for x, h, s in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), sets):
+                    if x == h:
+                        head, own = h, s.copy()
+                    elif h == head:
+                        both = len(np.intersect1d(own, s, assume_unique=True))
+                        if both * t.denominator >= t.numerator * (len(own) + len(s) - both):
+                            found[0].append(h)
+                            found[1].append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+    dealt = read.repartition(partitions(docs.sparkSession), "head", "part").sortWithinPartitions("head", "part", F.col("cls") != F.col("head"))
+    found = materialize(dealt.mapInArrow(exact, "a long, b long"), "links")
     drop(wanted)
     return found
 
@@ -210,34 +218,39 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Two documents link when their sets' Jaccard similarity is at least t; component_id is the least
     doc_id reachable by links. A null, empty or blank text has no shingles and links with nothing. Rows
-    that repeat a doc_id are one document each with that id; a null doc_id takes no part in links, and
-    its component is null. Other columns are ignored. No documents give no rows.
+    that repeat a doc_id are a document each with that id, in any order; a null doc_id takes no part in links,
+    and its component is null. Other columns are ignored. No documents give no rows.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text")).withColumn("h", F.xxhash64("text"))
     described, seen = describe(docs, k)
     common = seen.groupBy("e").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "e").limit(COMMON_MOST)
     common = np.sort(np.array([r["e"] for r in common.select("e").collect()], np.int64))
     sizes = described.where("n > 0 and n <= 4000").groupBy("n").count().collect()
     boundary = choose_boundary([(r["n"], r["count"]) for r in sizes], t)
-    # documents of equal sets are one class, under its least id
+    # documents of equal sets are one class: known by cls, read from the row of the least id
     real = described.where("n > 0 and id is not null")
-    classes = materialize(real.groupBy("one", "two", "n").agg(F.min("id").alias("id")), "classes")
-    heads = classes.select("id")
-    shared = spark.sparkContext.broadcast(common)
+    classes = materialize(real.groupBy("cls").agg(F.min(F.struct("id", "h", "n", "parity")).alias("x")).selectExpr("cls", "x.*"), "classes")
+    shared_common = spark.sparkContext.broadcast(common)
 
     def keys(rows):
-        for own, sets in _sets(rows, k):
-            each = [set_keys(x, shared.value, boundary, t) if len(x) else x for x in sets]
+        for part, sets in _sets(rows, k):
+            each = [set_keys(x, shared_common.value, boundary, t) if len(x) else x for x in sets]
             size = np.array([len(x) for x in each], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(each)), pa.array(np.repeat(own.to_numpy(), size)), pa.array(np.repeat([len(x) for x in sets], size).astype(np.int64))],
+                [pa.array(np.concatenate(each)), pa.array(np.repeat(part.column(0).to_numpy(), size)), pa.array(np.repeat([len(x) for x in sets], size).astype(np.int64))],
                 ["key", "id", "n"],
             )
 
-    head_docs = docs.join(F.broadcast(heads) if heads.count() <= BROADCAST_IDS else heads, "id", "left_semi")
-    put = head_docs.mapInArrow(keys, "key long, id long, n long")
-    labels = linked(put, lambda pairs: thin_pairs(pairs, described, t), lambda pairs: verify_pairs(pairs, head_docs, k, t), float(t))
-    named = classes.join(labels, "id", "left").select("one", "two", "n", F.coalesce("component", "id").alias("component_id"))
-    out = described.join(named, ["one", "two", "n"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))).otherwise(F.col("id")).alias("component_id"))
+    put = texts_of(docs, classes.select("cls", "id", "h")).select("cls", "text").mapInArrow(keys, "key long, id long, n long")
+    shared = shared_keys(put)
+
+    def cross(best: bool):
+        return lambda mixed, tried: cross_by_sketch(mixed, tried, lambda ids: classes.selectExpr("cls as id", "n", "parity").join(ids, "id", "left_semi"), float(t), best)
+
+    labels = linked(shared, thin_pairs(star_pairs(shared, float(t)), classes, t), lambda pairs: verify_pairs(pairs, docs, classes, k, t), [cross(True), cross(False)])
+    # a component's id is the least id of its classes' documents
+    least = classes.select("cls", "id").join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    named = least.join(least.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("cls", "component_id")
+    out = described.join(named, "cls", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
