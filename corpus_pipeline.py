@@ -39,8 +39,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Rows with a null doc_id stay; of rows that repeat a kept doc_id all stay."""
     tune(spark)
     groups = ngram_join.join_components(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left").where("kept_id is not null or doc_id is null").select(*[docs[c] for c in docs.columns])
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct().withColumn("kept", F.lit(True))
+    one, two = docs.alias("one"), kept.alias("two")
+    joined = one.join(two, F.col("one.doc_id") == F.col("two.doc_id"), "left")
+    return joined.where("two.kept or one.doc_id is null").select("one.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
