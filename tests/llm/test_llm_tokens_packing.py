@@ -1,5 +1,6 @@
 """BPE, ORC ids and packing against the tokenizers library and plain counting."""
 
+import bisect
 import hashlib
 import zlib
 
@@ -106,3 +107,20 @@ def test_plan_of_equal_lengths():
     counts[[4096, 2048, 1]] = [3, 5, 2]
     entries = packing.plan(counts)
     assert (entries[:, 3] + entries[:, 2]).max() == 6
+
+
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(rooms, n)
+        room = rooms.pop(i) if i < len(rooms) else capacity
+        bisect.insort(rooms, room - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_plan_needs_no_more_than_best_fit_decreasing(kind):
+    rng = np.random.default_rng(kind)
+    lengths = [rng.integers(900, 3000, 900), np.exp(rng.normal(6.5, 1.1, 3000)), rng.integers(1, 4097, 1500), rng.choice([1500, 1400, 1250, 700], 2000), np.exp(rng.normal(5, 1.5, 4000))][kind]
+    lengths = np.clip(lengths.astype(int), 1, 4096)
+    assert packing.sequences_of(packing.plan(np.bincount(lengths, minlength=4097))) <= best_fit_decreasing(lengths.tolist(), 4096)
