@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
+import pytest
 
 from isohypse.llm import common, licenses, quality, toxicity
 
@@ -84,3 +85,27 @@ def test_quality_rows(spark):
     assert quality.rate(docs.limit(0), m).count() == 0
     assert quality.rate(docs, quality.fit([], np.empty(0))).where("selected").count() == 5
     assert quality.keep_selected(docs, m).columns == docs.columns
+
+
+def test_license_windows_meet_as_often_as_stated(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(20000):
+        own = rng.integers(-(2**62), 2**62, 9).tolist()
+        rows.append((i, own[:7], own[:3]))
+    frame = spark.createDataFrame(rows, "i int, window array<long>, notice array<long>")
+    one = frame.selectExpr("i", "window as ws").selectExpr("i", f"{licenses._BANDS} as p")
+    two = frame.selectExpr("i", "notice as ws").selectExpr("i", f"{licenses._BANDS} as q")
+    met = one.join(two, "i").where("exists(zip_with(p, q, (x, y) -> x = y), z -> z)").count()
+    assert met >= 19990
+
+
+@pytest.mark.parametrize("text,want", [
+    ("So. This work is licensed under a Creative Commons Attribution 4.0 International License. More", {"CC-BY-4.0"}),
+    ("This work is licensed under a Creative approach to contracts.", set()),
+    ("gives it without warranty of any kind, express or implied", set()),
+    ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", {"MIT", "Apache-2.0"}),
+])
+def test_license_needs_the_whole_template(spark, text, want):
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "licensed")], "doc_id long, text string")
+    assert {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()} == {(1, x) for x in want}
