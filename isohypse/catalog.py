@@ -89,9 +89,9 @@ def w03_local_variance(spark, d):
     return _round(raster.local_variance(rel.cells(spark, d)).select("y", "x", "variance"), 2, "variance")
 
 
-@query(f"select y, x, round(coalesce(z - (s - z) / nullif(n - 1, 0), 0e0), 4) + 0e0 tpi from ({_box(5)})", "cells")
+@query(f"select y, x, coalesce((cast(round(z * 1e6) as bigint) * n - cast(s as bigint)) / (nullif(n - 1, 0) * 1e6), 0e0) + 0e0 tpi from ({_box(5, 'cast(round(z * 1e6) as bigint)')})", "cells")
 def w04_position_index(spark, d):
-    return _round(raster.position_index(rel.cells(spark, d)).select("y", "x", "tpi"), 4, "tpi")
+    return raster.position_index(rel.cells(spark, d)).select("y", "x", "tpi")
 
 
 @query()

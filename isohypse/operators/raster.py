@@ -84,11 +84,15 @@ def local_variance(cells: DataFrame, k: int = 7, column: str = "z", most: float
     return both.withColumn("variance", F.greatest(F.lit(0.0), F.least(F.lit(most), F.col("_mq") - F.col("_m") * F.col("_m")))).drop("_m", "_q", "_mq")
 
 
-def position_index(cells: DataFrame, k: int = 5, column: str = "z") -> DataFrame:
-    """tpi: the cell less the mean of its window without it; 0 where the window is the cell alone."""
-    both = focal(focal(cells.withColumn("_one", F.lit(1.0)), F.sum, column, k, "_sum"), F.sum, "_one", k, "_n")
-    rest = (F.col("_sum") - F.col(column)) / F.nullif(F.col("_n") - 1, F.lit(0.0))
-    return both.withColumn("tpi", F.coalesce(F.col(column) - rest, F.lit(0.0))).drop("_one", "_sum", "_n")
+def position_index(cells: DataFrame, k: int = 5, column: str = "z", unit: float = 1e6) -> DataFrame:
+    """tpi: the cell less the mean of its window without it; 0 where the window is the cell alone.
+
+    Heights are summed as whole numbers of 1 / unit, so the result doesn't depend on the order of the sum.
+    """
+    whole = cells.withColumn("_one", F.lit(1).cast("long")).withColumn("_z", F.round(F.col(column) * unit).cast("long"))
+    both = focal(focal(whole, F.sum, "_z", k, "_sum"), F.sum, "_one", k, "_n")
+    above = (F.col("_z") * F.col("_n") - F.col("_sum")) / (F.nullif(F.col("_n") - 1, F.lit(0)) * F.lit(unit))
+    return both.withColumn("tpi", F.coalesce(above, F.lit(0.0)) + F.lit(0.0)).drop("_one", "_z", "_sum", "_n")
 
 
 def adaptive_smooth(cells: DataFrame, near: int = 3, far: int = 7, k: int = 5) -> DataFrame:
