@@ -1,6 +1,6 @@
 """Toxicity (4): a weighted finite-state grammar over clauses.
 
-Transducers, composed in this order:
+Transducers over word classes, composed in this order by `compose`:
 
 1. lexical: a word to its class - INSULT or THREAT with a weight, TARGET, NEGATION, REPORT, OTHER. Insults are
    whole words or word beginnings; seeds are listed below, more are learnt with their weights;
@@ -9,10 +9,11 @@ Transducers, composed in this order:
 4. threat: a THREAT counts only with a TARGET behind it in the clause;
 5. target: an INSULT with a TARGET before or behind it in the clause counts more.
 
-Their product is one table: state = (words since a negation, reported, target seen, weight that waits
-for a target); the clause's score is the weight of its best accepting path, which here is its only one.
-Clauses end at .,;:!? and line ends. Only clauses with an INSULT or THREAT are run; others score 0 in any
-state. A document's score is a logistic function of its clauses' scores.
+The lexical one's arcs are the words; it is applied to the distinct words of a batch. The composition of the others
+is one table of states by classes, run over all clauses at once by array indexing. 4 and 5 guess whether a TARGET
+comes: a path that guesses wrong doesn't accept, so a clause has one accepting path, and its weight is the clause's
+score. Clauses end at .,;:!? and line ends. Only clauses with an INSULT or THREAT are run; others score 0 on any
+path. A document's score is a logistic function of its clauses' scores.
 """
 
 from __future__ import annotations
@@ -42,10 +43,123 @@ FIT_DOCUMENTS, FIT_PATTERNS = 16_000, 400
 #: Log-odds from which a pattern may enter.
 LEAST_ODDS = 2.0
 #: Lengths of the word beginnings that may become patterns.
-BEGINNINGS = (3, 4, 5, 6, 7)
+BEGINNINGS = (5, 6, 7)
 _ENDS = ".,;:!?"
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs (state, class) to (next state, class put out, factor of the word's weight); a class without arc ends the path."""
+
+    starts: tuple
+    finals: frozenset
+    arcs: dict
+
+
+def _machine(starts, finals, states, step) -> Transducer:
+    """`step(state, class)` lists the arcs, without the class put out, which is the one read."""
+    return Transducer(tuple(starts), frozenset(finals), {(s, c): [(to, c, f) for to, f in step(s, c)] for s in states for c in range(6)})
+
+
+def negation() -> Transducer:
+    """States: words since the last negation, at most NEGATION_SPAN + 1; 0 is the negation itself."""
+    far = NEGATION_SPAN + 1
+
+    def step(since, kind):
+        now = 0 if kind == NEGATION else min(since + 1, far)
+        return [(now, NEGATED if kind in (INSULT, THREAT) and now <= NEGATION_SPAN else 1.0)]
+
+    return _machine([far], range(far + 1), range(far + 1), step)
+
+
+def report() -> Transducer:
+    """States: whether speech is reported."""
+    return _machine([False], [False, True], [False, True], lambda s, k: [(s or k == REPORT, REPORTED if s and k in (INSULT, THREAT) else 1.0)])
+
+
+def threat() -> Transducer:
+    """States: whether a target is still to come."""
+
+    def step(expects, kind):
+        if kind == TARGET:
+            return [(True, 1.0), (False, 1.0)] if expects else []
+        return [(expects, 0.0 if kind == THREAT and not expects else 1.0)]
+
+    return _machine([True, False], [False], [True, False], step)
+
+
+def target() -> Transducer:
+    """States: no target in the clause, one is to come, one was there."""
+
+    def step(state, kind):
+        if kind == TARGET:
+            return [] if state == "none" else [("was", 1.0)]
+        return [(state, AIMED if kind == INSULT and state != "none" else 1.0)]
+
+    return _machine(["none", "to come"], ["none", "was"], ["none", "to come", "was"], step)
+
+
+def compose(one: Transducer, two: Transducer) -> Transducer:
+    """The transducer that runs `two` on what `one` puts out; only states that can be reached."""
+    starts = [(a, b) for a in one.starts for b in two.starts]
+    arcs, todo, seen = {}, list(starts), set(starts)
+    while todo:
+        a, b = todo.pop()
+        for kind in range(6):
+            found = [((x, y), out, f * g) for x, mid, f in one.arcs.get((a, kind), []) for y, out, g in two.arcs.get((b, mid), [])]
+            arcs[(a, b), kind] = found
+            for to, _, _ in found:
+                if to not in seen:
+                    seen.add(to)
+                    todo.append(to)
+    return Transducer(tuple(starts), frozenset((a, b) for a, b in seen if a in one.finals and b in two.finals), arcs)
+
+
+class Table:
+    """A transducer as arrays: `to` (class, state, choice) with -1 for no arc, and `factor` (class, state)."""
+
+    def __init__(self, machine: Transducer):
+        names = list(dict.fromkeys([*machine.starts, *(to for found in machine.arcs.values() for to, _, _ in found)]))
+        at = {x: i for i, x in enumerate(names)}
+        choices = max(len(x) for x in machine.arcs.values())
+        self.to, self.factor = np.full((6, len(names), choices), -1), np.zeros((6, len(names)))
+        for (state, kind), found in machine.arcs.items():
+            for c, (to, _, f) in enumerate(found):
+                self.to[kind, at[state], c], self.factor[kind, at[state]] = at[to], f
+        self.start, self.final = np.full(len(names), -np.inf), np.array([x in machine.finals for x in names])
+        self.start[[at[x] for x in machine.starts]] = 0.0
+
+    def run(self, kinds: np.ndarray, weights: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The best accepting path's weight of each clause, the words from a start to its stop."""
+        order = np.argsort(starts - stops, kind="stable")  # longest first, so that those still running come first
+        size = (stops - starts)[order]
+        value = np.tile(self.start, (len(order), 1))
+        states, wide = len(self.start), self.to.shape[2]
+        for t in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -t, "left"))
+            word = starts[order[:n]] + t
+            kind = kinds[word]
+            own = value[:n] + weights[word][:, None] * self.factor[kind]
+            after = np.full((n, states + 1), -np.inf)  # the last column takes what has no arc
+            flat_ = after.ravel()
+            base = np.arange(n)[:, None] * (states + 1)
+            for c in range(wide):
+                to = self.to[kind, :, c]
+                np.maximum.at(flat_, (base + np.where(to < 0, states, to)).ravel(), own.ravel())
+            value[:n] = after[:, :states]
+        best = np.where(self.final, value, -np.inf).max(1, initial=-np.inf)
+        out = np.empty(len(order))
+        out[order] = best
+        return out
+
+
+def grammar_machine() -> Transducer:
+    return compose(compose(compose(negation(), report()), threat()), target())
+
+
+_TABLE = Table(grammar_machine())
+
+
 @dataclass
 class Grammar:
     """Patterns with weights, and the logistic function: intercept, weight of the sum, of the best clause, of the density."""
@@ -75,29 +189,6 @@ class Grammar:
         return kind, weight, ends
 
 
-def clause_score(kinds: list[int], weights: list[float]) -> float:
-    """Run the composed transducer over one clause's words of a class other than OTHER or near one."""
-    since, reported, aimed, waiting, total = NEGATION_SPAN + 1, False, False, 0.0, 0.0
-    insults = 0.0
-    for kind, weight in zip(kinds, weights):
-        since = min(since + 1, NEGATION_SPAN + 1)
-        if kind == NEGATION:
-            since = 0
-        elif kind == REPORT:
-            reported = True
-        elif kind == TARGET:
-            aimed = True
-            total += waiting
-            waiting = 0.0
-        elif kind in (INSULT, THREAT):
-            own = weight * (NEGATED if since <= NEGATION_SPAN else 1.0) * (REPORTED if reported else 1.0)
-            if kind == INSULT:
-                insults += own
-            else:
-                waiting += own
-    return total + insults * (AIMED if aimed else 1.0)
-
-
 def document_features(texts: pa.Array, grammar: Grammar) -> np.ndarray:
     """(documents, 3): the logarithms of 1 + the clauses' summed scores, the best clause's score, and 1 + the sum a hundred words."""
     text = pc.replace_substring(flat(texts).cast(pa.large_string()), "\n", " . ")
@@ -114,14 +205,17 @@ def document_features(texts: pa.Array, grammar: Grammar) -> np.ndarray:
     breaks[ends[1:][n > 0] - 1] = True
     clause = np.cumsum(breaks) - breaks  # a clause's number at each word
     hot = np.unique(clause[(kinds == INSULT) | (kinds == THREAT)])
-    starts = np.searchsorted(clause, hot)
-    stops = np.searchsorted(clause, hot, "right")
-    owner = np.searchsorted(ends, starts, "right") - 1
-    values = weight[code]
-    for a, b, d in zip(starts.tolist(), stops.tolist(), owner.tolist()):
-        score = clause_score(kinds[a:b].tolist(), values[a:b].tolist())
-        out[d, 0] += score
-        out[d, 1] = max(out[d, 1], score)
+    owner = np.searchsorted(ends, np.searchsorted(clause, hot), "right") - 1
+    # words of the hot clauses; of words without class, a run's first ones are enough to forget a negation
+    own = np.isin(clause, hot, assume_unique=False) if len(hot) else np.zeros(len(clause), bool)
+    at = np.flatnonzero(own)
+    other = np.concatenate(([False] * (NEGATION_SPAN + 1), kinds[at] == OTHER))
+    inside = np.logical_and.reduce([other[i : i + len(at)] for i in range(NEGATION_SPAN + 2)]) if len(at) else np.empty(0, bool)
+    same = np.concatenate((np.full(min(len(at), NEGATION_SPAN + 1), -1), clause[at][: -NEGATION_SPAN - 1])) == clause[at] if len(at) else inside
+    at = at[~(inside & same)]
+    scores = _TABLE.run(kinds[at], weight[code[at]], np.searchsorted(clause[at], hot), np.searchsorted(clause[at], hot, "right"))
+    np.add.at(out[:, 0], owner, scores)
+    np.maximum.at(out[:, 1], owner, scores)
     out[:, 2] = np.log1p(100 * out[:, 0] / np.maximum(n, 1))
     out[:, 0] = np.log1p(out[:, 0])
     return out
@@ -137,7 +231,8 @@ def fit(texts: list[str], toxic: np.ndarray, patterns: int = FIT_PATTERNS) -> Gr
 
     Candidates are words and word beginnings. Again and again, the pattern enters that tells most of the
     toxic documents that fewer than two chosen ones match, times its log-odds of being in a toxic document,
-    which is its weight. It is in three toxic documents at least. A beginning stands for all words it begins.
+    which is its weight. It is in three toxic documents at least. A beginning stands for all words it begins, three in
+    toxic documents at least.
     The logistic function is fitted to scores of documents that the scoring patterns weren't learnt from:
     those of either half under the other half's.
     """
@@ -168,10 +263,15 @@ def _patterns(texts: list[str], toxic: np.ndarray, patterns: int) -> Grammar:
             return {w for w in words if 2 < len(w) < 30 and w.isalpha()} | {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) >= k and w.isalpha()}
 
         where: dict[str, list[int]] = {}
+        begun: dict[str, set[str]] = {}
         for i in positive.tolist():
             for x in found(texts[i]):
                 where.setdefault(x, []).append(i)
-        where = {x: own for x, own in where.items() if len(own) >= 3}
+                if not x.endswith("*"):
+                    for k in BEGINNINGS:
+                        begun.setdefault(x[:k] + "*", set()).add(x)
+        # a beginning of one or two words says no more than these
+        where = {x: own for x, own in where.items() if len(own) >= 3 and (not x.endswith("*") or len(begun.get(x, ())) >= 3)}
         clean: dict[str, int] = dict.fromkeys(where, 0)
         for i in negative.tolist():
             for x in found(texts[i]) & clean.keys():

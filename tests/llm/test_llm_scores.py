@@ -20,11 +20,15 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def clause_score(kinds, weights):
+    return toxicity._TABLE.run(np.array(kinds), np.array(weights, float), np.array([0]), np.array([len(kinds)]))[0]
+
+
 def test_grammar_of_clauses():
-    T = toxicity
-    score = T.clause_score
+    T, score = toxicity, clause_score
     assert score([T.INSULT], [2.0]) == 2.0
     assert score([T.TARGET, T.OTHER, T.INSULT], [0, 0, 2.0]) == 2.5
+    assert score([T.INSULT, T.OTHER, T.TARGET], [2.0, 0, 0]) == 2.5
     assert score([T.TARGET, T.NEGATION, T.OTHER, T.INSULT], [0, 0, 0, 2.0]) < 1
     assert score([T.REPORT, T.OTHER, T.INSULT], [0, 0, 2.0]) == 1.0
     assert score([T.THREAT], [3.0]) == 0
@@ -32,6 +36,36 @@ def test_grammar_of_clauses():
     assert score([T.TARGET, T.THREAT], [0, 3.0]) == 0
 
 
+def accepting(machine, kinds):
+    """All accepting paths of one transducer: the factors and what is put out at each word."""
+    paths = [(s, (), ()) for s in machine.starts]
+    for k in kinds:
+        paths = [(to, (*f, x), (*out, o)) for s, f, out in paths for to, o, x in machine.arcs.get((s, k), [])]
+    return [(f, out) for s, f, out in paths if s in machine.finals]
+
+
+def test_composed_table_equals_the_parts_in_turn():
+    rng = np.random.default_rng(4)
+    parts = [toxicity.negation(), toxicity.report(), toxicity.threat(), toxicity.target()]
+    for _ in range(300):
+        kinds = rng.integers(0, 6, rng.integers(1, 9)).tolist()
+        weights = rng.random(len(kinds)).round(3)
+        found = [(np.ones(len(kinds)), tuple(kinds))]
+        for p in parts:
+            found = [(f * np.array(g), out) for f, mid in found for g, out in accepting(p, mid)]
+        assert len(found) == 1  # an unambiguous grammar
+        assert abs(clause_score(kinds, weights) - float(found[0][0] @ weights)) < 1e-12
+
+
+def test_learnt_beginnings_are_no_common_words():
+    d = "/root/testdata/sf0.1"
+    docs, labels = (ds.dataset(f"{d}/{t}.parquet").to_table().to_pandas() for t in ("documents", "labels"))
+    m = docs.merge(labels, on="doc_id")
+    g = toxicity.fit(m.text.fillna("").tolist(), m.toxic.to_numpy())
+    kind, _, _ = g.classify(pa.array(["training", "travel", "translate", "worthy", "stupor", "idiot"], pa.large_string()))
+    assert kind.tolist() == [toxicity.OTHER] * 5 + [toxicity.INSULT] and min(len(x) for x in g.beginnings) >= 5
+
+
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = (ds.dataset(f"{d}/{t}.parquet").to_table().to_pandas() for t in ("documents", "labels"))
