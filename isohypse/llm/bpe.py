@@ -70,13 +70,17 @@ class PairRanks:
         return out
 
 
+#: Bits of a pair's place in a word; with the rank above it, a tree's entry.
+PLACE_BITS = 36
+
+
 class SegmentTree:
     """Least (rank, place) over the pairs of one word; for words too long for the matrices."""
 
     def __init__(self, ranks: np.ndarray):
         self.size = 1 << max(1, int(len(ranks) - 1).bit_length())
-        level = np.full(self.size, int(NONE) << 24)
-        level[: len(ranks)] = (ranks.astype(np.int64) << 24) | np.arange(len(ranks))
+        level = np.full(self.size, int(NONE) << PLACE_BITS)
+        level[: len(ranks)] = (ranks.astype(np.int64) << PLACE_BITS) | np.arange(len(ranks))
         levels = [level]
         while len(level) > 1:
             level = np.minimum(level[0::2], level[1::2])
@@ -85,7 +89,7 @@ class SegmentTree:
 
     def set(self, place: int, rank: int) -> None:
         tree, node = self.tree, self.size + place
-        tree[node] = (rank << 24) | place
+        tree[node] = (rank << PLACE_BITS) | place
         node >>= 1
         while node:
             a, b = tree[2 * node], tree[2 * node + 1]
@@ -93,7 +97,7 @@ class SegmentTree:
             node >>= 1
 
     def least(self) -> tuple[int, int]:
-        return self.tree[1] >> 24, self.tree[1] & 0xFFFFFF
+        return self.tree[1] >> PLACE_BITS, self.tree[1] & ((1 << PLACE_BITS) - 1)
 
 
 class Tokenizer:

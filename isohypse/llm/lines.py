@@ -179,8 +179,9 @@ def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFr
     blank lines and a document with a null doc_id. Columns stay as they are otherwise.
     """
     kept = first_lines(docs, threshold).where("kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("kept"))
-    one, two = docs.alias("one"), kept.alias("two")
-    joined = one.join(two, F.col("one.doc_id") == F.col("two.doc_id"), "left").select("one.*", "two.kept")
+    own = max((x for x in docs.columns), key=len) + "_kept"  # no column of docs has that name
+    one, two = docs.alias("one"), kept.withColumnRenamed("kept", own).alias("two")
+    joined = one.join(two, F.col("one.doc_id") == F.col("two.doc_id"), "left").select("one.*", own)
     columns, schema = docs.columns, docs.schema
     at, where = columns.index("text"), columns.index("doc_id")
     chars = columns.index("n_chars") if "n_chars" in columns else None

@@ -145,3 +145,44 @@ def test_nearest_vectors_have_recall(spark):
 def test_components(spark, edges, want):
     frame = spark.createDataFrame(edges, "a long, b long").repartition(4)
     assert {r["id"]: r["component"] for r in components.components(frame).collect()} == want
+
+
+def test_join_of_repeated_ids_in_either_order(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, two, near = " ".join(words), " ".join(f"z{i}" for i in range(40)), " ".join([*words[:57], "x", "y", "z"])
+    for rows in ([(5, one), (5, two), (9, near)], [(5, two), (5, one), (9, near)]):
+        docs = spark.createDataFrame([(i, t, "k", 1) for i, t in [*rows, (None, one), (3, None)]], "doc_id long, text string, kept_id string, cls int")
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"] or -1) for r in ngram_join.join_components(docs).collect())
+        assert got == [(False, 3, 3), (False, 5, 5), (False, 5, 5), (False, 9, 5), (True, 0, -1)]
+
+
+def test_folded_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for _ in range(100):
+        a = np.unique(rng.integers(0, 2**62, int(rng.integers(1, 3000))))
+        b = np.unique(np.concatenate((a[: int(len(a) * rng.random())], rng.integers(0, 2**62, int(rng.integers(0, 800))))))
+        x, y = (components.parity(v, ngram_join.parity_bits(len(v))) for v in (a, b))
+        assert ngram_join.parity_differ(x, y) <= len(np.setxor1d(a, b))
+
+
+def test_line_columns_may_clash(spark):
+    docs = spark.createDataFrame([(1, "a line of text here", "u", 2), (2, "a line of text here\nother words", "v", 3), (None, "a line of text here", "w", 4)], "doc_id long, text string, kept_id string, kept int")
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(docs).collect()}
+    assert got == {2: "other words", None: "a line of text here"} or got[1] == "a line of text here"
+    assert lines.drop_repeated_lines(docs).columns == docs.columns
+
+
+def test_bands_meet_as_often_as_stated():
+    rng = np.random.default_rng(3)
+    for s, least in ((0.75, 0.995), (0.8, 0.999)):
+        agree = rng.random((20000, lines.HASHES)) < s
+        assert np.mean(np.any([agree[:, b].all(1) for b in lines._BANDS], 0)) >= least
+
+
+def test_long_words_keep_their_place():
+    from isohypse.llm import bpe
+
+    tree = bpe.SegmentTree(np.array([5, 3, 9], np.int32))
+    assert tree.least() == (3, 1) and (int(bpe.NONE) << bpe.PLACE_BITS) + (1 << 35) < 2**63
+    tree.set(1, 7)
+    assert tree.least() == (5, 0)
