@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -101,6 +103,37 @@ def drop(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+class PackedTexts:
+    """A bounded sample of texts on the driver, each compressed; a slice or a list of places gives a list."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    @staticmethod
+    def pack(text: str) -> bytes:
+        return zlib.compress(text.encode("utf-8", "surrogatepass"), 1)
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __iter__(self):
+        return (self[i] for i in range(len(self)))
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return [self[i] for i in range(*at.indices(len(self)))]
+        return zlib.decompress(self.packed[at]).decode("utf-8", "surrogatepass")
+
+    def take(self, places: list[int]) -> "PackedTexts":
+        return PackedTexts([self.packed[i] for i in places])
+
+
+def give_back() -> None:
+    """Return the memory of a fit that has ended, as the driver is small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(name: str = "text") -> "F.Column":
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, batches, flat, hash_strings, mix64, text_or_empty, views
+from .common import BATCH_BYTES, PackedTexts, batches, flat, give_back, hash_strings, mix64, text_or_empty, views
 
 #: Features' slots; labelled documents that the fit reads, the first by a hash of doc_id; passes over them.
 SLOTS, FIT_DOCUMENTS, PASSES = 1 << 16, 12_000, 12
@@ -94,7 +94,7 @@ def linear(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     return np.bincount(owner, weights=weights[slot] * value, minlength=len(texts))
 
 
-def fit(texts: list[str], grades: np.ndarray, passes: int = PASSES, seed: int = 3) -> Ordinal:
+def fit(texts: list[str] | PackedTexts, grades: np.ndarray, passes: int = PASSES, seed: int = 3) -> Ordinal:
     """Maximum likelihood with a ridge, by AdaGrad over shuffled batches; thresholds stay ascending.
 
     Without texts, or with one grade only, the model gives every text that grade (0 without any).
@@ -107,7 +107,8 @@ def fit(texts: list[str], grades: np.ndarray, passes: int = PASSES, seed: int =
     k = len(kinds) - 1
     above = np.array([(y > j).mean() for j in range(k)])
     c = -np.log(above / (1 - above))
-    parts = [features(pa.array(texts[i : i + 256], pa.large_string())) for i in range(0, len(texts), 256)]
+    parts = (features(pa.array(texts[i : i + 256], pa.large_string())) for i in range(0, len(texts), 256))
+    parts = [(s.astype(np.int32), v.astype(np.float32), e) for s, v, e in parts]
     rows = [(s[a:b], v[a:b]) for s, v, e in parts for a, b in zip(e[:-1], e[1:])]
     step_w, step_c = np.full(SLOTS, 1e-6), np.full(k, 1e-6)
     rng = np.random.default_rng(seed)
@@ -148,8 +149,11 @@ def training(docs: DataFrame, labels: DataFrame, grade: str = "quality", limit:
 
 
 def learn(docs: DataFrame, labels: DataFrame, grade: str = "quality", limit: int = FIT_DOCUMENTS) -> Ordinal:
-    rows = sorted(((r["doc_id"], r["text"], r["grade"]) for r in training(docs, labels, grade, limit)), key=lambda r: r[:2])
-    return fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
+    rows = sorted((r["doc_id"], PackedTexts.pack(r["text"]), r["grade"]) for r in training(docs, labels, grade, limit))
+    model = fit(PackedTexts([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64))
+    del rows
+    give_back()
+    return model
 
 
 def rate(docs: DataFrame, model: Ordinal) -> DataFrame:

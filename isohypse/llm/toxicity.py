@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, batches, flat, text_or_empty, views
+from .common import BATCH_BYTES, PackedTexts, batches, flat, give_back, text_or_empty, views
 
 # Fixed seed words of the grammar's classes.
 SEED_INSULT = "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting dumb fool imbecile depp trottel idiota estúpido imbécil idiote crétin".split()
@@ -40,6 +40,8 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 NEGATION_SPAN, NEGATED, REPORTED, AIMED, SEED_WEIGHT = 3, 0.3, 0.5, 1.25, 3.0
 #: Labelled documents that the fit reads, the first by a hash of doc_id, and most learnt patterns.
 FIT_DOCUMENTS, FIT_PATTERNS = 16_000, 400
+#: Slots in which patterns are counted before they are held.
+PATTERN_SLOTS = 1 << 22
 #: Log-odds from which a pattern may enter.
 LEAST_ODDS = 2.0
 #: Lengths of the word beginnings that may become patterns.
@@ -226,7 +228,7 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 0
 
 
-def fit(texts: list[str], toxic: np.ndarray, patterns: int = FIT_PATTERNS) -> Grammar:
+def fit(texts: list[str] | PackedTexts, toxic: np.ndarray, patterns: int = FIT_PATTERNS) -> Grammar:
     """Learn insults and their weights from labelled texts, then the logistic function.
 
     Candidates are words and word beginnings. Again and again, the pattern enters that tells most of the
@@ -236,12 +238,13 @@ def fit(texts: list[str], toxic: np.ndarray, patterns: int = FIT_PATTERNS) -> Gr
     The logistic function is fitted to scores of documents that the scoring patterns weren't learnt from:
     those of either half under the other half's.
     """
+    texts = texts if isinstance(texts, PackedTexts) else PackedTexts([PackedTexts.pack(x) for x in texts])
     grammar = _patterns(texts, toxic, patterns)
     half = np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % 2 for x in texts], np.int64)
     x = np.zeros((len(texts), 3))
     for side in (0, 1):
         other, own = np.flatnonzero(half != side).tolist(), np.flatnonzero(half == side).tolist()
-        g = _patterns([texts[i] for i in other], toxic[other] if other else toxic[:0], patterns)
+        g = _patterns(texts.take(other), toxic[other] if other else toxic[:0], patterns)
         for at in range(0, len(own), 500):
             x[own[at : at + 500]] = document_features(pa.array([texts[i] for i in own[at : at + 500]], pa.large_string()), g)
     if (toxic == 1).any() and (toxic != 1).any():
@@ -249,7 +252,7 @@ def fit(texts: list[str], toxic: np.ndarray, patterns: int = FIT_PATTERNS) -> Gr
     return grammar
 
 
-def _patterns(texts: list[str], toxic: np.ndarray, patterns: int) -> Grammar:
+def _patterns(texts: PackedTexts, toxic: np.ndarray, patterns: int) -> Grammar:
     """The grammar with its seeds and what the labelled texts teach, without the logistic function."""
     grammar = Grammar()
     for names, kind in ((SEED_TARGET, TARGET), (SEED_NEGATION, NEGATION), (SEED_REPORT, REPORT)):
@@ -262,14 +265,21 @@ def _patterns(texts: list[str], toxic: np.ndarray, patterns: int) -> Grammar:
             words = {w.strip(_ENDS + "\"'()[]*_-…«»“”„") for w in text.lower().split()}
             return {w for w in words if 2 < len(w) < 30 and w.isalpha()} | {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) >= k and w.isalpha()}
 
+        # documents by a hash of the pattern, so that only patterns of several documents are held
+        slot = lambda x: zlib.crc32(x.encode("utf-8", "surrogatepass")) & (PATTERN_SLOTS - 1)
+        seen = np.zeros(PATTERN_SLOTS, np.int32)
+        for i in positive.tolist():
+            np.add.at(seen, np.array([slot(x) for x in found(texts[i])], np.int64), 1)
         where: dict[str, list[int]] = {}
         begun: dict[str, set[str]] = {}
         for i in positive.tolist():
             for x in found(texts[i]):
-                where.setdefault(x, []).append(i)
+                if seen[slot(x)] >= 3:
+                    where.setdefault(x, []).append(i)
                 if not x.endswith("*"):
                     for k in BEGINNINGS:
-                        begun.setdefault(x[:k] + "*", set()).add(x)
+                        if seen[slot(x[:k] + "*")] >= 3:
+                            begun.setdefault(x[:k] + "*", set()).add(x)
         # a beginning of one or two words says no more than these
         where = {x: own for x, own in where.items() if len(own) >= 3 and (not x.endswith("*") or len(begun.get(x, ())) >= 3)}
         clean: dict[str, int] = dict.fromkeys(where, 0)
@@ -335,8 +345,11 @@ def training(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) ->
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> Grammar:
     """`fit` on `training`; without labelled documents the grammar has its seeds only."""
-    rows = sorted(((r["doc_id"], r["text"], int(r["toxic"])) for r in training(docs, labels, limit)), key=lambda r: r[:2])
-    return fit([r[1] for r in rows], np.array([r[2] for r in rows], np.int64))
+    rows = sorted((r["doc_id"], PackedTexts.pack(r["text"]), int(r["toxic"])) for r in training(docs, labels, limit))
+    grammar = fit(PackedTexts([r[1] for r in rows]), np.array([r[2] for r in rows], np.int64))
+    del rows
+    give_back()
+    return grammar
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
