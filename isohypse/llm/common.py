@@ -51,12 +51,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a temporary one only where that is unset."""
+    """This application's folder below spark.checkpoint.dir. Where that is unset: below the warehouse, which executors
+    share, or with a local master, as in tests, a temporary folder."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            base = tempfile.mkdtemp(prefix="isohypse-")
+            local = spark.sparkContext.master.split("[")[0] == "local"
+            base = tempfile.mkdtemp(prefix="isohypse-") if local else spark.conf.get("spark.sql.warehouse.dir")
             spark.sparkContext.setCheckpointDir(base)
         _scratch[app] = f"{base.rstrip('/')}/isohypse-{app}"
         atexit.register(cleanup, spark)

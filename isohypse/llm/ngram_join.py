@@ -100,7 +100,8 @@ def describe(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
             cls, bits = [], []
             for x in sets:
                 u = x.view(np.uint64)
-                cls.append(int(mix64(np.array([u.sum() + np.uint64(len(x)) + (mix64(u).sum() << np.uint64(1))], np.uint64)).view(np.int64)[0]) if len(x) else 0)
+                whole = u.sum(keepdims=True) + np.uint64(len(x)) + (mix64(u).sum(keepdims=True) << np.uint64(1))
+                cls.append(int(mix64(whole).view(np.int64)[0]) if len(x) else 0)
                 bits.append(parity(x, parity_bits(len(x))))
             hashes += sets
             waiting += int(n.sum())

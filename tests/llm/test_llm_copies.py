@@ -186,3 +186,15 @@ def test_long_words_keep_their_place():
     assert tree.least() == (3, 1) and (int(bpe.NONE) << bpe.PLACE_BITS) + (1 << 35) < 2**63
     tree.set(1, 7)
     assert tree.least() == (5, 0)
+
+
+def test_join_equals_its_sql(spark):
+    import duckdb
+
+    from isohypse.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    want = sorted(duck.execute(queries.ORACLE_SQL["op8_ngram_jaccard_join"]).fetchall())
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in queries.op8_ngram_jaccard_join(spark, d).collect()) == want
