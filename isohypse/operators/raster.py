@@ -138,11 +138,13 @@ def highest_level(cells: DataFrame, bands: list[tuple[int, float, float]]) -> Da
 
 
 def checkpoints(spark) -> None:
-    """Use the folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """Use the folder of spark.checkpoint.dir. Where that is unset: the warehouse, which executors share, or with a local
+    master, as in tests, a temporary folder."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="isohypse-"))
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="isohypse-") if local else spark.conf.get("spark.sql.warehouse.dir"))
 
 
 def region_labels(mask: DataFrame, eight: bool = True) -> DataFrame:
