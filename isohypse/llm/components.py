@@ -1,8 +1,9 @@
 """Distributed union-find, and links within groups that share a key.
 
-`components` contracts edges inside each task first (union-find on the task's own edges), then
-alternates large-star and small-star steps until every node points at its component's least id.
-No step holds more than one task's rows; nothing goes to the driver but a yes or no a round.
+`components` contracts edges inside each task (union-find on the task's own edges). Then rounds follow until
+every node points at its component's least id: a large-star step, and again union-find in tasks, now by
+the hash of the edges' larger ends. A task holds a forest of its own nodes only; nothing goes to the driver but
+a yes or no a round. More links later are joined on the components' labels, not on all links again.
 """
 
 from __future__ import annotations
@@ -54,19 +55,18 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours point at its least neighbour (itself included)."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+def _jump(edges: DataFrame) -> DataFrame:
+    """Each edge's smaller end gives way to its own least smaller neighbour, if it has one (the large-star step)."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
+    return edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours point at the least of these."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+def _settled(edges: DataFrame) -> bool:
+    """Whether no node points at two, and none at a node that itself points elsewhere."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("to"), F.lit(False).alias("met"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("to"), F.lit(True).alias("met")))
+    each = ends.groupBy("node").agg(F.min("to").alias("l"), F.max("to").alias("h"), F.bool_or("met").alias("met"))
+    return not each.agg(F.bool_or(F.expr("l is not null and (met or l <> h)")).alias("open")).first()["open"]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -77,18 +77,27 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.filter("a is not null and b is not null and a <> b")
     now = materialize(_contract(edges), "forest")
-    while True:
-        # settled when nothing points at a node that itself points elsewhere, and no node at two
-        moving = now.select(F.col("b").alias("a")).join(now.select("a"), "a", "left_semi")
-        twice = now.groupBy("a").agg(F.min("b").alias("l"), F.max("b").alias("h")).filter("l <> h").select("a")
-        if moving.unionByName(twice).isEmpty():
-            break
-        after = materialize(_small_star(_large_star(now)), "forest")
+    while not _settled(now):
+        # a task has a node once as the larger end, so a bucket gets no more of its rows than there are tasks
+        after = materialize(_contract(_jump(now).repartition(partitions(now.sparkSession), "a")), "forest")
         drop(now)
         now = after
     return now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), "b")).distinct().select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (id, component) of `labels` after more links (a, b): only their labels' graph is gone through."""
+    one, two = labels.selectExpr("id as a", "component as p"), labels.selectExpr("id as b", "component as q")
+    edges = links.join(one, "a", "left").join(two, "b", "left").selectExpr("coalesce(p, a) as a", "coalesce(q, b) as b")
+    moved = materialize(components(edges), "moved")
+    # a label is an id of its own component; ids without label so far are theirs
+    every = labels.select("id", "component").unionByName(moved.selectExpr("id", "id as component")).distinct()
+    out = every.join(moved.selectExpr("id as component", "component as to"), "component", "left")
+    after = materialize(out.select("id", F.coalesce("to", "component").alias("component")), "labels")
+    drop(moved)
+    return after
+
+
 def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) whose ends are in different components."""
     one, two = labels.selectExpr("id as a", "component as p"), labels.selectExpr("id as b", "component as q")
@@ -136,6 +145,7 @@ def linked(shared: DataFrame, star: DataFrame, verify: Callable[[DataFrame], Dat
     links = verify(first)
     drop(first)
     labels = materialize(components(links), "labels")
+    drop(links)
     rest = materialize(apart(star, labels), "star-rest")
     for cross in (None, *crosses):
         if cross:
@@ -145,12 +155,11 @@ def linked(shared: DataFrame, star: DataFrame, verify: Callable[[DataFrame], Dat
             rest = materialize(cross(named.join(mixed, "key"), star), "cross")
             drop(named)
         more = verify(rest)
-        before = links, labels, rest, more
-        links = materialize(links.unionByName(more), "pair-links")
-        labels = materialize(components(links), "labels")
-        for x in before:
+        after = joined(labels, more)
+        for x in (labels, rest, more):
             drop(x)
-    for x in (shared, star, links):
+        labels = after
+    for x in (shared, star):
         drop(x)
     return labels
 

@@ -145,6 +145,18 @@ def test_nearest_vectors_have_recall(spark):
 def test_components(spark, edges, want):
     frame = spark.createDataFrame(edges, "a long, b long").repartition(4)
     assert {r["id"]: r["component"] for r in components.components(frame).collect()} == want
+    # the same when the links come in two parts
+    first = components.materialize(components.components(spark.createDataFrame(edges[: len(edges) // 2], "a long, b long")), "labels")
+    rest = spark.createDataFrame(edges[len(edges) // 2 :], "a long, b long")
+    got = [(r["id"], r["component"]) for r in components.joined(first, rest).collect()]
+    assert len(got) == len(want) and dict(got) == want
+
+
+def test_components_long_path(spark):
+    n = 1500
+    names = [int(x) for x in np.random.default_rng(8).permutation(n)]
+    frame = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long").repartition(7)
+    assert {(r["id"], r["component"]) for r in components.components(frame).collect()} == {(i, 0) for i in range(n)}
 
 
 def test_join_of_repeated_ids_in_either_order(spark):
