@@ -20,6 +20,8 @@ from .common import drop, materialize, partitions
 
 #: Pairs that each id is tried in before its groups' other pairs.
 TRIES = 3
+#: Nodes that a task of a union-find round takes, and the tasks of a small round.
+NODES_A_TASK, LEAST_TASKS = 200_000, 4
 
 
 def union_find(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,12 +63,13 @@ def _jump(edges: DataFrame) -> DataFrame:
     return edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether no node points at two, and none at a node that itself points elsewhere."""
+def _state(edges: DataFrame) -> tuple[bool, int]:
+    """Whether no node points at two, and none at a node that itself points elsewhere; and the number of nodes."""
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("to"), F.lit(False).alias("met"))
     ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("to"), F.lit(True).alias("met")))
     each = ends.groupBy("node").agg(F.min("to").alias("l"), F.max("to").alias("h"), F.bool_or("met").alias("met"))
-    return not each.agg(F.bool_or(F.expr("l is not null and (met or l <> h)")).alias("open")).first()["open"]
+    found = each.agg(F.bool_or(F.expr("l is not null and (met or l <> h)")).alias("open"), F.count("*").alias("nodes")).first()
+    return not found["open"], found["nodes"]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -77,11 +80,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.filter("a is not null and b is not null and a <> b")
     now = materialize(_contract(edges), "forest")
-    while not _settled(now):
+    settled, nodes = _state(now)
+    while not settled:
         # a task has a node once as the larger end, so a bucket gets no more of its rows than there are tasks
-        after = materialize(_contract(_jump(now).repartition(partitions(now.sparkSession), "a")), "forest")
+        after = materialize(_contract(_jump(now).repartition(max(LEAST_TASKS, -(-nodes // NODES_A_TASK)), "a")), "forest")
         drop(now)
         now = after
+        settled, nodes = _state(now)
     return now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), "b")).distinct().select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
@@ -154,11 +159,14 @@ def linked(shared: DataFrame, star: DataFrame, verify: Callable[[DataFrame], Dat
             mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
             rest = materialize(cross(named.join(mixed, "key"), star), "cross")
             drop(named)
-        more = verify(rest)
-        after = joined(labels, more)
-        for x in (labels, rest, more):
-            drop(x)
-        labels = after
+        if not rest.isEmpty():
+            more = verify(rest)
+            if not more.isEmpty():
+                after = joined(labels, more)
+                drop(labels)
+                labels = after
+            drop(more)
+        drop(rest)
     for x in (shared, star):
         drop(x)
     return labels
