@@ -23,6 +23,8 @@ from .common import BATCH_BYTES, batches, drop, flat, materialize, mix64, text_o
 from .components import cross_by_sketch, linked, parity, shared_keys, star_pairs
 
 CHARS, ROWS, BANDS, HASHES, THRESHOLD = 8, 4, 20, 60, 0.75
+#: Bytes of lines that are hashed at a time, so that the arrays stay in a core's cache; decides speed only.
+PIECE_BYTES = 64 << 10
 #: Ids of lines that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -117,7 +119,7 @@ def _similar(pairs: DataFrame, lines: DataFrame, k: int, threshold: float) -> Da
 
     def run(rows):
         for batch in rows:
-            for part in batches(batch, np.diff(views(batch.column(2))[0]) + np.diff(views(batch.column(3))[0]), BATCH_BYTES):
+            for part in batches(batch, np.diff(views(batch.column(2))[0]) + np.diff(views(batch.column(3))[0]), PIECE_BYTES):
                 keep = similar(part.column(2), part.column(3), k, threshold)
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in part.columns[:2]], ["a", "b"])
 
@@ -130,7 +132,7 @@ def _sketches(ids: DataFrame, lines: DataFrame, k: int) -> DataFrame:
 
     def run(rows):
         for batch in rows:
-            for part in batches(batch, np.diff(views(batch.column(1))[0]), BATCH_BYTES):
+            for part in batches(batch, np.diff(views(batch.column(1))[0]), PIECE_BYTES):
                 hashes, size = shingle_hashes(part.column(1), k)
                 sets = [np.unique(x) for x in np.split(hashes, np.cumsum(size)[:-1])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x) for x in sets], pa.binary())], ["id", "n", "parity"])
@@ -152,8 +154,10 @@ def first_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
         for batch in rows:
             for part in batches(batch, np.diff(views(batch.column(1))[0]), BATCH_BYTES):
                 ids, first = np.unique(part.column(0).to_numpy(), return_index=True)
-                own = band_keys(flat(part.column(1).take(pa.array(first))))
-                yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(ids, BANDS))], ["key", "id"])
+                part = pa.RecordBatch.from_arrays([pa.array(ids), flat(part.column(1).take(pa.array(first)))], ["id", "line"])
+                for piece in batches(part, np.diff(views(part.column(1))[0]), PIECE_BYTES):
+                    own = band_keys(piece.column(1))
+                    yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(piece.column(0).to_numpy(), BANDS))], ["key", "id"])
 
     shared = shared_keys(all_lines(docs).select("id", "line").mapInArrow(keys, "key long, id long"))
     texts = candidate_lines(docs, shared.select("id"))
