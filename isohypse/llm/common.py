@@ -99,6 +99,11 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return out
 
 
+def written(df: DataFrame) -> bool:
+    """Whether `df` is a table that `materialize` made."""
+    return hasattr(df, "_isohypse_path")
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table that `materialize` made and nothing will read again."""
     if path := getattr(df, "_isohypse_path", None):

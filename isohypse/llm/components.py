@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, partitions
+from .common import drop, materialize, partitions, written
 
 
 #: Pairs that each id is tried in before its groups' other pairs.
@@ -184,7 +184,8 @@ def parity(hashes: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
 
 def cross_by_sketch(mixed: DataFrame, tried: DataFrame, sketches: Callable[[DataFrame], DataFrame], threshold: float, best: bool = False) -> DataFrame:
     """Pairs (a < b) of ids that share a key of `mixed` (key, id, label) under different labels and may have Jaccard similarity
-    `threshold`; `sketches` takes ids and returns (id, n, parity), n being the set's size. Pairs of `tried` don't come again.
+    `threshold`; `sketches` takes ids and returns their (id, n, parity), n being the set's size, or a written table that holds
+    them, which stays. Pairs of `tried` don't come again.
 
     The ids of all keys with one most frequent label are a family, in which each pair is looked at once. No pair is
     lost: two sets' parity sketches differ in at most as many bits as the sets in elements. The ids outside the
@@ -198,7 +199,8 @@ def cross_by_sketch(mixed: DataFrame, tried: DataFrame, sketches: Callable[[Data
     family = materialize(mixed.join(main, "key").select("main", "id", "label").distinct(), "family")
     size = family.groupBy("main").agg(F.count("*").alias("c"), F.count_if(F.col("label") != F.col("main")).alias("r"))
     many = family.join(size, "main")
-    own = materialize(sketches(family.select("id").distinct()), "sketches")
+    given = sketches(family.select("id").distinct())
+    own = given if written(given) else materialize(given, "sketches")
     many = many.selectExpr("main as key", "id", "label", "label <> main as outside", f"cast(ceil(r / {BLOCK}) as int) as p", f"cast(ceil(c / {BLOCK}) as int) as q")
     many = many.selectExpr("*", "cast(pmod(xxhash64(id, 1), p) as int) as i", "cast(pmod(xxhash64(id, 2), q) as int) as j")
     # an id outside the family's label meets all blocks of members, and is met as a member by all blocks of outsiders
@@ -219,8 +221,9 @@ def cross_by_sketch(mixed: DataFrame, tried: DataFrame, sketches: Callable[[Data
 
     found = dealt.mapInArrow(compare, "a long, b long").distinct()
     out = materialize(found.join(tried, ["a", "b"], "left_anti"), "crossing")
-    for x in (family, own):
-        drop(x)
+    drop(family)
+    if own is not given:
+        drop(own)
     return out
 
 

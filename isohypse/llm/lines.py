@@ -161,13 +161,21 @@ def first_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
 
     shared = shared_keys(all_lines(docs).select("id", "line").mapInArrow(keys, "key long, id long"))
     texts = candidate_lines(docs, shared.select("id"))
+    own: list[DataFrame] = []
+
+    def sketches(ids: DataFrame) -> DataFrame:
+        if not own:  # later ids are among the first ones, as components only grow together
+            own.append(materialize(_sketches(ids, texts, CHARS), "sketches"))
+        return own[0]
+
     labels = linked(
         shared,
         star_pairs(shared),
         lambda pairs: _similar(pairs, texts, CHARS, threshold),
-        [lambda mixed, tried, best=best: cross_by_sketch(mixed, tried, lambda ids: _sketches(ids, texts, CHARS), threshold, best) for best in (True, False)],
+        [lambda mixed, tried, best=best: cross_by_sketch(mixed, tried, sketches, threshold, best) for best in (True, False)],
     )
-    drop(texts)
+    for x in (texts, *own):
+        drop(x)
     labels = labels.where("id <> component")
     lines = all_lines(docs).select("doc_id", "line_no", "id").join(labels, "id", "left")
     lines = materialize(lines.select("doc_id", "line_no", F.coalesce("component", "id").alias("group")), "line-groups")
