@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lines, ngram_join, packing, quality, tokens, toxicity, vectors
+from . import codes, licenses, lines, ngram_join, packing, quality, tokens, toxicity, vectors
 from .common import read
 
 
@@ -57,10 +57,49 @@ def op10_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_hnsw_nearest, op3_best_fit_packing, op4_toxicity_grammar, op5_bpe_encode_decode, op6_token_ids_orc, op7_fuzzy_line_dedup, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_quality_ordinal)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_hnsw_nearest, op3_best_fit_packing, op4_toxicity_grammar, op5_bpe_encode_decode, op6_token_ids_orc, op7_fuzzy_line_dedup, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_quality_ordinal, op11_vector_codes)}
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Product quantization in whole numbers: each round's assignment and means as relations of their own.
+
+    Sums stay far under 2^53, so that products of doubles are exact.
+    """
+    nearest = """
+near{k} as materialized (
+    select r, p, any_value(x) x, arg_min(e, (d, e)) e, cast(min(d) as bigint) d
+    from (select r, parts.p, parts.x, e, list_inner_product(parts.x, parts.x) - 2 * list_inner_product(parts.x, b.x) + list_inner_product(b.x, b.x) d
+          from parts join book{k} b on parts.p = b.p)
+    group by r, p)"""
+    refined = """
+sums{k} as (
+    select p, e, i, cast(sum(cast(x[i] as bigint)) as bigint) s, count(*) n
+    from near{k}, (select unnest(range(1, (select any_value(len(x)) + 1 from parts))) i) group by p, e, i),
+means{k} as (select p, e, list(cast((s - ((s % n) + n) % n) // n as double) order by i) x from sums{k} group by p, e),
+book{next} as materialized (select b.p, b.e, coalesce(m.x, b.x) x from book{k} b left join means{k} m on b.p = m.p and b.e = m.e)"""
+    steps = [nearest.format(k=k) + ("," + refined.format(k=k, next=k + 1) if k < rounds else "") for k in range(rounds + 1)]
+    return f"""
+with kept as materialized (
+    select vec_id, label, row_number() over (order by vec_id nulls last, embedding) r, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) v
+    from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select r, p, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] x from kept, (select unnest(range(4)) p)),
+book0 as materialized (select p, r - 1 e, x from parts where r <= 256),
+{",".join(steps)},
+digest as (
+    select sha256(string_agg(cast(cast(c as bigint) as varchar), ',' order by p, e, i)) h
+    from (select p, e, unnest(x) c, unnest(range(1, len(x) + 1)) i from book{rounds})),
+coded as (select r, string_agg(printf('%02x', e), '' order by p) code, cast(sum(d) as bigint) error from near{rounds} group by r)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, h codebooks_sha256
+from coded join kept using (r), digest"""
+
 
 #: Nearest vectors and cosines are left out: their sums' last bits differ between engines. The tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
     "op8_ngram_jaccard_join": r"""
 with recursive words as (
     select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w
