@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codes, licenses, lines, ngram_join, packing, quality, tokens, toxicity, vectors
+from . import bins, codes, licenses, lines, ngram_join, packing, quality, tokens, toxicity, vectors
 from .common import read
 
 
@@ -61,7 +61,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_hnsw_nearest, op3_best_fit_packing, op4_toxicity_grammar, op5_bpe_encode_decode, op6_token_ids_orc, op7_fuzzy_line_dedup, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_quality_ordinal, op11_vector_codes)}
+def op12_vector_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bins.pack_documents(read(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_hnsw_nearest, op3_best_fit_packing, op4_toxicity_grammar, op5_bpe_encode_decode, op6_token_ids_orc, op7_fuzzy_line_dedup, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_quality_ordinal, op11_vector_codes, op12_vector_bins)}
 
 
 def _codes_sql(rounds: int = 4) -> str:
