@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bins, codes, licenses, lines, ngram_join, packing, quality, tokens, toxicity, vectors
+from . import bins, codes, divergence, licenses, lines, ngram_join, packing, quality, tokens, toxicity, vectors
 from .common import read
 
 
@@ -65,7 +65,11 @@ def op12_vector_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bins.pack_documents(read(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_hnsw_nearest, op3_best_fit_packing, op4_toxicity_grammar, op5_bpe_encode_decode, op6_token_ids_orc, op7_fuzzy_line_dedup, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_quality_ordinal, op11_vector_codes, op12_vector_bins)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_hnsw_nearest, op3_best_fit_packing, op4_toxicity_grammar, op5_bpe_encode_decode, op6_token_ids_orc, op7_fuzzy_line_dedup, op8_ngram_jaccard_join, op9_embedding_near_dedup, op10_quality_ordinal, op11_vector_codes, op12_vector_bins, op13_source_divergence)}
 
 
 def _codes_sql(rounds: int = 4) -> str:
@@ -104,6 +108,41 @@ from coded join kept using (r), digest"""
 #: Nearest vectors and cosines are left out: their sums' last bits differ between engines. The tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op11_vector_codes": _codes_sql(),
+    "op13_source_divergence": r"""
+with docs as (
+    select row_number() over () d, coalesce(lang, '') lang, coalesce(source, '') source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t
+    from documents),
+found as (select d, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from docs),
+kept as materialized (select lang, term from found group by lang, term having count(distinct d) >= 3),
+counts as materialized (select lang, source, term, count(*) n from found join kept using (lang, term) group by lang, source, term),
+groups as (select distinct lang, source from docs),
+sizes as (select lang, count(*) v from kept group by lang),
+totals as (select lang, source, sum(n) total from counts group by lang, source),
+p as materialized (
+    select g.lang, g.source, k.term, coalesce(c.n, 0) n,
+        cast(1 + (cast(1000000000 as hugeint) * (coalesce(c.n, 0) + 1)) // (coalesce(t.total, 0) + s.v) as bigint) p
+    from groups g join kept k on g.lang = k.lang join sizes s on g.lang = s.lang
+    left join totals t on g.lang = t.lang and g.source = t.source
+    left join counts c on g.lang = c.lang and g.source = c.source and k.term = c.term),
+whole as (
+    select lang, term, cast(1 + (cast(1000000000 as hugeint) * (sum(n) + 1)) // (any_value(total) + any_value(v)) as bigint) q
+    from counts join (select lang, sum(n) total from counts group by lang) using (lang) join sizes using (lang)
+    group by lang, term),
+sums as (
+    select a.lang, a.source, b.source item, cast(sum((a.p - b.p) * (a.p - b.p) // b.p) as bigint) s
+    from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+pairs as (
+    select a.lang, a.source, 'pair' part, b.source item, coalesce(s, 0) as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join sums on sums.lang = a.lang and sums.source = a.source and sums.item = b.source),
+leading_terms as (
+    select lang, source, 'term' part, term item, (p - q) * (p - q) // q as value
+    from p join whole using (lang, term) where n > 0 and p > q)
+select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) rank
+from (select * from pairs union all select * from leading_terms)
+qualify part = 'pair' or row_number() over (partition by lang, source, part order by value desc, item) <= 200
+""",
     "op8_ngram_jaccard_join": r"""
 with recursive words as (
     select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w
