@@ -10,11 +10,15 @@ Windows without any shingle of a template can't agree on a band; they are left o
 
 A template of at most SPAN - STEP + 1 words is one window; a longer one has a window at each word. Windows
 only say where to look: a match needs CONTAINED of the whole template's distinct shingles, by exact count, in
-one passage of the document, which is 1 / CONTAINED times as long as the template, SPAN words at least.
+one passage of the document, which is 1 / CONTAINED times as long as the template, SPAN words at least. Licenses
+differ in a word or two, so all shingles of a template's name (what braces enclose in it) have to be in that passage: another
+version, and a variant that isn't in the list, match nothing. Notices that licenses share have a label of their own.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,35 +26,35 @@ from .common import materialize, text_or_empty
 
 WORDS, SPAN, STEP, BANDS, CONTAINED = 3, 9, 3, 18, 0.8
 
-# Fixed notices of public licenses, as commonly written.
+# Fixed notices of public licenses, as commonly written. What braces enclose names the license.
 TEMPLATES = {
     "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "Licensed under the {Apache License, Version 2.0}.",
+        'Licensed under the {Apache License, Version 2.0} (the "License"); you may not use this file except in compliance with the License.',
         'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
     ],
     "MIT": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
+        "Released under the {MIT License}.",
+        "Licensed under the {MIT License}.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
         'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY',
     ],
     "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+        "This work is licensed under the {GNU General Public License, version 3}.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the {GNU General Public License as published by the Free Software Foundation, either version 3 of the License}",
     ],
+    # the same in all versions
+    "GPL": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."],
     "CC-BY-NC-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "BSD-3-Clause": [
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Licensed under {CC BY-NC 4.0}.",
+        "This work is licensed under a {Creative Commons Attribution-NonCommercial 4.0 International} License.",
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "CC-BY-4.0": ["Licensed under {CC BY 4.0}.", "This work is licensed under a {Creative Commons Attribution 4.0 International} License."],
+    "CC-BY-SA-4.0": ["Licensed under {CC BY-SA 4.0}.", "This work is licensed under a {Creative Commons Attribution-ShareAlike 4.0 International} License."],
+    "BSD-3-Clause": ["Licensed under the {BSD 3-Clause License}."],
+    # the same for two and three clauses
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the {Mozilla Public License, v. 2.0}."],
 }
 
 
@@ -72,21 +76,32 @@ def _shingles(words: str) -> str:
 _BANDS = f"transform(sequence(0, {BANDS - 1}), b -> array_min(transform(ws, x -> xxhash64(b, x))))"
 
 
+def names(text: str) -> list[str]:
+    """What braces enclose in a template; with the words before it where it has fewer than a shingle."""
+    out = []
+    for m in re.finditer(r"\{([^}]*)\}", text):
+        short = WORDS - len(re.findall(r"[\w.]+", m[1]))
+        out.append(" ".join([*(text[: m.start()].split()[-short:] if short > 0 else []), m[1]]))
+    return out
+
+
 def templates(spark, table: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """license, template, n_words, ts (the template's distinct shingles), window, ws (the window's), bands."""
-    rows = [(name, i, text) for name, texts in table.items() for i, text in enumerate(texts)]
-    t = spark.createDataFrame(rows, "license string, template int, text string").withColumn("w", F.expr(_SPLIT))
+    """license, template, n_words, ts (the template's distinct shingles), must (its names'), window, ws (the window's), bands."""
+    rows = [(name, i, text, names(text)) for name, texts in table.items() for i, text in enumerate(texts)]
+    t = spark.createDataFrame(rows, "license string, template int, text string, names array<string>").withColumn("w", F.expr(_SPLIT))
+    of_name = _let(_SPLIT.replace("lower(text)", "lower(called)"), "u", _shingles("u"))
+    t = t.withColumn("must", F.expr(f"array_distinct(flatten(transform(names, called -> {of_name})))"))
     t = t.withColumn("n_words", F.size("w")).withColumn("ts", F.expr(f"array_distinct({_let('w', 'u', _shingles('u'))})"))
     whole = SPAN - STEP + 1
     t = t.withColumn("p", F.explode(F.expr(f"sequence(0, greatest(0, case when size(w) <= {whole} then 0 else size(w) - {whole} end))"))).withColumn("v", F.expr(f"slice(w, p + 1, {whole})"))
     t = t.withColumn("ws", F.expr(f"array_distinct({_let('v', 'u', _shingles('u'))})"))
-    return t.select("license", "template", "n_words", "ts", F.col("p").alias("window"), "ws", F.expr(_BANDS).alias("bands"))
+    return t.select("license", "template", "n_words", "ts", "must", F.col("p").alias("window"), "ws", F.expr(_BANDS).alias("bands"))
 
 
 def scan(docs: DataFrame, table: dict[str, list[str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, license, template, n_windows, first_word, containment: a row for each document and template that matches.
 
-    containment is the share of the whole template's shingles that the best passage has. n_windows counts
+    containment is the share of the whole template's shingles that the best passage with the template's name has. n_windows counts
     the document's windows that match in passages with CONTAINED of them, first_word is the first such
     window's place in words. Null, empty and wordless texts match nothing; rows that repeat a doc_id count
     together, and a null doc_id comes back null. Other columns are ignored; no documents give no rows. The
@@ -110,11 +125,11 @@ def scan(docs: DataFrame, table: dict[str, list[str]] = TEMPLATES, doc_id: str =
     exact = pairs.where(F.size(F.array_intersect("ts", "ws")) >= CONTAINED * F.size("ts"))
     seen = exact.groupBy("row", "license", "template").agg(F.collect_set("p").alias("ps"))
     # the whole template, in the documents that have windows of it
-    whole = index.select("license", "template", "n_words", "ts").where("window = 0").withColumn("span", F.expr(f"greatest({SPAN}, cast(ceil(n_words / {CONTAINED}D) as int))"))
+    whole = index.where("window = 0").select("license", "template", "n_words", "ts", "must").withColumn("span", F.expr(f"greatest({SPAN}, cast(ceil(n_words / {CONTAINED}D) as int))"))
     full = seen.join(found.select("row", "doc_id", "s"), "row").join(F.broadcast(whole), ["license", "template"])
-    share = f"size(array_intersect(ts, slice(s, a + 1, greatest(1, span - {WORDS - 1})))) / size(ts)"
-    full = full.withColumn("at", F.expr(f"transform(filter(sequence(0, size(s) - 1), a -> array_contains(ts, s[a])), a -> struct(a, {share} as c))"))
-    full = full.withColumn("good", F.expr(f"filter(at, x -> x.c >= {CONTAINED}D)")).where("size(good) > 0")
+    part = _let(f"slice(s, a + 1, greatest(1, span - {WORDS - 1}))", "part", "struct(a, size(array_intersect(ts, part)) / size(ts) as c, size(array_except(must, part)) = 0 as named)")
+    full = full.withColumn("at", F.expr(f"transform(filter(sequence(0, size(s) - 1), a -> array_contains(ts, s[a])), a -> {part})"))
+    full = full.withColumn("good", F.expr(f"filter(at, x -> x.c >= {CONTAINED}D and x.named)")).where("size(good) > 0")
     # windows that a good passage touches, a multiple of STEP each
     touched = f"array_distinct(flatten(transform(good, x -> sequence(greatest(0, x.a - {SPAN - STEP}) div {STEP} * {STEP}, (x.a + span - 1) div {STEP} * {STEP}, {STEP}))))"
     full = full.select("doc_id", "license", "template", F.expr(f"array_intersect(ps, transform({touched}, x -> cast(x as int)))").alias("ps"), F.expr("array_max(good.c)").alias("c"))

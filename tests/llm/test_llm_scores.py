@@ -1,5 +1,7 @@
 """License scans, toxicity and quality on small fixtures and held-out labels."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
@@ -139,7 +141,50 @@ def test_license_windows_meet_as_often_as_stated(spark):
     ("This work is licensed under a Creative approach to contracts.", set()),
     ("gives it without warranty of any kind, express or implied", set()),
     ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", {"MIT", "Apache-2.0"}),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", {"CC-BY-NC-4.0"}),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0"}),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", set()),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", set()),
+    ("This work is licensed under the GNU General Public License, version 2.", set()),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", set()),
+    ("Licensed under CC BY-NC-ND 4.0. Licensed under CC BY 3.0. Licensed under CC BY-SA 4.0!", {"CC-BY-SA-4.0"}),
 ])
 def test_license_needs_the_whole_template(spark, text, want):
     docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "licensed")], "doc_id long, text string")
     assert {(r["doc_id"], r["license"]) for r in licenses.scan(docs).collect()} == {(1, x) for x in want}
+
+
+def test_licenses_are_those_of_all_passages(spark):
+    """Every passage of every document is looked at, by words and sets of their own."""
+    rng = np.random.default_rng(8)
+    plain = [(name, i, text) for name, texts in licenses.TEMPLATES.items() for i, text in enumerate(texts)]
+    filler = "the notice was posted under a tree near public license street and commons".split()
+
+    def cut(text):
+        return [w for w in re.sub(r"[^\w.]+|\.(?!\w)|(?<!\w)\.", " ", text.lower()).split() if w]
+
+    docs = []
+    for d in range(240):
+        words = []
+        for k in rng.integers(0, len(plain), rng.integers(0, 3)):
+            own = cut(plain[k][2])
+            for _ in range(rng.integers(0, 3)):
+                at = int(rng.integers(0, len(own)))
+                own[at : at + 1] = [[], [own[at], "really"], ["version"], ["2.0"]][rng.integers(0, 4)]
+            words += list(rng.choice(filler, rng.integers(0, 12))) + own
+        docs.append((d, " ".join(words + list(rng.choice(filler, rng.integers(0, 12))))))
+
+    def shingles(words):
+        return [tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+
+    want = set()
+    for d, text in docs:
+        own = shingles(cut(text))
+        for name, i, template in plain:
+            n = len(cut(template))
+            ts, must = set(shingles(cut(template))), {x for called in licenses.names(template) for x in shingles(cut(called))}
+            span = max(9, -int(-n / 0.8 // 1)) - 2
+            if any(len(ts & set(own[a : a + span])) >= 0.8 * len(ts) and must <= set(own[a : a + span]) for a in range(len(own))):
+                want.add((d, name, i))
+    got = {(r["doc_id"], r["license"], r["template"]) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and len(want) > 60
