@@ -191,8 +191,11 @@ def cross_by_sketch(mixed: DataFrame, tried: DataFrame, sketches: Callable[[Data
     lost: two sets' parity sketches differ in at most as many bits as the sets in elements. The ids outside the
     family's label are compared with all members, in blocks of BLOCK by BLOCK that go to tasks of their own. With
     `best`, only the likeliest partners of an id in each block come. A sketch's bits are a power of two; similar sets'
-    lengths differ by a factor of two at most, and the longer one is folded.
+    lengths differ by a factor of two at most, and the longer one is folded; that holds for thresholds from 0.5 on, and a
+    lower one is an error.
     """
+    if threshold < 0.5:
+        raise ValueError("sketches of sets that differ twofold in length are compared, which a threshold of 0.5 or more needs")
     spark = mixed.sparkSession
     by_label = mixed.groupBy("key", "label").agg(F.count("*").alias("m"))
     main = by_label.groupBy("key").agg(F.max(F.struct("m", "label")).alias("main")).selectExpr("key", "main.label as main")

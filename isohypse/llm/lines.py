@@ -2,9 +2,9 @@
 
 A line's set is its shingles of CHARS consecutive characters (a shorter line is one shingle). Its
 signature has HASHES least values under as many multiplications of the shingles' hashes by odd numbers;
-BANDS bands join ROWS of them each, and lines that agree on a band are candidates. With bands of values
-of their own, two lines of similarity s would meet with probability 1 - (1 - s^ROWS)^BANDS; as a few values are in two
-bands, it is 0.998 at the threshold, 0.9998 at 0.8, 0.7 at 0.5 and 1e-8 at 0.005, where unrelated lines are.
+BANDS bands join ROWS of them each, no value in two bands, and lines that agree on a band are candidates. Two lines
+of similarity s meet with probability 1 - (1 - s^ROWS)^BANDS: 0.998 at the threshold, 0.9998 at 0.8, 0.64 at 0.5 and 1e-8
+at 0.005, where unrelated lines are.
 Candidates' Jaccard similarity is then computed exactly, and of each component of similar lines the first
 by (doc_id, line_no) stays.
 
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from .common import BATCH_BYTES, batches, drop, flat, materialize, mix64, text_or_empty, views
 from .components import cross_by_sketch, linked, parity, shared_keys, star_pairs
 
-CHARS, ROWS, BANDS, HASHES, THRESHOLD = 8, 4, 20, 60, 0.75
+CHARS, ROWS, BANDS, THRESHOLD = 8, 4, 16, 0.75
+HASHES = ROWS * BANDS
 #: Bytes of lines that are hashed at a time, so that the arrays stay in a core's cache; decides speed only.
 PIECE_BYTES = 64 << 10
 #: Ids of lines that may be broadcast; more are joined by a shuffle.
@@ -30,7 +31,6 @@ BROADCAST_IDS = 400_000
 
 _RNG = np.random.default_rng(4099)
 _A = _RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_BANDS = np.concatenate([_RNG.permutation(HASHES).reshape(-1, ROWS) for _ in range(-(-BANDS * ROWS // HASHES))])[:BANDS]
 
 
 def shingle_hashes(lines: pa.Array, k: int = CHARS) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +73,7 @@ def band_keys(lines: pa.Array) -> np.ndarray:
     keys = np.zeros((len(size), BANDS), np.uint64)
     for b in range(BANDS):
         for r in range(ROWS):
-            keys[:, b] = mix64(keys[:, b] + least[_BANDS[b, r]] * np.uint64(0x9E3779B1) + np.uint64(b + 1))
+            keys[:, b] = mix64(keys[:, b] + least[b * ROWS + r] * np.uint64(0x9E3779B1) + np.uint64(b + 1))
     return keys.view(np.int64)
 
 
@@ -146,8 +146,11 @@ def first_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     The keeper is the first line by (doc_id, line_no) of the component of similar lines; kept: whether
     the line is its own keeper. Lines end at \\n; blank ones (white space only) take no part. A null
     text has no lines; rows with a null doc_id come first in the order. Rows that repeat a doc_id count
-    as the same document: their lines of one number are at one place, kept or dropped together.
+    as the same document: their lines of one number are at one place, kept or dropped together. The bands
+    are made for THRESHOLD: a lower one is an error.
     """
+    if threshold < THRESHOLD:
+        raise ValueError(f"bands meet at similarities from {THRESHOLD} on")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
 
     def keys(rows):

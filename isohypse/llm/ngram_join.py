@@ -220,8 +220,16 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Two documents link when their sets' Jaccard similarity is at least t; component_id is the least
     doc_id reachable by links. A null, empty or blank text has no shingles and links with nothing. Rows
     that repeat a doc_id are a document each with that id, in any order; a null doc_id takes no part in links,
-    and its component is null. Other columns are ignored. No documents give no rows.
+    and its component is null. Other columns are ignored. No documents give no rows. Sets of two elements
+    are put where only equal ones meet them, so t is over two thirds; else an error is raised.
     """
+    return joined_rows(docs, doc_id, text, k, t).drop("h")
+
+
+def joined_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, t: Fraction = THRESHOLD) -> DataFrame:
+    """The rows of `join_components` with h, the 64-bit hash of their text (null: empty): rows of one doc_id may have several texts."""
+    if 3 * t <= 2:
+        raise ValueError("a threshold over two thirds is needed")
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text")).withColumn("h", F.xxhash64("text"))
     described, seen = describe(docs, k)
@@ -254,4 +262,4 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = classes.select("cls", "id").join(labels.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = least.join(least.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("cls", "component_id")
     out = described.join(named, "cls", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), "h", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))

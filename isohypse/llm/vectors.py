@@ -108,7 +108,7 @@ def buckets(x: np.ndarray, together: int, tables: int | None = None, probes: int
         order = np.argsort(np.stack(costs, 1), axis=1, kind="stable")[:, : probes - 1]
         out[:, t, 0] = own
         out[:, t, 1:] = own[:, None] + np.take_along_axis(np.stack(choices, 1), order, 1)
-        out[:, t] = mix64(out[:, t] + np.uint64(0xD6E8FEB86659FD93) * np.uint64(t))
+        out[:, t] = mix64(out[:, t] + np.uint64(0xD6E8FEB86659FD93 * t & (2**64 - 1)))
     return out
 
 

@@ -180,7 +180,7 @@ def test_folded_sketches_bound_the_difference():
 def test_line_columns_may_clash(spark):
     docs = spark.createDataFrame([(1, "a line of text here", "u", 2), (2, "a line of text here\nother words", "v", 3), (None, "a line of text here", "w", 4)], "doc_id long, text string, kept_id string, kept int")
     got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(docs).collect()}
-    assert got == {2: "other words", None: "a line of text here"} or got[1] == "a line of text here"
+    assert got == {2: "other words", None: "a line of text here"}  # null ids come first; nothing is left of document 1
     assert lines.drop_repeated_lines(docs).columns == docs.columns
 
 
@@ -188,7 +188,7 @@ def test_bands_meet_as_often_as_stated():
     rng = np.random.default_rng(3)
     for s, least in ((0.75, 0.995), (0.8, 0.999)):
         agree = rng.random((20000, lines.HASHES)) < s
-        assert np.mean(np.any([agree[:, b].all(1) for b in lines._BANDS], 0)) >= least
+        assert np.mean(np.any(agree.reshape(20000, lines.BANDS, lines.ROWS).all(2), 1)) >= least
 
 
 def test_long_words_keep_their_place():
