@@ -1,10 +1,6 @@
 """Places where a query once did less than its whole job."""
 
-import numpy as np
-import pytest
-
 from isohypse import catalog
-from isohypse.llm import licenses, vectors
 from isohypse.operators import places, raster, segments
 from isohypse.plans import output
 
@@ -35,31 +31,6 @@ def test_box_pairs_equal_all_pairs(spark):
     assert want and sorted(tuple(r) for r in places.box_pairs(b).select("a", "b").collect()) == want
 
 
-def test_licenses_need_the_whole_template(spark):
-    by = licenses.TEMPLATES["CC-BY-4.0"][1]
-    long = licenses.TEMPLATES["MIT"][2]
-    words = long.split()
-    pad = "other words stand here before and after it " * 7
-    rows = [(1, pad + by + pad), (2, licenses.TEMPLATES["Apache-2.0"][0]), (3, pad + " ".join(words[:20]) + " " + pad), (4, pad + " ".join([*words[:12], "altered", *words[13:]])), (5, " ".join(words[:15]) + " " + pad * 3 + " ".join(words[15:]))]
-    got = {(r["doc_id"], r["license"], r["template"]): r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert set(got) == {(1, "CC-BY-4.0", 1), (2, "Apache-2.0", 0), (4, "MIT", 2)}
-    n = len(words) - 2
-    assert got[1, "CC-BY-4.0", 1]["containment"] == 1 and abs(got[4, "MIT", 2]["containment"] - (n - 3) / n) < 1e-12
-    assert 48 <= got[1, "CC-BY-4.0", 1]["first_word"] <= 60 and got[4, "MIT", 2]["n_windows"] > 3
-
-
-@pytest.mark.parametrize("rows,together", [(10**4, 2), (10**6, 3), (10**8, 4)])
-def test_vectors_meet_at_every_size(rows, together):
-    assert vectors.rotations(rows, 64) == together
-    rng = np.random.default_rng(3)
-    x, z = rng.normal(size=(2, 1000, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    z -= (z * x).sum(1)[:, None] * x
-    y = 0.9 * x + np.sqrt(1 - 0.9**2) * z / np.linalg.norm(z, axis=1)[:, None]
-    a, b = (vectors.buckets(v, together) for v in (x, y))
-    assert ((a[:, :, :1] == b).any((1, 2)) | (b[:, :, :1] == a).any((1, 2))).all()
-
-
 def area(ring):
     return abs(sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(ring, [*ring[1:], ring[0]]))) / 2
 
