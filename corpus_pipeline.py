@@ -7,8 +7,8 @@
 5. best-fit packing: the pieces of all documents in sequences of 4096 ids (operator 3).
 
 All but the last return the columns of their input. No part of it can be said in SQL: the models are
-fitted, and signatures and ids come from hashes and a tokenizer. The tests hold each stage against a
-brute-force version.
+fitted, and signatures and ids come from hashes and a tokenizer. The tests hold the near-copy stage against
+all pairs, the packing against plain counting, and the others against their operators.
 """
 
 from __future__ import annotations
@@ -36,13 +36,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a null doc_id stay; of rows that repeat a kept doc_id all stay."""
+    """Rows with a null doc_id or no words stay; rows that repeat a doc_id are decided by their texts."""
     tune(spark)
-    groups = ngram_join.join_components(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct().withColumn("kept", F.lit(True))
+    groups = ngram_join.joined_rows(docs)
+    kept = groups.where("doc_id = component_id").select("doc_id", "h").distinct().withColumn("kept", F.lit(True))
     one, two = docs.alias("one"), kept.alias("two")
-    joined = one.join(two, F.col("one.doc_id") == F.col("two.doc_id"), "left")
-    return joined.where("two.kept or one.doc_id is null").select("one.*")
+    same = (F.col("one.doc_id") == F.col("two.doc_id")) & (F.xxhash64(F.coalesce(F.col("one.text"), F.lit(""))) == F.col("two.h"))
+    return one.join(two, same, "left").where("two.kept or one.doc_id is null").select("one.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
