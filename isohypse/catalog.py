@@ -366,14 +366,6 @@ def g06_hatch_lines(spark, d):
     return _round(lines.hatch_lines(_boxes(spark, d), 45, 4.0), 4, *segments.ENDS)
 
 
-@query()
-def g07_hatch_clip(spark, d):
-    box = _boxes(spark, d)
-    ring = F.array(*[F.struct(F.col(a).alias("ax"), F.col(b).alias("ay"), F.col(c).alias("bx"), F.col(e).alias("by")) for a, b, c, e in (("xmin", "ymin", "xmax", "ymin"), ("xmax", "ymin", "xmax", "ymax"), ("xmax", "ymax", "xmin", "ymax"), ("xmin", "ymax", "xmin", "ymin"))])
-    edges = box.select("id", F.explode(ring).alias("e")).select("id", "e.*")
-    return _round(lines.hatch_clip(lines.hatch_lines(box, 45, 4.0), edges), 4, *segments.ENDS)
-
-
 @query("select id, round(12 * 6, 4) + 0e0 planar, round((6378137e0 * 6378137e0 / 2) * radians(12) * 2 * (sin(radians(lat + 6)) - sin(radians(lat))), -3) + 0e0 sphere from places where lat < 80", "places")
 def f07_f20_areas(spark, d):
     p = rel.places(spark, d).where("lat < 80")
@@ -486,12 +478,6 @@ def g25_blob_centres(spark, d):
     return _round(blobs.groupBy("region").agg(F.avg("y").alias("y"), F.avg("x").alias("x"), F.count("*").alias("n")), 4, "y", "x")
 
 
-@query()
-def g22_level_hatching(spark, d):
-    """Boxes of each level's cells, hatched at 4 - 0.2 * level."""
-    boxes = raster.slice_levels(rel.cells(spark, d), BANDS).groupBy(F.col("level").cast("long").alias("id")).agg(*[f(c).cast("double").alias(f"{c}{n}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max"))])
-    out = None
-    for level, _, _ in BANDS:
-        one = lines.hatch_lines(boxes.where(F.col("id") == level), 45, 4.0 - 0.2 * level)
-        out = one if out is None else out.unionByName(one)
-    return _round(out, 4, *segments.ENDS)
+# ---- polygons, distances, resampling and text register themselves here
+
+from . import catalog_shapes  # noqa: E402, F401

@@ -171,6 +171,15 @@ def region_labels(mask: DataFrame, eight: bool = True) -> DataFrame:
         now = after.drop("moved")
 
 
+def rectangle(cells: DataFrame) -> DataFrame:
+    """y, x of all cells of the rectangle about the given ones, made row by row in as many tasks as Spark deals them to."""
+    y0, y1, x0, x1 = cells.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    spark = cells.sparkSession
+    if y0 is None:
+        return spark.createDataFrame([], "y int, x int")
+    return spark.range(y0, y1 + 1).select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(int(x0)).cast("int"), F.lit(int(x1)).cast("int"))).alias("x"))
+
+
 def _rings(edges: list[tuple]) -> list[list[tuple[int, int]]]:
     """Closed rings of corners (y, x) from directed edges (y1, x1, y2, x2, fy, fx) that face the cell (fy, fx).
 

@@ -50,11 +50,12 @@ def pen_counters(segments: DataFrame) -> DataFrame:
 def crop(segments: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
     """Segments' parts in a box (Liang and Barsky), moved to its corner; points go."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    t0, t1, inside = F.lit(0.0), F.lit(1.0), F.lit(True)
-    for d, room in ((-dx, F.col("x1") - xmin), (dx, xmax - F.col("x1")), (-dy, F.col("y1") - ymin), (dy, ymax - F.col("y1"))):
-        t = room / F.nullif(d, F.lit(0.0))
-        t0 = F.when(d < 0, F.greatest(t0, t)).otherwise(t0)
-        t1 = F.when(d > 0, F.least(t1, t)).otherwise(t1)
+    sides = ((-dx, F.col("x1") - xmin), (dx, xmax - F.col("x1")), (-dy, F.col("y1") - ymin), (dy, ymax - F.col("y1")))
+    # greatest and least pass over nulls: a side that isn't entered, or left, has no ratio
+    t0 = F.greatest(F.lit(0.0), *[F.when(d < 0, room / d) for d, room in sides])
+    t1 = F.least(F.lit(1.0), *[F.when(d > 0, room / d) for d, room in sides])
+    inside = F.lit(True)
+    for d, room in sides:
         inside = inside & ((d != 0) | (room >= 0))
     out = segments.withColumn("_t0", t0).withColumn("_t1", t1).where(inside & (F.col("_t0") < F.col("_t1")))
     at = lambda a, b, t, o: F.col(a) + (F.col(b) - F.col(a)) * F.col(t) - o

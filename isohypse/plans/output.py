@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.polygons import CELL, box_cells
 from ..operators.segments import budgeted, dips, drawn_order, pen_lifts
 
 
-def fold_zones(points: DataFrame, zones: DataFrame) -> DataFrame:
-    """Points (layer_rank, x, y, ...) outside the zones (zone_rank, xmin, ymin, xmax, ymax) of layers drawn before them."""
+def fold_zones(points: DataFrame, zones: DataFrame, cell: float = CELL) -> DataFrame:
+    """Points (layer_rank, x, y, ...) outside the zones (zone_rank, xmin, ymin, xmax, ymax) of layers drawn before them.
+
+    A zone meets points through the cells that it touches. `polygons.subtract_zones` does the same to lines.
+    """
     inside = (F.col("x") >= F.col("xmin")) & (F.col("x") <= F.col("xmax")) & (F.col("y") >= F.col("ymin")) & (F.col("y") <= F.col("ymax"))
-    return points.join(zones, inside & (F.col("zone_rank") < F.col("layer_rank")), "left_anti")
+    at = points.withColumn("row", F.floor(F.col("y") / cell)).withColumn("col", F.floor(F.col("x") / cell)).alias("at")
+    near = box_cells(zones, cell).alias("near")
+    same = (F.col("at.row") == F.col("near.row")) & (F.col("at.col") == F.col("near.col"))
+    return at.join(near, same & inside & (F.col("zone_rank") < F.col("layer_rank")), "left_anti").drop("row", "col")
 
 
 def svg_lines(segments: DataFrame) -> DataFrame:
@@ -39,8 +46,9 @@ def gcode(segments: DataFrame, most: float = 5000.0, dip: float | None = 120.0)
 
 
 def write_gcode(commands: DataFrame, path: str) -> None:
-    """A folder for each layer and file."""
-    commands.orderBy("layer", "seq").select("layer", "file", F.col("lines").alias("value")).write.mode("overwrite").partitionBy("layer", "file").text(path)
+    """A folder for each layer and file, its lines in order in one file."""
+    ordered = commands.repartition("layer", "file").sortWithinPartitions("layer", "file", "seq")
+    ordered.select("layer", "file", F.col("lines").alias("value")).write.mode("overwrite").partitionBy("layer", "file").text(path)
 
 
 def overwrite_stage(df: DataFrame, path: str) -> bool:
