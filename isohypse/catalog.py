@@ -140,13 +140,6 @@ def a14_blend(spark, d):
     return rel.cells(spark, d).join(rel.uv(spark, d), ["y", "x"]).select("y", "x", F.floor((F.col("z") + F.col("u")) / 2).alias("mean"))
 
 
-@query()
-def g08_regions(spark, d):
-    """Regions of land, connected cells above 0, as polygons, with the holes in them: the parts of the rest that touch no edge."""
-    c = rel.cells(spark, d)
-    return raster.region_polygons(c.where("z > 0").select("y", "x"), c)
-
-
 # ---- segments
 
 

@@ -195,3 +195,36 @@ def g19_w11_lit_contours(spark, d):
     levels = spark.createDataFrame([(i, low) for i, low, _ in BANDS], "level int, at double")
     found = distance.isolines(rel.cells(spark, d), levels, "z")
     return _round(segments.orientation_split(found).select("level", "a", "b", *segments.ENDS, "bright"), 4, *segments.ENDS)
+
+
+# ---- polygons of levels
+
+
+def _touching(name: str, cells: str, diagonal: bool) -> str:
+    """name (level, y, x, region): connected cells, named by the least of them; the rows' runs of cells are what is gone through."""
+    wide = int(diagonal)
+    return f"""{name}_runs as materialized (select level, y, min(x) x0, max(x) x1 from (select level, y, x, x - row_number() over (partition by level, y order by x) g from {cells}) group by level, y, g),
+ {name}_met as materialized (select a.level, a.y ay, a.x0 ax, b.y ny, b.x0 nx from {name}_runs a join {name}_runs b on a.level = b.level and abs(a.y - b.y) = 1 and a.x0 <= b.x1 + {wide} and b.x0 <= a.x1 + {wide}),
+ {name}_reach as (select level, y, x0 x, y fy, x0 fx from {name}_runs union
+  select b.level, b.ny, b.nx, a.fy, a.fx from {name}_reach a join {name}_met b on a.level = b.level and a.y = b.ay and a.x = b.ax and (b.ny, b.nx) >= (a.fy, a.fx)),
+ {name} as (select level, y, unnest(range(x0, x1 + 1)) x, region from (select r.level, r.y, r.x0, r.x1, min(fy * 100000 + fx) region from {name}_reach f join {name}_runs r on f.level = r.level and f.y = r.y and f.x = r.x0 group by r.level, r.y, r.x0, r.x1))"""
+
+
+_LEVEL_POLYGONS = f"""land as (select level, y, x from cells join bands on case when low <= high then z > low and z <= high else z >= high and z < low end),
+ edge as (select min(y) y0, max(y) y1, min(x) x0, max(x) x1 from cells),
+ sea as (select l.level, g.y, g.x from (select distinct level from land) l, (select unnest(range(y0, y1 + 1)) y, x from edge, (select unnest(range(x0, x1 + 1)) x from edge)) g
+  where not exists (select 1 from land o where o.level = l.level and o.y = g.y and o.x = g.x)),
+ {_touching('regions', 'land', True)}, {_touching('waters', 'sea', False)},
+ holes as (select level, region, count(*) n, min(y * 100000 + x) top from waters, edge group by level, region having min(y) > any_value(y0) and max(y) < any_value(y1) and min(x) > any_value(x0) and max(x) < any_value(x1)),
+ inside as (select h.level, r.region, count(*) n_holes, sum(h.n) hole_cells from holes h join regions r on r.level = h.level and r.y = h.top // 100000 - 1 and r.x = h.top % 100000 group by h.level, r.region)
+ select level, cast(count(*) as bigint) n_cells, min(y) ymin, max(y) ymax, min(x) xmin, max(x) xmax, cast(any_value(coalesce(n_holes, 0)) as int) n_holes, cast(any_value(coalesce(hole_cells, 0)) as bigint) hole_cells
+ from regions left join inside using (level, region) group by level, region"""
+
+
+@query(_recursive(_BANDS_SQL, _LEVEL_POLYGONS))
+def g08_level_polygons(spark, d):
+    """Each level's polygons, with what is in their holes."""
+    c = rel.cells(spark, d)
+    found = raster.level_polygons(raster.slice_levels(c, BANDS).select("level", "y", "x"), c)
+    whole = F.aggregate("holes", F.lit(0).cast("long"), lambda n, h: n + h["n_cells"])
+    return found.select("level", "n_cells", "ymin", "ymax", "xmin", "xmax", F.size("holes").alias("n_holes"), whole.alias("hole_cells"))

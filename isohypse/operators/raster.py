@@ -180,66 +180,90 @@ def rectangle(cells: DataFrame) -> DataFrame:
     return spark.range(y0, y1 + 1).select(F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(int(x0)).cast("int"), F.lit(int(x1)).cast("int"))).alias("x"))
 
 
-def _rings(edges: list[tuple]) -> list[list[tuple[int, int]]]:
-    """Closed rings of corners (y, x) from directed edges (y1, x1, y2, x2, fy, fx) that face the cell (fy, fx).
+#: Sides of a cell, clockwise (y down): the way along it, and the side it faces.
+WAYS, FACES = [(0, 1), (1, 0), (0, -1), (-1, 0)], [(-1, 0), (0, 1), (1, 0), (0, -1)]
+#: Cells of a square block along whose boundaries sides are chained in one task.
+RING_BLOCK = 256
 
-    Where two of a region's cells touch at a corner only, the ring goes on along the cell it faces, so the
-    two stay in one ring. Corners in a straight line are left out.
+
+def boundary_sides(mask: DataFrame) -> DataFrame:
+    """a, b, block, y, x, side, turns: the sides of the cells (y, x) that face none, each with the side that follows clockwise.
+
+    Cells that touch at a corner are neighbours, so a ring goes on along the cell that it faces. a and b name the
+    sides; turns: whether the way changes behind this one.
+    """
+    around = [(p, q) for p in (-1, 0, 1) for q in (-1, 0, 1) if p or q]
+    bit = {d: 1 << i for i, d in enumerate(around)}
+    moves = F.array(*[F.struct(F.lit(-p).alias("p"), F.lit(-q).alias("q"), F.lit(bit[p, q]).alias("bit")) for p, q in around])
+    cells = mask.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    seen = cells.select("y", "x", F.explode(moves).alias("m")).select((F.col("y") + F.col("m.p")).alias("y"), (F.col("x") + F.col("m.q")).alias("x"), "m.bit")
+    seen = seen.groupBy("y", "x").agg(F.bit_or("bit").alias("bits"))
+    have = lambda d: F.col("bits").bitwiseAND(bit[d]) != 0
+    name = lambda y, x, s: ((F.col("y") + y) * 1073741824 + F.col("x") + x) * 4 + s
+    sides = []
+    for s, ((wy, wx), (fy, fx)) in enumerate(zip(WAYS, FACES)):
+        left, ahead = have((wy + fy, wx + fx)), have((wy, wx))
+        after = F.when(left, name(wy + fy, wx + fx, (s + 3) % 4)).when(ahead, name(wy, wx, s)).otherwise(name(0, 0, (s + 1) % 4))
+        sides.append(F.when(~have((fy, fx)), F.struct(name(0, 0, s).alias("a"), after.alias("b"), F.lit(s).alias("side"), (left | ~ahead).alias("turns"))))
+    found = cells.join(seen, ["y", "x"], "left").withColumn("bits", F.coalesce("bits", F.lit(0))).withColumn("e", F.explode(F.array_compact(F.array(*sides))))
+    return found.select("e.a", "e.b", F.expr(f"(y div {RING_BLOCK}) * 4194304L + x div {RING_BLOCK}").alias("block"), "y", "x", "e.side", "e.turns")
+
+
+def region_rings(mask: DataFrame) -> DataFrame:
+    """ring, y, x, side, seq, corner_y, corner_x: the boundary sides of the cells (y, x), ring by ring, clockwise about the cells.
+
+    The corner is where the side ends, and null where the ring goes straight on. Cell (y, x) is the square up to (y + 1, x + 1).
     """
-    out: dict[tuple, list] = {}
-    for e in sorted(edges):
-        out.setdefault(e[:2], []).append(e)
-    rings = []
-    for start in sorted(out):
-        while out[start]:
-            e, ring = out[start].pop(0), []
-            while True:
-                ring.append(e[:2])
-                after = out[e[2:4]]
-                if not after:
-                    break
-                e = after.pop(next((i for i, x in enumerate(after) if x[4:] == e[4:]), 0))
-            n = len(ring)
-            rings.append([p for i, p in enumerate(ring) if (ring[i - 1][0] != ring[(i + 1) % n][0]) and (ring[i - 1][1] != ring[(i + 1) % n][1])])
-    return rings
+    from .chains import chains
+
+    ends = [(0, 1), (1, 1), (1, 0), (0, 0)]  # of each side
+    at = lambda i: F.element_at(F.array(*[F.lit(e[i]) for e in ends]), F.col("side") + 1)
+    out = chains(boundary_sides(mask)).withColumnRenamed("chain", "ring")
+    return out.select("ring", "y", "x", "side", "seq", F.when(F.col("turns"), F.col("y") + at(0)).alias("corner_y"), F.when(F.col("turns"), F.col("x") + at(1)).alias("corner_x"))
 
 
 def region_polygons(mask: DataFrame, cells: DataFrame) -> DataFrame:
-    """region, n_cells, ymin, ymax, xmin, xmax, ring, holes (hole, n_cells, ring): polygons of the cells of `mask` (y, x).
+    """`level_polygons` of one mask (y, x), without level."""
+    return level_polygons(mask.select(F.lit(0).alias("level"), "y", "x"), cells).drop("level")
 
-    Regions are 8-connected, what is left of the rectangle about `cells` is 4-connected; its parts that
-    touch no edge of the rectangle are holes. A hole's parent is the region above its topmost cell. Rings
-    are corners (y, x), cell (y, x) being the square up to (y + 1, x + 1); boundary edges are chained in
-    one group for each ring.
-    """
-    import pandas as pd
 
-    mask = mask.select("y", "x").distinct()
-    extent = cells.agg(*[f(c).alias(f"_{c}{n}") for c in "yx" for f, n in ((F.min, "0"), (F.max, "1"))])
-    grid = extent.where("_y0 is not null").withColumn("y", F.expr("explode(sequence(_y0, _y1))")).withColumn("x", F.expr("explode(sequence(_x0, _x1))"))
-    land = region_labels(mask)
-    rest = region_labels(grid.select("y", "x").join(mask, ["y", "x"], "left_anti"), eight=False)
+def level_polygons(mask: DataFrame, cells: DataFrame) -> DataFrame:
+    """level, region, n_cells, ymin, ymax, xmin, xmax, ring, holes (hole, n_cells, ring): polygons of each level's cells (level, y, x).
+
+    Regions are 8-connected, what a level leaves of the rectangle about `cells` is 4-connected; its parts that
+    touch no edge of the rectangle are holes, of the region above their topmost cell. Rings are corners (y, x), cell
+    (y, x) being the square up to (y + 1, x + 1). Levels are whole numbers from 0; they are laid below each other, two rows
+    apart, so that all are labelled and traced in the same rounds. `cells` has whole coordinates of which few are negative.
+    """
+    spark = mask.sparkSession
+    y0, y1, x0, x1 = cells.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    kind = "level int, region long, n_cells long, ymin int, ymax int, xmin int, xmax int, ring array<struct<y:int,x:int>>, holes array<struct<hole:bigint,n_cells:bigint,ring:array<struct<y:int,x:int>>>>"
+    if y0 is None:
+        return spark.createDataFrame([], kind)
+    page = y1 - y0 + 3
+    down = F.col("level") * F.lit(page).cast("long")
+    land = mask.select("level", "y", "x").distinct().select((F.col("y") + down).alias("y"), "x")
+    grid = rectangle(cells).crossJoin(F.broadcast(mask.select("level").distinct())).select((F.col("y") + down).alias("y"), "x")
+    level = F.expr(f"(y - {y0}) div {page}")
+    regions = region_labels(land)
+    rest = region_labels(grid.join(land, ["y", "x"], "left_anti"), eight=False)
     box = [f(c).alias(f"{c}{n}") for c in "yx" for f, n in ((F.min, "min"), (F.max, "max"))]
-    holes = rest.groupBy(F.col("region").alias("hole")).agg(F.count("*").alias("hole_cells"), F.min(F.struct("y", "x")).alias("top"), *box)
-    holes = holes.crossJoin(F.broadcast(extent)).where("ymin > _y0 and ymax < _y1 and xmin > _x0 and xmax < _x1").select("hole", "hole_cells", (F.col("top.y") - 1).alias("y"), F.col("top.x").alias("x"))
-    holes = holes.join(land, ["y", "x"]).select("hole", "hole_cells", F.col("region").alias("parent"))
-    # a cell's four sides, clockwise: the neighbour, and the corners from and to
-    sides = [(-1, 0, 0, 0, 0, 1), (0, 1, 0, 1, 1, 1), (1, 0, 1, 1, 1, 0), (0, -1, 1, 0, 0, 0)]
-    names = ("fy", "fx", "y1", "x1", "y2", "x2")
-    side = F.explode(F.array(*[F.struct(*[(F.col("yx"[i % 2]) + v).cast("int").alias(n) for i, (n, v) in enumerate(zip(names, s))]) for s in sides]))
-    edges = land.select("region", side.alias("e")).select("region", "e.*")
-    edges = edges.join(mask.select(F.col("y").alias("fy"), F.col("x").alias("fx")), ["fy", "fx"], "left_anti")
-    edges = edges.join(rest.select(F.col("y").alias("fy"), F.col("x").alias("fx"), F.col("region").alias("hole")), ["fy", "fx"], "left")
-    edges = edges.join(holes.select("hole", F.col("parent").alias("region"), F.lit(True).alias("own")), ["hole", "region"], "left")
-    edges = edges.withColumn("hole", F.when(F.col("own"), F.col("hole")).otherwise(-1))
-
-    def chain(group: pd.DataFrame) -> pd.DataFrame:
-        found = _rings(list(group[["y1", "x1", "y2", "x2", "fy", "fx"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"region": [group.region.iloc[0]], "hole": [group.hole.iloc[0]], "ring": [[{"y": y, "x": x} for y, x in found[0]]], "rings": [len(found)]})
-
-    rings = edges.select("region", "hole", "y1", "x1", "y2", "x2", "fy", "fx").groupBy("region", "hole").applyInPandas(chain, "region long, hole long, ring array<struct<y:int,x:int>>, rings int")
-    rings = rings.withColumn("ring", F.when(F.col("rings") == 1, F.col("ring")).otherwise(F.raise_error(F.lit("a boundary isn't one ring")).cast("array<struct<y:int,x:int>>")))
-    inner = rings.where("hole <> -1").join(holes, "hole").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("hole", F.col("hole_cells").alias("n_cells"), "ring"))).alias("holes"))
-    out = land.groupBy("region").agg(F.count("*").alias("n_cells"), *box).join(rings.where("hole = -1").select("region", "ring"), "region").join(inner, "region", "left")
+    own = (F.col("y") - F.col("level") * page).alias("y")
+    holes = rest.withColumn("level", level).select("region", "level", own, "x").groupBy(F.col("region").alias("hole"), "level").agg(F.count("*").alias("hole_cells"), F.min(F.struct("y", "x")).alias("top"), *box)
+    holes = holes.where(f"ymin > {y0} and ymax < {y1} and xmin > {x0} and xmax < {x1}").select("hole", "hole_cells", (F.expr("top.y") - 1 + down).alias("y"), F.col("top.x").alias("x"))
+    holes = holes.join(regions, ["y", "x"]).select("hole", "hole_cells", F.col("region").alias("parent"))
+    # a ring belongs to the region of its cells, and to the hole that its first side faces
+    sides = region_rings(land)
+    face = lambda i: F.element_at(F.array(*[F.lit(f[i]) for f in FACES]), F.col("side") + 1)
+    first = sides.where("seq = 0").select("ring", "y", "x", (F.col("y") + face(0)).alias("fy"), (F.col("x") + face(1)).alias("fx"))
+    of = first.join(regions, ["y", "x"]).join(rest.select(F.col("y").alias("fy"), F.col("x").alias("fx"), F.col("region").alias("hole")), ["fy", "fx"], "left")
+    of = of.join(holes, (of.hole == holes.hole) & (of.region == holes.parent), "left").select("ring", "region", holes.hole, "hole_cells")
+    corners = sides.where("corner_y is not null").withColumn("level", level)
+    corner = F.struct("seq", (F.col("corner_y") - F.col("level") * page).cast("int").alias("y"), F.col("corner_x").cast("int").alias("x"))
+    rings = corners.groupBy("ring").agg(F.sort_array(F.collect_list(corner)).alias("c")).select("ring", F.expr("transform(c, p -> struct(p.y as y, p.x as x))").alias("points"))
+    rings = of.join(rings, "ring")
+    inner = rings.where("hole is not null").groupBy("region").agg(F.array_sort(F.collect_list(F.struct("hole", F.col("hole_cells").alias("n_cells"), F.col("points").alias("ring")))).alias("holes"))
+    out = regions.withColumn("level", level).select("region", "level", own, "x").groupBy("region", "level").agg(F.count("*").alias("n_cells"), *box)
+    out = out.join(rings.where("hole is null").select("region", F.col("points").alias("ring")), "region").join(inner, "region", "left")
     none = F.array().cast("array<struct<hole:bigint,n_cells:bigint,ring:array<struct<y:int,x:int>>>>")
-    return out.select("region", "n_cells", "ymin", "ymax", "xmin", "xmax", "ring", F.coalesce("holes", none).alias("holes"))
+    return out.select(F.col("level").cast("int").alias("level"), "region", "n_cells", *[F.col(c).cast("int").alias(c) for c in ("ymin", "ymax", "xmin", "xmax")], "ring", F.coalesce("holes", none).alias("holes"))

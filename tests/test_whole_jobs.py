@@ -47,9 +47,37 @@ def test_region_polygons_have_their_holes(spark):
     assert area(island["ring"]) == 4 and len(island["ring"]) == 4
 
 
-def test_regions_of_the_query_are_polygons(spark):
-    got = catalog.QUERIES["g08_regions"](spark, "/root/testdata/sf0.01").collect()
-    assert any(r["holes"] for r in got) and all(area(r["ring"]) >= r["n_cells"] + sum(h["n_cells"] for h in r["holes"]) for r in got)
+RECTANGLES = {
+    # (x0, y0, x1, y1, value) in order, corners included; bounds; polygons' holes
+    "single": ([(5, 5, 95, 45, 100), (10, 10, 90, 40, 200)], (50, 150), [1]),
+    "hole": ([(5, 5, 95, 45, 100), (10, 10, 90, 40, 200), (15, 15, 85, 35, 0)], (50, 100), [1]),
+    "island": ([(5, 5, 95, 45, 100), (10, 10, 90, 40, 200), (15, 15, 85, 35, 0), (20, 20, 80, 30, 250)], (50, 255), [0, 1]),
+    "holes": ([(5, 5, 95, 45, 100), (10, 10, 15, 15, 0), (10, 20, 15, 25, 0), (10, 30, 15, 35, 0)], (50, 255), [3]),
+}
+
+
+def test_levels_of_rectangles(spark):
+    """The fixed rectangle rasters at a twentieth of their size, all at once as levels of their own."""
+    cells, mask, want = [], [], []
+    for level, (boxes, (low, high), holes) in enumerate(RECTANGLES.values()):
+        z = [[0] * 100 for _ in range(50)]
+        for x0, y0, x1, y1, v in boxes:
+            for y in range(y0, y1 + 1):
+                z[y][x0 : x1 + 1] = [v] * (x1 + 1 - x0)
+        mask += [(level, y, x) for y in range(50) for x in range(100) if low < z[y][x] <= high]
+        want += [(level, n) for n in holes]
+    cells = spark.createDataFrame([(y, x) for y in (0, 49) for x in (0, 99)], "y int, x int")
+    got = raster.level_polygons(spark.createDataFrame(mask, "level int, y int, x int"), cells).collect()
+    assert sorted((r["level"], len(r["holes"])) for r in got) == want
+    assert all(area(r["ring"]) == r["n_cells"] + sum(area(h["ring"]) for h in r["holes"]) for r in got)
+
+
+def test_rings_cross_blocks(spark, monkeypatch):
+    rows = ["".join("#" if (y * 7 + x * 3) % 5 or y % 6 == 0 else "." for x in range(40)) for y in range(30)]
+    cells = spark.createDataFrame([(y, x, c == "#") for y, r in enumerate(rows) for x, c in enumerate(r)], "y int, x int, land boolean")
+    one = sorted(map(str, raster.region_polygons(cells.where("land"), cells).collect()))
+    monkeypatch.setattr(raster, "RING_BLOCK", 7)
+    assert sorted(map(str, raster.region_polygons(cells.where("land"), cells).collect())) == one and one
 
 
 def test_dips_restart_behind_the_segment(spark):
