@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
-from .catalog import _BANDS_SQL, BANDS, _r, _round, query
-from .operators import distance, lines, polygons, raster, segments
+from .catalog import _BANDS_SQL, _VDG, BANDS, _r, _round, query
+from .functions import geometry as geo
+from .operators import cleaning, distance, lines, polygons, raster, segments, text
+from .plans import output
+from .sources import files
 from .sources import relations as rel
 
 
@@ -228,3 +229,160 @@ def g08_level_polygons(spark, d):
     found = raster.level_polygons(raster.slice_levels(c, BANDS).select("level", "y", "x"), c)
     whole = F.aggregate("holes", F.lit(0).cast("long"), lambda n, h: n + h["n_cells"])
     return found.select("level", "n_cells", "ymin", "ymax", "xmin", "xmax", F.size("holes").alias("n_holes"), whole.alias("hole_cells"))
+
+
+# ---- resampling
+
+
+def _bilinear(height: int, width: int) -> str:
+    place = lambda i, n, a, b: f"least(greatest(({i} + 0.5e0) * (({b} - {a} + 1) / {n}e0) - 0.5e0, 0e0), {b} - {a} + 0e0)"
+    value = " + ".join(f"case when {w} = 0 then 0e0 else ({w}) * {t}.z end" for w, t in (("(1 - v) * (1 - u)", "a"), ("(1 - v) * u", "b"), ("v * (1 - u)", "c"), ("v * u", "d")))
+    return f"""select ny y, nx x, {_r(value)} z from (select *, py - fy v, px - fx u, cast(fy as int) + y0 oy, cast(fx as int) + x0 ox from (
+  select *, least(floor(py), y1 - y0 - 1) fy, least(floor(px), x1 - x0 - 1) fx from (
+   select *, {place('ny', height, 'y0', 'y1')} py, {place('nx', width, 'x0', 'x1')} px from (select cast(unnest(range(0, {height})) as int) ny), (select cast(unnest(range(0, {width})) as int) nx), (select min(y) y0, max(y) y1, min(x) x0, max(x) x1 from cells))))
+ left join cells a on a.y = oy and a.x = ox left join cells b on b.y = oy and b.x = ox + 1 left join cells c on c.y = oy + 1 and c.x = ox left join cells d on d.y = oy + 1 and d.x = ox + 1"""
+
+
+@query(_bilinear(64, 90), "cells")
+def f60_bilinear_resize(spark, d):
+    return _round(raster.bilinear(rel.cells(spark, d), 64, 90), 4, "z")
+
+
+@query(_bilinear(16, 24), "cells")
+def s04_bilinear_scan(spark, d):
+    return _round(raster.bilinear(rel.cells(spark, d), 16, 24), 4, "z")
+
+
+# ---- text
+
+_ADVANCE = "(ascii({}) % 7 + 4) / 10e0"
+
+
+def _letters(t):
+    """char, advance of all characters in column label; the advances are synthetic."""
+    chars = t.select(F.explode(F.split("label", "")).alias("char")).where("char <> ''").distinct()
+    return chars.withColumn("advance", (F.ascii("char") % 7 + 4) / 10)
+
+
+_GRID_POINTS = """grid as (select c_custkey * 2 + kind line, kind, seq, case kind when 0 then floor(c_custkey * 137.508e0 % 360 - 180) else seq * 5e0 - 180 end lon, case kind when 0 then seq * 5e0 - 85 else floor(c_custkey * 61.803e0 % 160 - 80) end lat
+  from customer, (values (0, 34), (1, 72)) k(kind, n), lateral (select unnest(range(0, n + 1)) seq)),
+ points as (select line * 1000 + seq id, lon, lat from grid)"""
+_PROJECTED = "projected as (" + _VDG.replace("from places", "from points").replace("round(6378137 * case", "(6378137 * case").replace(", 1) + 0e0", ")") + ")"
+_FRAME = [(0, "y", 20.0, 20.0, 730.0), (1, "y", 485.0, 20.0, 730.0), (2, "x", 25.0, 10.0, 490.0), (3, "x", 725.0, 10.0, 490.0)]
+
+
+def _side_sql(number: int, axis: str, place: float, low: float, high: float) -> str:
+    other = "y" if axis == "x" else "x"
+    value = f"{other} + ({place}e0 - {axis}) / (n{axis} - {axis}) * (n{other} - {other})"
+    return f"select line, {number} side, {f'{place}e0 x, {value} y' if axis == 'x' else f'{value} x, {place}e0 y'} from steps where kind = {number // 2} and ({axis} <= {place}) <> (n{axis} <= {place}) and {value} between {low} and {high}"
+
+
+@query(f"""select line, side, label, round(case side when 2 then x when 3 then x - width else x - width / 2 end, 2) + 0e0 x, round(case when side >= 2 then y + 2.5e0 else y end, 2) + 0e0 y from (
+ select c.line, side, x, y, cast(cast(case when side < 2 then lon else lat end as int) as varchar) as label, (select sum({_ADVANCE.format('u')}) * 5 from (select unnest(string_split(cast(cast(case when side < 2 then lon else lat end as int) as varchar), '')) u)) width
+ from (select *, row_number() over (partition by line order by side) - 1 + 2 * (line % 2) k from (select line, side, max(x) x, max(y) y from crossed group by line, side having count(*) = 1)) c
+ join (select line, any_value(lon) lon, any_value(lat) lat from grid where seq = 0 group by line) g on g.line = c.line where k = side)""", _GRID_POINTS, _PROJECTED,
+ """steps as (select line, kind, x, y, lead(x) over w nx, lead(y) over w ny from (select line, kind, seq, x * (750 / 40075016.68557849e0) + 375 x, -y * (750 / 40075016.68557849e0) + 250 y from grid join projected on id = line * 1000 + seq) window w as (partition by line order by seq))""",
+ "crossed as (" + " union all ".join(_side_sql(*s) for s in _FRAME) + ")")
+def g05_j14_grid_labels(spark, d):
+    """Labels where each place's meridian leaves the page above and below, and its parallel left and right."""
+    p = rel.places(spark, d)
+    kind = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.lit(34).alias("n")), F.struct(F.lit(1).alias("kind"), F.lit(72).alias("n"))))
+    grid = p.select("id", F.floor("lon").cast("double").alias("lon"), F.floor("lat").cast("double").alias("lat"), kind.alias("k")).select((F.col("id") * 2 + F.col("k.kind")).alias("id"), "k.kind", "lon", "lat", F.explode(F.sequence(F.lit(0), F.col("k.n"))).alias("seq"))
+    upright = F.col("kind") == 0
+    x, y = geo.to_map(*geo.van_der_grinten(F.when(upright, F.col("lon")).otherwise(F.col("seq") * 5.0 - 180), F.when(upright, F.col("seq") * 5.0 - 85).otherwise(F.col("lat"))), 750.0, 500.0)
+    points = grid.select("id", "kind", "seq", x.alias("x"), y.alias("y"))
+    found = [text.frame_crossings(points.where(f"kind = {k}").drop("kind"), [s for s in _FRAME if s[0] // 2 == k]) for k in (0, 1)]
+    label = F.when(F.col("side") < 2, F.col("lon")).otherwise(F.col("lat")).cast("int").cast("string")
+    at = found[0].unionByName(found[1]).join(grid.where("seq = 0").select("id", "lon", "lat"), "id").select("id", "side", "x", "y", label.alias("label"))
+    names = at.select("label").distinct().withColumn("id", F.col("label"))
+    width = text.laid_out(names, _letters(names), 5.0).groupBy(F.col("id").alias("label")).agg(F.max("total").alias("width"))
+    at = at.join(width, "label")
+    left = F.when(F.col("side") == 2, F.col("x")).when(F.col("side") == 3, F.col("x") - F.col("width")).otherwise(F.col("x") - F.col("width") / 2)
+    return _round(at.select(F.col("id").alias("line"), "side", "label", left.alias("x"), F.when(F.col("side") >= 2, F.col("y") + 2.5).otherwise(F.col("y")).alias("y")), 2, "x", "y")
+
+
+_TEXT_AT = """texts as (select p_partkey id, ['LEFT', 'CENTER', 'RIGHT'][p_partkey % 3 + 1] align, case when p_partkey % 3 = 2 then reverse(p_name) else p_name end label from part),
+ chars as (select *, sum(width) over (partition by id order by pos) - width anchor, sum(width) over (partition by id) total, first(width) over (partition by id order by pos) head
+  from (select id, align, pos - 1 pos, label[pos] char, (ascii(label[pos]) % 7 + 4) / 10e0 * 3 width from (select *, unnest(range(1, length(label) + 1)) pos from texts))),
+ ways as (select p_partkey id, seq, (20 + p_partkey % 7) * cos(seq * 0.05e0) x, (20 + p_partkey % 7) * sin(seq * 0.05e0) y from part, (select unnest(range(0, 61)) seq)),
+ run as (select *, sum(d) over (partition by id order by seq) arc from (select *, coalesce(sqrt((x - lag(x) over w) * (x - lag(x) over w) + (y - lag(y) over w) * (y - lag(y) over w)), 0e0) d from ways window w as (partition by id order by seq))),
+ ends as (select c.*, length, case align when 'LEFT' then anchor when 'CENTER' then anchor + (length / 2 - total / 2) else length - (anchor + width) end t0, case align when 'LEFT' then anchor + width when 'CENTER' then anchor + width + (length / 2 - total / 2) else length - anchor end t1
+  from chars c join (select id, sum(d) length from run group by id) l on c.id = l.id),
+ near as (select e.id, e.pos, e.char, any_value(case when align = 'LEFT' then head * -0.3e0 else 0e0 end) shift, min_by(r.seq, (abs(arc - t0), r.seq)) s0, min_by(r.seq, (abs(arc - t1), r.seq)) s1 from ends e join run r on e.id = r.id group by e.id, e.pos, e.char)"""
+
+
+@query("select n.id, cast(n.pos as int) pos, char, round(a.x + shift, 3) + 0e0 x, round(a.y, 3) + 0e0 y, round(atan2(b.y - a.y, b.x - a.x), 3) + 0e0 angle from near n join ways a on a.id = n.id and a.seq = s0 join ways b on b.id = n.id and b.seq = s1 where s0 <> s1", _TEXT_AT)
+def g09_text_along_paths(spark, d):
+    """Part names along arcs, from the left, in the middle, from the right."""
+    t = rel.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"))
+    ways = t.select("id", F.explode(F.sequence(F.lit(0), F.lit(60))).alias("seq"))
+    radius, turn = F.lit(20) + F.col("id") % 7, F.col("seq") * F.lit(0.05)
+    ways = ways.select("id", "seq", (radius * F.cos(turn)).alias("x"), (radius * F.sin(turn)).alias("y"))
+    align = F.element_at(F.array(F.lit("LEFT"), F.lit("CENTER"), F.lit("RIGHT")), (F.col("id") % 3 + 1).cast("int"))
+    found = text.along_paths(text.laid_out(t.withColumn("align", align), _letters(t), 3.0), ways)
+    return _round(found.select("id", "pos", "char", "x", "y", "angle"), 3, "x", "y", "angle")
+
+
+@query("""select font, char, round(case when k % 3 = 0 then 600 else 100 + k % 9 * 50 end / 800e0, 4) + 0e0 advance, cast(case when k % 5 = 0 then 0 else 2 end as int) n_parts, round(case when k % 5 = 0 then null else k % 11 * 10 / 800e0 end, 4) + 0e0 last_x, round(case when k % 5 = 0 then null else -(k % 13 - 5) * 10 / 800e0 end, 4) + 0e0 last_y
+ from (select p_partkey font, unnest(['a', '&', '"', 'é']) as char, p_partkey + unnest([0, 1, 2, 3]) k from part)""")
+def s09_svg_fonts(spark, d):
+    """Glyph tables of SVG fonts, a small one for each part."""
+    k = lambda i: f"(p_partkey + {i})"
+    glyph = lambda i, mark: f"""concat('<glyph unicode="', '{mark}', '"', if({k(i)} % 3 = 0, '', concat(' horiz-adv-x="', 100 + {k(i)} % 9 * 50, '"')), if({k(i)} % 5 = 0, '', concat(' d="M0 0 L 5 -7.5 M1 1 L ', {k(i)} % 11 * 10, ' ', ({k(i)} % 13 - 5) * 10, '"')), '/>')"""
+    xml = "concat('<svg><font id=\"f\" horiz-adv-x=\"600\"><font-face units-per-em=\"800\" cap-height=\"500\"/>', " + ", ".join(glyph(i, m) for i, m in enumerate(("a", "&amp;", "&quot;", "&#xe9;"))) + ", '</font></svg>')"
+    found = text.glyphs(rel.table(spark, d, "part").select(F.col("p_partkey").alias("font"), F.expr(xml).alias("xml")))
+    last = F.element_at(F.flatten("parts"), -1)
+    return _round(found.select("font", "char", "advance", F.size("parts").alias("n_parts"), F.when(F.size("parts") > 0, last["x"]).alias("last_x"), F.when(F.size("parts") > 0, last["y"]).alias("last_y")), 4, "advance", "last_x", "last_y")
+
+
+# ---- cleaning
+
+_RINGS = """corners as (select p_partkey id, k, p_partkey % 50 + u * r x, p_partkey // 50 % 40 + v * r y from (select *, p_partkey * (k + 3) % 7 - 1e0 r from part, (values (0, 1e0, 0e0), (1, 0.5e0, 0.9e0), (2, -0.5e0, 0.9e0), (3, -1e0, 0e0), (4, -0.5e0, -0.9e0), (5, 0.5e0, -0.9e0)) t(k, u, v))),
+ sides as (select a.id, a.k, a.x x1, a.y y1, b.x x2, b.y y2 from corners a join corners b on a.id = b.id and b.k = (a.k + 1) % 6),
+ crossed as (select distinct a.id from sides a join sides b on a.id = b.id and a.k < b.k
+  where sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) < 0
+  and sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) < 0),
+ measured as (select id, abs(list_sum(list(x1 * y2 - x2 * y1 order by k)) / 2) area, abs(list_sum(list(radians(x2 - x1) * (2 + sin(radians(y1)) + sin(radians(y2))) order by k)) * (6378137e0 * 6378137e0 / 2)) sphere from sides group by id)"""
+
+
+@query("select fate, cast(count(*) as bigint) n, round(sum(area), 2) + 0e0 area from (select *, case when id in (select id from crossed) then 'invalid' when area < 1e-9 then 'empty' when sphere < 2e10 or area < 3 then 'small' else 'kept' end fate from measured) group by fate", _RINGS)
+def p06_a05_p01_p15_cleaning(spark, d):
+    """What each step of cleaning takes, of a polygon for each part, some of which cross themselves."""
+    ways = [(1.0, 0.0), (0.5, 0.9), (-0.5, 0.9), (-1.0, 0.0), (-0.5, -0.9), (0.5, -0.9), (1.0, 0.0)]
+    corner = lambda k, u, v: f"struct(p_partkey % 50 + {u!r}D * (p_partkey * {k % 6 + 3} % 7 - 1D) as x, floor(p_partkey / 50) % 40 + {v!r}D * (p_partkey * {k % 6 + 3} % 7 - 1D) as y)"
+    shapes = rel.table(spark, d, "part").selectExpr("p_partkey as id", f"array(array({', '.join(corner(k, u, v) for k, (u, v) in enumerate(ways))})) as rings")
+    found = cleaning.marked(cleaning.unpack(shapes), 2e10, 3.0)
+    return _round(found.groupBy("fate").agg(F.count("*").alias("n"), F.sum(F.abs(geo.ring_area(F.col("ring")))).alias("area")), 2, "area")
+
+
+# ---- documents
+
+_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<svg xmlns="http://www.w3.org/2000/svg" width="750mm" height="500mm" viewBox="0 0 750 500">\n<style>.layer0 { fill: none; stroke: black }</style>'
+
+
+@query(f"""select place, section, seq, line from (
+ select cast(layer as bigint) place, 1 section, seq, '<path d="' || printf('M%.2f %.2f L%.2f %.2f', x1, y1, x2, y2) || '"/>' line from segments
+ union all select 99, 1, id, '<path d="' || string_agg(printf('%s%.2f %.2f', case k when 0 then 'M' else 'L' end, px, py), ' ' order by k) || ' Z"/>' from zones group by id
+ union all select distinct cast(layer as bigint), 0, 0, '<g id="layer' || layer || '" class="layer' || layer || '">' from segments union all select distinct cast(layer as bigint), 2, 0, '</g>' from segments
+ union all select 99, 0, 0, '<g id="zones" class="zones">' union all select 99, 2, 0, '</g>'
+ union all select -1, 0, 0, '{_HEAD}' union all select 9223372036854775807, 2, 0, '</svg>')""", "segments", "zones")
+def k03_svg_document(spark, d):
+    """Strokes by layer and zones as polygons in one document."""
+    own = output.svg_lines(rel.segments(spark, d)).select(F.col("layer").cast("long").alias("place"), F.concat(F.lit("layer"), "layer").alias("layer"), "seq", "d")
+    ring = F.transform(F.sort_array(F.collect_list(F.struct("k", "px", "py"))), lambda p: F.struct(p["px"].alias("x"), p["py"].alias("y")))
+    zones = rel.zones(spark, d).groupBy("id").agg(ring.alias("ring")).select(F.lit(99).cast("long").alias("place"), F.lit("zones").alias("layer"), F.col("id").alias("seq"), geo.polygon_data(F.array("ring")).alias("d"))
+    return output.svg_document(own.unionByName(zones), 750, 500, {"layer0": "fill: none; stroke: black"})
+
+
+_SHAPES = [("edges", "line", 0, 0, "x1, y1, x2, y2"), ("boxes", "path", 0, 0, "x1, y1, x2, y2"), ("boxes", "path", 0, 1, "x2, y2, x1, y2"), ("boxes", "path", 0, 2, "x1, y2, x1, y1")]
+_SHAPES += [("boxes", "rect", 1, i, e) for i, e in enumerate(("x1, y1, x1 + 5, y1", "x1 + 5, y1, x1 + 5, y1 + 2.5e0", "x1 + 5, y1 + 2.5e0, x1, y1 + 2.5e0", "x1, y1 + 2.5e0, x1, y1"))]
+
+
+@query("select * from (" + " union all ".join(f"select layer || ' ' || seq, '{g}', '{kind}', {no}, {i}, {ends} from segments" for g, kind, no, i, ends in _SHAPES) + ") t(file, layer, kind, path_no, part, x1, y1, x2, y2)", "segments")
+def s10_p03_svg_shapes(spark, d):
+    """Shapes of small documents, one for each stroke, in the layers that are asked for."""
+    t = rel.segments(spark, d)
+    line = F.format_string('<svg><g id="edges"><circle r="3"/><line x1="%.1f" y1="%.1f" x2="%.1f" y2="%.1f"/></g><path d="M1 1 L 2 2"/>', *segments.ENDS)
+    path = F.format_string('<g id="boxes"><path d="M%.1f %.1f L %.1f %.1f L %.1f %.1f Z"/><rect x="%.1f" y="%.1f" width="5" height="2.5"/></g></svg>', "x1", "y1", "x2", "y2", "x1", "y2", "x1", "y1")
+    found = files.svg_shapes(t.select(F.concat_ws(" ", "layer", "seq").alias("file"), F.concat(line, path).alias("value")))
+    return found.where(F.col("layer").isin("edges", "boxes")).drop("ring").withColumn("part", F.col("part").cast("int"))

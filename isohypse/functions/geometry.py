@@ -103,3 +103,8 @@ def path_data(points: Column, closed: bool = False) -> Column:
     """An SVG path of two decimals: M, L ..., Z if closed."""
     steps = F.transform(points, lambda p, i: F.concat(F.when(i == 0, "M").otherwise("L"), F.format_string("%.2f %.2f", p["x"], p["y"])))
     return F.concat(F.array_join(steps, " "), F.lit(" Z" if closed else ""))
+
+
+def polygon_data(rings: Column) -> Column:
+    """An SVG path of a polygon's rings array<array<struct<x,y>>>, its holes as further closed parts."""
+    return F.array_join(F.transform(rings, lambda r: path_data(r, True)), " ")

@@ -267,3 +267,31 @@ def level_polygons(mask: DataFrame, cells: DataFrame) -> DataFrame:
     out = out.join(rings.where("hole is null").select("region", F.col("points").alias("ring")), "region").join(inner, "region", "left")
     none = F.array().cast("array<struct<hole:bigint,n_cells:bigint,ring:array<struct<y:int,x:int>>>>")
     return out.select(F.col("level").cast("int").alias("level"), "region", "n_cells", *[F.col(c).cast("int").alias(c) for c in ("ymin", "ymax", "xmin", "xmax")], "ring", F.coalesce("holes", none).alias("holes"))
+
+
+def bilinear(cells: DataFrame, height: int, width: int) -> DataFrame:
+    """y, x, z of the raster at height by width cells, pixel centres aligned; beyond the outer centres the edge's values hold.
+
+    Each new cell lies in one square of four old ones, so it is joined once; it is null where one of them that counts is
+    missing. The raster has at least two rows and columns.
+    """
+    y0, y1, x0, x1 = cells.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    spark = cells.sparkSession
+    if y0 is None:
+        return spark.createDataFrame([], "y int, x int, z double")
+    row, col = Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y")
+    square = rectangle(cells).join(cells.select("y", "x", "z"), ["y", "x"], "left").withColumn("right", F.lead("z").over(row))
+    square = square.withColumn("low", F.lead("z").over(col)).withColumn("cross", F.lead("right").over(col)).where((F.col("y") < y1) & (F.col("x") < x1))
+
+    def at(i: Column, n: int, low: int, high: int) -> tuple[Column, Column]:
+        place = F.least(F.greatest((i + 0.5) * F.lit((high - low + 1) / n) - 0.5, F.lit(0.0)), F.lit(float(high - low)))
+        first = F.least(F.floor(place), F.lit(high - low - 1))
+        return (first + low).cast("int"), place - first
+
+    new = spark.range(height).select(F.col("id").cast("int").alias("_y"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_x"))
+    (y, v), (x, u) = at(F.col("_y"), height, y0, y1), at(F.col("_x"), width, x0, x1)
+    found = new.select("_y", "_x", y.alias("y"), x.alias("x"), v.alias("v"), u.alias("u")).join(square, ["y", "x"])
+    part = lambda w, c: F.when(w == 0, F.lit(0.0)).otherwise(w * F.col(c))
+    u, v = F.col("u"), F.col("v")
+    z = part((1 - v) * (1 - u), "z") + part((1 - v) * u, "right") + part(v * (1 - u), "low") + part(v * u, "cross")
+    return found.select(F.col("_y").alias("y"), F.col("_x").alias("x"), z.alias("z"))

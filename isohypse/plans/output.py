@@ -26,6 +26,37 @@ def svg_lines(segments: DataFrame) -> DataFrame:
     return segments.select("layer", "seq", F.format_string("M%.2f %.2f L%.2f %.2f", "x1", "y1", "x2", "y2").alias("d"))
 
 
+#: Sections of a document's layer: its beginning, shapes, end.
+OPEN, SHAPE, CLOSE = 0, 1, 2
+
+
+def svg_document(shapes: DataFrame, width: float, height: float, styles: dict[str, str] | None = None) -> DataFrame:
+    """place, section, seq, line: an SVG document of shapes (place, layer, seq, d), a line a row, in the order of the first three.
+
+    place puts the layers in order, a group for each; `styles` has the rules of a layer's class. Shapes without path
+    data (null or empty) are left out, and so is a layer of only such shapes. The document's head has place -1, its foot the
+    greatest long.
+    """
+    shapes = shapes.where("d is not null and d <> ''").select(F.col("place").cast("long").alias("place"), "layer", F.col("seq").cast("long").alias("seq"), "d")
+    rules = " ".join(f".{k} {{ {v} }}" for k, v in (styles or {}).items())
+    head = f'<?xml version="1.0" encoding="utf-8"?>\n<svg xmlns="http://www.w3.org/2000/svg" width="{width:g}mm" height="{height:g}mm" viewBox="0 0 {width:g} {height:g}">\n<style>{rules}</style>'
+    layers = shapes.select("place", "layer").distinct()
+    name = F.replace(F.replace(F.replace(F.col("layer"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    row = lambda place, section, seq, line: [place.cast("long").alias("place"), F.lit(section).alias("section"), seq.cast("long").alias("seq"), line.alias("line")]
+    zero = F.lit(0)
+    out = shapes.select(*row(F.col("place"), SHAPE, F.col("seq"), F.concat(F.lit('<path d="'), "d", F.lit('"/>'))))
+    out = out.unionByName(layers.select(*row(F.col("place"), OPEN, zero, F.concat(F.lit('<g id="'), name, F.lit('" class="'), name, F.lit('">')))))
+    out = out.unionByName(layers.select(*row(F.col("place"), CLOSE, zero, F.lit("</g>"))))
+    ends = shapes.sparkSession.createDataFrame([(-1, OPEN, 0, head), (2**63 - 1, CLOSE, 0, "</svg>")], "place long, section int, seq long, line string")
+    return out.unionByName(ends)
+
+
+def write_svg(document: DataFrame, path: str) -> None:
+    """The document as text files whose names' order is the lines' order; put together, they are one SVG file."""
+    keys = ["place", "section", "seq"]
+    document.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
 def gcode(segments: DataFrame, most: float = 5000.0, dip: float | None = 120.0) -> DataFrame:
     """layer, seq, file, lines: each segment's commands in the order drawn; a travel first where the pen is up.
 
