@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, mix64, partitions
-from .components import components
+from .components import components, union_find
 
 
 def _fine(vec_id: str, embedding: str):
@@ -65,14 +65,20 @@ def rotations(rows: int, width: int) -> int:
     return max(2, int(np.ceil(np.log(max(rows, 2)) / np.log(2 * max(width, 2)))))
 
 
-def tables_for(together: int) -> int:
-    """Tables for codes of `together` rotations: 16, 34, 71, 149 from two on.
+def tables_for(together: int, width: int = 64, least: float = 0.9) -> int:
+    """Tables for codes of `together` rotations, TABLES at least, so that two vectors of cosine `least` share no table in one of a million pairs.
 
-    Two vectors of cosine 0.9 and width 64 meet in a table with probability 0.593, 0.348, 0.187, 0.097
-    at 2, 3, 4, 5 rotations (4,000 pairs measured), so these miss a pair as seldom as 16 tables of two:
-    (1 - 0.593)^16, under one in a million.
+    How often they meet in a table is measured on 4,000 pairs from a fixed seed, as it depends on the width and
+    on the probes: at width 64, 16 tables of two rotations and about twice as many for each further one.
     """
-    return int(np.ceil(TABLES * 2.1 ** max(0, together - 2)))
+    rng = np.random.default_rng(23)
+    x, z = rng.normal(size=(2, 4000, width))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    y = least * x + np.sqrt(1 - least * least) * z / np.sqrt((z * z).sum(1))[:, None]
+    a, b = (buckets(v, together, 4, seed=29) for v in (x, y))
+    meet = np.mean((a[:, :, :1] == b).any(2) | (b[:, :, :1] == a).any(2))
+    return max(TABLES, int(np.ceil(np.log(1e-6) / np.log1p(-min(meet, 0.999)))) if meet else TABLES * 64)
 
 
 def buckets(x: np.ndarray, together: int, tables: int | None = None, probes: int = PROBES, seed: int = 11) -> np.ndarray:
@@ -120,7 +126,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_i
     """vec_id, n_links, component_id, kept: a row for each row of `vectors`.
 
     Links are pairs of cosine >= `least`, in double precision, among vectors that meet in a bucket;
-    the tables grow with the rotations (see `tables_for`), so size doesn't change which pairs meet.
+    the tables grow with the rotations and the width (see `tables_for`), so size doesn't change which pairs meet.
     Unusable vectors (see `usable`) link with nothing. Equal vectors are one class, with cosine 1 among
     themselves; they are compared as one and counted as many. component_id is the least vec_id
     reachable by links, itself included; kept: whether that is its own id. Rows that repeat an id are
@@ -137,15 +143,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_i
     good = materialize(distinct(usable(vectors, vec_id, embedding)), "vectors")
     reps = materialize(good.groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v")), "distinct-vectors")
     n = partitions(spark)
-    together = rotations(reps.count(), 64)
+    wide = reps.agg(F.max(F.size("v"))).first()[0] or 2
+    together = rotations(reps.count(), wide)
+    tables = tables_for(together, max(2, wide), least) if least < 1 else TABLES
 
     def put(rows):
         for batch in rows:
             x = matrix(batch.column(1))
             for at in range(0, len(x), 2000):
-                code = buckets(x[at : at + 2000], together)
-                m, tables, probes = code.shape
-                yield pa.RecordBatch.from_arrays([pa.array(code.ravel().view(np.int64)), pa.array(np.tile(np.arange(probes) == 0, m * tables)), batch.column(0).slice(at, m).take(pa.array(np.repeat(np.arange(m), tables * probes)))], ["bucket", "own", "id"])
+                code = buckets(x[at : at + 2000], together, tables)
+                m, t, probes = code.shape
+                yield pa.RecordBatch.from_arrays([pa.array(code.ravel().view(np.int64)), pa.array(np.tile(np.arange(probes) == 0, m * t)), batch.column(0).slice(at, m).take(pa.array(np.repeat(np.arange(m), t * probes)))], ["bucket", "own", "id"])
 
     window = "(partition by bucket order by own desc, id"
     met = reps.select("id", "v").repartition(n, "id").mapInArrow(put, "bucket long, own boolean, id long")
@@ -227,17 +235,21 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_i
 
 # ---------------------------------------------------------------- nearest neighbours
 
-#: Distinct vectors of a shard on average; links by node above and on the lowest layer; candidates kept while building and searching.
-SHARD, LINKS, LOW_LINKS, BUILD_WIDTH, SEARCH_WIDTH = 2048, 16, 32, 64, 100
+#: Distinct vectors of a shard on average; links that a node chooses, and that it has at most above and on the lowest layer.
+SHARD, LINKS, HIGH_LINKS, LOW_LINKS = 16_384, 16, 32, 32
+#: Nearest nodes that a node's links are chosen from; candidates kept on the way down and on the lowest layer.
+BUILD_WIDTH, DESCENT_WIDTH, SEARCH_WIDTH = 48, 64, 64
+#: Nodes whose distances to a shard are held at a time while it is built.
+BUILD_BLOCK = 256
 #: Queries that search a shard at a time.
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
 
 
 class Graph:
     """Hierarchical navigable small-world graph over rows of `x`.
 
     The neighbours are flat arrays: node i's on layer 0 are low[i * LOW_LINKS:][:low_n[i]]; the layers
-    above hold few nodes, and node i's on layer l are high[(start[i] + l - 1) * LINKS:][:high_n[start[i] + l - 1]].
+    above hold few nodes, and node i's on layer l are high[(start[i] + l - 1) * HIGH_LINKS:][:high_n[start[i] + l - 1]].
     """
 
     def __init__(self, x: np.ndarray, level: np.ndarray):
@@ -245,14 +257,14 @@ class Graph:
         self.x, self.level = x, level.astype(np.int8)
         self.start = np.concatenate(([0], np.cumsum(level)))[:-1].astype(np.int32)
         self.low, self.low_n = np.zeros(n * LOW_LINKS, np.int32), np.zeros(n, np.int32)
-        self.high, self.high_n = np.zeros(int(level.sum()) * LINKS, np.int32), np.zeros(int(level.sum()), np.int32)
+        self.high, self.high_n = np.zeros(int(level.sum()) * HIGH_LINKS, np.int32), np.zeros(int(level.sum()), np.int32)
         self.entry = 0
 
     def around(self, i: int, layer: int) -> np.ndarray:
         if layer == 0:
             return self.low[i * LOW_LINKS : i * LOW_LINKS + self.low_n[i]]
         at = self.start[i] + layer - 1
-        return self.high[at * LINKS : at * LINKS + self.high_n[at]]
+        return self.high[at * HIGH_LINKS : at * HIGH_LINKS + self.high_n[at]]
 
     def link(self, i: int, layer: int, to: np.ndarray) -> None:
         if layer == 0:
@@ -260,7 +272,7 @@ class Graph:
             self.low_n[i] = len(to)
         else:
             at = self.start[i] + layer - 1
-            self.high[at * LINKS : at * LINKS + len(to)] = to
+            self.high[at * HIGH_LINKS : at * HIGH_LINKS + len(to)] = to
             self.high_n[at] = len(to)
 
     def search(self, far, entries: list[tuple[float, int]], width: int, layer: int, seen: np.ndarray, mark: int) -> list[tuple[float, int]]:
@@ -290,51 +302,73 @@ class Graph:
         return sorted((-d, i) for d, i in best)
 
 
+def _nearest_nodes(x: np.ndarray, square: np.ndarray, at: int, end: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the nodes at..end the `most` nearest others, nearest first, and their squared distances."""
+    d = square[at:end, None] + square[None, :] - 2 * (x[at:end] @ x.T)
+    d[np.arange(end - at), np.arange(at, end)] = np.inf
+    near = np.argpartition(d, most - 1, axis=1)[:, :most] if most < d.shape[1] else np.tile(np.arange(d.shape[1]), (end - at, 1))
+    far = np.take_along_axis(d, near, 1)
+    order = np.argsort(far, axis=1, kind="stable")[:, : min(most, len(x) - 1)]
+    return np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
+
+
+def _diverse(x: np.ndarray, square: np.ndarray, near: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
+    """Which of each node's nearest are linked: those that no chosen one is nearer to than the node is, filled up with the nearest others."""
+    own = x[near]
+    among = square[near][:, :, None] + square[near][:, None, :] - 2 * (own @ own.transpose(0, 2, 1))
+    chosen = np.zeros(near.shape, bool)
+    for k in range(near.shape[1]):
+        hidden = ((among[:, k] < far[:, k, None]) & chosen).any(1)
+        chosen[:, k] = ~hidden & (chosen.sum(1) < most)
+    rest = np.cumsum(~chosen, 1) <= (most - chosen.sum(1))[:, None]
+    return chosen | rest
+
+
+def _layer_links(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links a -> b of one layer's nodes, ascending by a: a's own choices, then those that chose it, the nearest first, `most` of them."""
+    square = (x * x).sum(1)
+    ends: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(x), BUILD_BLOCK):
+        near, far = _nearest_nodes(x, square, at, min(at + BUILD_BLOCK, len(x)), BUILD_WIDTH)
+        i, k = np.nonzero(_diverse(x, square, near, far, LINKS))
+        ends.append((i + at, near[i, k], far[i, k]))
+    a, b, d = (np.concatenate(v) for v in zip(*ends))
+    rank = np.concatenate((np.zeros(len(a), np.int8), np.ones(len(a), np.int8)))
+    a, b, d = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((d, d))
+    first = np.lexsort((rank, b, a))  # a pair that chose each other counts once
+    first = first[np.concatenate(([True], (a[first][1:] != a[first][:-1]) | (b[first][1:] != b[first][:-1])))]
+    order = first[np.lexsort((d[first], rank[first], a[first]))]
+    a, b = a[order], b[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    return a[place < most], b[place < most]
+
+
 def build(x: np.ndarray, seed: int = 5) -> Graph:
-    """Insert all rows one by one; links go to diverse neighbours: none nearer to a chosen one than to the node."""
+    """Layers of ever fewer nodes; on each, a node is linked with diverse ones among its nearest, in both directions.
+
+    A layer's nearest nodes come from products of blocks of BUILD_BLOCK nodes with the layer, so memory stays with the
+    block. A part of a layer that hangs together and has no node above gets one there, so that each is reached from above.
+    """
     n = len(x)
     level = np.minimum((-np.log(np.maximum(np.random.default_rng(seed).random(n), 1e-12)) / np.log(LINKS)).astype(np.int64), 8)
+    small = (x - x.mean(0)).astype(np.float32) if n else x
+    layers: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    nodes = np.arange(n)
+    while len(nodes) > 1:
+        a, b = _layer_links(small[nodes], HIGH_LINKS if layers else LOW_LINKS)
+        layers.append((nodes, a, b))
+        own, root = union_find(a, b)
+        above = np.unique(root[level[nodes[own]] >= len(layers)])
+        alone = np.setdiff1d(root, above)
+        if len(above) + len(alone) > 1:
+            level[nodes[alone]] = len(layers)
+        nodes = np.flatnonzero(level >= len(layers))
     g = Graph(x, level)
-    square = (x * x).sum(1)
-    dist = np.maximum(square[:, None] + square[None, :] - 2 * (x @ x.T), 0).astype(np.float32)  # a shard is small
-    seen = np.full(n, -1, np.int32)
-
-    def diverse(i: int, found: np.ndarray, most: int) -> np.ndarray:
-        found = found[np.argsort(dist[i, found], kind="stable")]
-        among = dist[np.ix_(found, found)] < dist[i, found][:, None]  # row: candidate, column: one chosen before
-        chosen: list[int] = []
-        for k in range(len(found)):
-            if not chosen or not among[k, chosen].any():
-                chosen.append(k)
-                if len(chosen) == most:
-                    break
-        if len(chosen) < most:  # the nearest of the others fill up
-            rest = np.setdiff1d(np.arange(len(found)), chosen)[: most - len(chosen)]
-            chosen += rest.tolist()
-        return found[chosen]
-
-    top = int(level[0]) if n else 0
-    for i in range(1, n):
-        row = dist[i]
-        far = row.__getitem__
-        entries = [(float(row[g.entry]), g.entry)]
-        own = int(level[i])
-        for layer in range(top, own, -1):
-            entries = g.search(far, entries, 1, layer, seen, i)[:1]
-            seen[[j for _, j in entries]] = -1
-            seen[seen == i] = -1
-        for layer in range(min(own, top), -1, -1):
-            seen[seen == i] = -1
-            entries = g.search(far, entries, BUILD_WIDTH, layer, seen, i)
-            most = LOW_LINKS if layer == 0 else LINKS
-            to = diverse(i, np.array([j for _, j in entries]), LINKS)
-            g.link(i, layer, to)
-            for j in to.tolist():
-                back = g.around(j, layer)
-                both = np.append(back, i)
-                g.link(j, layer, both if len(both) <= most else diverse(j, both, most))
-        if own > top:
-            top, g.entry = own, i
+    g.entry = int(np.argmax(level)) if n else 0
+    for layer, (nodes, a, b) in enumerate(layers):
+        starts = np.searchsorted(a, np.arange(len(nodes) + 1))
+        for i, (p, q) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+            g.link(int(nodes[i]), layer, nodes[b[p:q]])
     return g
 
 
@@ -348,7 +382,7 @@ def find(g: Graph, query: np.ndarray, k: int, seen: np.ndarray, mark: int, width
 
     entries = [(float(far(np.array([g.entry]))[0]), g.entry)]
     for layer in range(int(g.level[g.entry]), 0, -1):
-        entries = g.search(far, entries, 1, layer, seen, mark + layer)[:1]
+        entries = g.search(far, entries, DESCENT_WIDTH, layer, seen, mark + layer)
     return np.array([i for _, i in g.search(far, entries, max(width, k), 0, seen, mark)[:k]])
 
 
@@ -362,9 +396,10 @@ def build_index(vectors: DataFrame, keep: int, vec_id: str = "vec_id", embedding
     query's keep nearest. Shards are dealt by hash and hold SHARD vectors on average at any size.
     """
     good = distinct(usable(vectors, vec_id, embedding))
-    # the least ids of each vector in two steps: first of each of 64 parts of its copies
-    part = good.groupBy("h", "g", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.expr(f"slice(array_sort(collect_set(id)), 1, {keep})").alias("ids"), F.first("v").alias("v"))
-    reps = part.groupBy("h", "g").agg(F.expr(f"slice(array_sort(array_distinct(flatten(collect_list(ids)))), 1, {keep})").alias("ids"), F.first("v").alias("v"))
+    # the least ids of each vector: of 64 parts of its copies first, so that a common vector's ids never meet
+    once = good.groupBy("h", "g", "id").agg(F.first("v").alias("v")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    least = once.withColumn("n", F.expr("row_number() over (partition by h, g, part order by id)")).where(f"n <= {keep}")
+    reps = least.groupBy("h", "g").agg(F.expr(f"slice(array_sort(collect_list(id)), 1, {keep})").alias("ids"), F.first("v").alias("v"))
     reps = materialize(reps.select("h", "ids", "v"), "distinct-vectors")
     shards = max(1, -(-reps.count() // SHARD))
 
