@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import _BANDS_SQL, _VDG, BANDS, _r, _round, query
+from .catalog import _BANDS_SQL, _VDG, BANDS, ORACLE_SQL, _box, _extreme, _r, _round, query
 from .functions import geometry as geo
-from .operators import cleaning, distance, lines, polygons, raster, segments, text
+from .operators import cleaning, distance, lines, places, polygons, raster, segments, text
 from .plans import output
 from .sources import files
 from .sources import relations as rel
@@ -386,3 +386,45 @@ def s10_p03_svg_shapes(spark, d):
     path = F.format_string('<g id="boxes"><path d="M%.1f %.1f L %.1f %.1f L %.1f %.1f Z"/><rect x="%.1f" y="%.1f" width="5" height="2.5"/></g></svg>', "x1", "y1", "x2", "y2", "x1", "y2", "x1", "y1")
     found = files.svg_shapes(t.select(F.concat_ws(" ", "layer", "seq").alias("file"), F.concat(line, path).alias("value")))
     return found.where(F.col("layer").isin("edges", "boxes")).drop("ring").withColumn("part", F.col("part").cast("int"))
+
+
+# ---- SQL for queries of `catalog` that need a statement of several parts
+
+
+def _also(name: str, body: str, *needs: str, recursive: bool = False) -> None:
+    """Give a query of `catalog` its SQL; `needs` as in `query`."""
+    head = ", ".join([*(rel.SQL[n] for n in needs if n in rel.SQL), *(n for n in needs if n not in rel.SQL)])
+    ORACLE_SQL[name] = f"with {'recursive ' if recursive else ''}{head} {body}"
+
+
+_SLOPES = "select y, x, coalesce((lead(z) over r - lag(z) over r) / 2, lead(z) over r - z, z - lag(z) over r, 0e0) dx, coalesce((lead(z) over c - lag(z) over c) / 2, lead(z) over c - z, z - lag(z) over c, 0e0) dy from cells window r as (partition by y order by x), c as (partition by x order by y)"
+_MASK = f"select y, x, case when degrees(atan2(dy, dx)) > 65 and degrees(atan2(dy, dx)) < 205 and sqrt(dx * dx + dy * dy) >= 50 then 1 else 0 end m from ({_SLOPES})"
+_also("w15_orientation_mask", f"select y, x, clean from ({_extreme(_extreme(_extreme(_extreme(_MASK, 'min', 'm', 'a'), 'max', 'a', 'b'), 'max', 'b', 'c'), 'min', 'c', 'clean')})", "cells")
+_TPI = ORACLE_SQL["w04_position_index"].split(" select y, x, coalesce", 1)[1]
+_also("w05_adaptive_smoothing", f"""select t.y, t.x, cast(trunc(coalesce(abs(tpi) / top, 0e0) * trunc(f.s / f.n) + (1 - coalesce(abs(tpi) / top, 0e0)) * trunc(a.s / a.n)) as int) smooth
+ from tpi t join ({_box(7)}) f on t.y = f.y and t.x = f.x join ({_box(3)}) a on t.y = a.y and t.x = a.x, (select nullif(abs(max(tpi)), 0e0) top from tpi)""", "cells", f"tpi as materialized (select y, x, coalesce{_TPI})")
+_also("g25_blob_centres", "select cast((region // 100000) * 4294967296 + region % 100000 as bigint) region, round(avg(y), 4) + 0e0 y, round(avg(x), 4) + 0e0 x, cast(count(*) as bigint) n from blobs group by region", "cells", "high as (select 0 level, y, x from cells where z > 200)", _touching("blobs", "high", True), recursive=True)
+
+_WAY = "select layer, cast(row_number() over (partition by layer order by seq) - 1 as int) seq, x1 x, y1 y from segments"
+for _k in (0.7, -0.2) * 5:
+    _mean = lambda c: f"coalesce({c} + {_k!r}e0 * ((lag({c}) over w + lead({c}) over w) / 2 - {c}), {c})"
+    _WAY = f"select layer, seq, {_mean('x')} x, {_mean('y')} y from ({_WAY}) window w as (partition by layer order by seq)"
+_also("f05_taubin_smoothing", f"select layer, seq, round(x, 6) + 0e0 x, round(y, 6) + 0e0 y from ({_WAY})", "segments")
+
+_NEWTON = "list_reduce([phi / 2] || range(12)::double[], lambda t, i: t - (t + sin(t) * cos(t) + 2 * sin(t) - (2 + pi() / 2) * sin(phi)) / greatest(2 * cos(t) * (1 + cos(t)), 1e-12))"
+_also("f24_eckert_iv", f"""select id, round(2 * 6378137 / sqrt(pi() * (4 + pi())) * radians(lon) * (1 + cos(theta)), 1) + 0e0 x, round(2 * 6378137 * sqrt(pi() / (4 + pi())) * sin(theta), 1) + 0e0 y
+ from (select id, lon, {_NEWTON} theta from (select id, lon, radians(lat) phi from places))""", "places")
+
+_also("w09_w13_budgeted_files", "select layer, seq, file, dip from fold where n > 0", "segments",
+ "strokes as materialized (select *, row_number() over (partition by layer order by seq) n, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) d from segments)",
+ """fold as (select distinct layer, cast(null as bigint) seq, cast(0 as int) file, false dip, cast(0 as bigint) n, 0e0 run, 0e0 ink from strokes union all
+ select layer, seq, file, ink + d > 120, n, run, case when ink + d > 120 then 0e0 else ink + d end from (
+  select s.layer, s.seq, f.file + cast(f.run + s.d > 5000 as int) file, case when f.run + s.d > 5000 then 0e0 else f.run + s.d end run, case when f.run + s.d > 5000 then 0e0 else f.ink end ink, s.n, s.d
+  from fold f join strokes s on s.layer = f.layer and s.n = f.n + 1))""", recursive=True)
+
+_also("j05_label_regions", "select p.id, coalesce(min(r.f), p.id) region from places p left join reach r on r.id = p.id group by p.id", "places",
+ "positions(angle, align) as (values " + ", ".join(f"({a}, '{al}')" for _, a, al, _ in places.POSITIONS) + ")",
+ """envelopes as materialized (select id, min(x - 1) a, max(x + w + 1) b, min(y - 3.5e0) c, max(y + 3.5e0) d from (select id, lat + 5 * sin(radians(angle)) y, length(label) * 3e0 w,
+  lon + 5 * cos(radians(angle)) - case align when 'LEFT' then 0e0 when 'RIGHT' then length(label) * 3e0 else length(label) * 1.5e0 end x from places, positions) group by id)""",
+ "met as materialized (select p.id, o.id other from envelopes p join envelopes o on p.id <> o.id and p.a < o.b and o.a < p.b and p.c < o.d and o.c < p.d)",
+ "reach as (select id, id f from envelopes union select m.other, r.f from reach r join met m on m.id = r.id and m.other > r.f)", recursive=True)
