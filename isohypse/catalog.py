@@ -318,14 +318,19 @@ def f24_eckert_iv(spark, d):
     return _round(rel.places(spark, d).select("id", x.alias("x"), y.alias("y")), 1, "x", "y")
 
 
-@query("select position from (select cast(unnest(range(-13, 14)) as double) * 20 position union select unnest([-270e0, 270e0]))")
+@query("select id, position from (select id, cast(unnest(range(-cast(floor(abs(lon) / 20) as bigint), cast(floor(abs(lon) / 20) as bigint) + 1)) as double) * 20 position from places union select id, abs(lon) from places union select id, -abs(lon) + 0e0 from places)", "places")
 def g02_grid_positions(spark, d):
-    return lines.grid_positions(spark, 20, 270)
+    """Lines every 20 degrees up to each place's longitude, and at it, on both sides."""
+    return lines.grid_positions(rel.places(spark, d).select("id", F.abs("lon").alias("limit")), 20)
 
 
-@query()
+@query("select grid.id, cast(seq as int) seq, round(x * (750 / 40075016.68557849e0) + 375, 3) + 0e0 x, round(-y * (750 / 40075016.68557849e0) + 250, 3) + 0e0 y from grid join projected p on p.id = grid.pid",
+ "grid as (select c_custkey id, c_custkey * 100 + seq pid, seq, floor(c_custkey * 137.508e0 % 360 - 180) lon, seq * 5e0 - 85 lat from customer, (select unnest(range(0, 35)) seq))", "points as (select pid id, lon, lat from grid)",
+ "projected as (" + _VDG.replace("from places", "from points").replace("round(6378137 * case", "(6378137 * case").replace(", 1) + 0e0", ")") + ")")
 def g03_meridians(spark, d):
-    return _round(lines.meridians(spark, 20, 750, 500), 4, "x", "y")
+    """Each place's meridian, to the whole degree, on the page."""
+    lons = rel.places(spark, d).select("id", F.floor("lon").cast("double").alias("lon"))
+    return _round(lines.meridians(lons, 750, 500), 3, "x", "y")
 
 
 @query("select id, round(case when l > 180 then l - 360 when l < -180 then l + 360 else l end, 6) + 0e0 wrapped, round(l * 2e0 + lat * 0.5e0 + 3, 4) + 0e0 ax, round(l * -1e0 + lat * 3e0 - 7, 4) + 0e0 ay from (select id, lon * 1.4e0 l, lat from places)", "places")
@@ -413,20 +418,24 @@ def f38_f39_f40_scales(spark, d):
     return rel.places(spark, d).select("id", F.round(F.pow(t, 2.5), 6).alias("power"), F.round(F.sin(t * math.pi / 2), 6).alias("sine"), F.round(1 / (1 + F.exp(-10 * (t - 0.5))), 6).alias("sigmoid"), F.floor(t * 7).cast("int").alias("bin"), F.least(F.lit(255), F.floor(t * 256)).cast("int").alias("colour"), F.round(geo.unlog(t, 5), 6).alias("unlogged"))
 
 
-@query("select cast(width as double) width, 'Scale: 1:' || cast(floor(40075000000e0 / width) as bigint) as scale from (values (750e0), (1500e0), (3000e0)) t(width)")
+@query("select p_partkey id, cast(100 + p_size * 10 as double) width, 'Scale: 1:' || cast(floor(40075000000e0 / (100 + p_size * 10)) as bigint) as scale from part")
 def f41_scale_text(spark, d):
-    return spark.createDataFrame([(w, geo.scale_text(w)) for w in (750.0, 1500.0, 3000.0)], "width double, scale string")
+    width = (F.lit(100) + F.col("p_size") * 10).cast("double")
+    return rel.table(spark, d, "part").select(F.col("p_partkey").alias("id"), width.alias("width"), geo.scale_text(width).alias("scale"))
 
 
-@query("select cast(i as int) i, round(3 + i * 0.5e0, 6) open_end, round(3 + i * 5e0 / 9, 6) closed_end from (select unnest(range(0, 10)) i)")
+@query("select p_partkey id, cast(i as int) i, round(p_size + i * ((p_retailprice - p_size) / 10), 6) + 0e0 open_end, round(p_size + i * ((p_retailprice - p_size) / 9), 6) + 0e0 closed_end from part, (select unnest(range(0, 10)) i)")
 def f37_linspace(spark, d):
-    return spark.range(10).select(F.col("id").cast("int").alias("i"), F.round(3 + F.col("id") * 0.5, 6).alias("open_end"), F.round(3 + F.col("id") * F.lit(5.0) / 9, 6).alias("closed_end"))
+    t = rel.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("a"), F.col("p_retailprice").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    return _round(t.select("id", "i", geo.linspace(F.col("a"), F.col("b"), 10, F.col("i"), False).alias("open_end"), geo.linspace(F.col("a"), F.col("b"), 10, F.col("i")).alias("closed_end")), 6, "open_end", "closed_end")
 
 
-@query("select a.i * 20e0 - 280 + 0e0 lon1, a.i * 20e0 - 260 lon2, b.j * 20e0 - 100 lat1, b.j * 20e0 - 80 lat2 from (select unnest(range(0, 28)) i) a, (select unnest(range(0, 10)) j) b")
+@query("select floor(lon / 20e0) * 20 + 0e0 lon1, floor(lon / 20e0) * 20 + 20 lon2, floor(lat / 20e0) * 20 + 0e0 lat1, floor(lat / 20e0) * 20 + 20 lat2, cast(count(*) as bigint) places, round(min(lon), 6) + 0e0 west, round(max(lon), 6) + 0e0 east, round(min(lat), 6) + 0e0 south, round(max(lat), 6) + 0e0 north from places group by floor(lon / 20e0), floor(lat / 20e0)", "places")
 def g04_j08_grid_tiles(spark, d):
-    i, j = spark.range(28).withColumnRenamed("id", "i"), spark.range(10).withColumnRenamed("id", "j")
-    return i.crossJoin(F.broadcast(j)).select((F.col("i") * 20.0 - 280).alias("lon1"), (F.col("i") * 20.0 - 260).alias("lon2"), (F.col("j") * 20.0 - 100).alias("lat1"), (F.col("j") * 20.0 - 80).alias("lat2"))
+    """Tiles of 20 degrees with the places in them, and what of the tile these take up."""
+    tile = lambda c: F.floor(F.col(c) / 20) * 20.0 + F.lit(0.0)
+    t = rel.places(spark, d).groupBy(tile("lon").alias("lon1"), tile("lat").alias("lat1")).agg(F.count("*").alias("places"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north"))
+    return _round(t.withColumn("lon2", F.col("lon1") + 20).withColumn("lat2", F.col("lat1") + 20), 6, "west", "east", "south", "north")
 
 
 @query("select layer, round(avg(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))), 4) mean_length, cast(count(*) filter (sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) > 20) as bigint) long_ones from segments group by layer", "segments")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _BANDS_SQL, _VDG, BANDS, ORACLE_SQL, _box, _extreme, _r, _round, query
 from .functions import geometry as geo
-from .operators import cleaning, distance, lines, places, polygons, raster, segments, text
+from .operators import cleaning, distance, lines, mesh, places, polygons, raster, segments, text
 from .plans import output
 from .sources import files
 from .sources import relations as rel
@@ -388,6 +388,73 @@ def s10_p03_svg_shapes(spark, d):
     return found.where(F.col("layer").isin("edges", "boxes")).drop("ring").withColumn("part", F.col("part").cast("int"))
 
 
+# ---- meshes, tiles and arithmetic
+
+_FACES = """faces as (select a.y, a.x, half, case half when 0 then a.x else a.x + 1 end * {s} x1, a.y * {s} y1, case half when 0 then a.z else b.z end z1, a.x * {s} x2, (a.y + 1) * {s} y2, c.z z2,
+ (a.x + 1) * {s} x3, case half when 0 then a.y else a.y + 1 end * {s} y3, case half when 0 then b.z else d.z end z3
+ from cells a join cells b on b.y = a.y and b.x = a.x + 1 join cells c on c.y = a.y + 1 and c.x = a.x join cells d on d.y = a.y + 1 and d.x = a.x + 1, (values (0), (1)) h(half))"""
+
+
+@query("""select y, x, half, printf('facet normal %.4f %.4f %.4f', round(nx / n, 4) + 0e0, round(ny / n, 4) + 0e0, round(nz / n, 4) + 0e0) || chr(10) || 'outer loop' || chr(10) || printf('vertex %.3f %.3f %.3f', x1, y1, z1) || chr(10) || printf('vertex %.3f %.3f %.3f', x2, y2, z2) || chr(10) || printf('vertex %.3f %.3f %.3f', x3, y3, z3) || chr(10) || 'endloop' || chr(10) || 'endfacet' facet
+ from (select *, sqrt(nx * nx + ny * ny + nz * nz) n from (select *, (y2 - y1) * (z3 - z1) - (z2 - z1) * (y3 - y1) nx, (z2 - z1) * (x3 - x1) - (x2 - x1) * (z3 - z1) ny, (x2 - x1) * (y3 - y1) - (y2 - y1) * (x3 - x1) nz from faces))""", "cells", _FACES.format(s="1e0"))
+def k06_stl_facets(spark, d):
+    return mesh.stl_facets(mesh.triangles(rel.cells(spark, d)))
+
+
+@query("""select y, x, round(max(p * z1 + q * z2 + (1 - p - q) * z3), 4) + 0e0 z from (
+ select *, ((y2 - y3) * (gx + 0.5e0 - x3) + (x3 - x2) * (gy + 0.5e0 - y3)) / det p, ((y3 - y1) * (gx + 0.5e0 - x3) + (x1 - x3) * (gy + 0.5e0 - y3)) / det q, gy y, gx x from (
+  select * exclude (y, x), (y2 - y3) * (x1 - x3) + (x3 - x2) * (y1 - y3) det, unnest(range(cast(floor(least(x1, x2, x3)) as bigint) - 1, cast(ceil(greatest(x1, x2, x3)) as bigint) + 1)) gx from faces), lateral (select unnest(range(cast(floor(least(y1, y2, y3)) as bigint) - 1, cast(ceil(greatest(y1, y2, y3)) as bigint) + 1)) gy))
+ where p >= 0 and q >= 0 and p + q <= 1 group by y, x""", "cells", _FACES.format(s="1.7313e0"))
+def s16_mesh_heights(spark, d):
+    """The raster as a mesh of another scale, and its height above each cell's centre."""
+    return _round(mesh.heights(mesh.triangles(rel.cells(spark, d), 1.7313)), 4, "z")
+
+
+@query("select tile_y, tile_x, rows, columns, n from (select cast(floor(y / 7e0) as int) tile_y, cast(floor(x / 7e0) as int) tile_x, cast(max(y) - min(y) + 1 as int) rows, cast(max(x) - min(x) + 1 as int) columns, cast(count(*) as bigint) n from cells group by 1, 2) where least(rows, columns) >= 3", "cells")
+def p13_whole_tiles(spark, d):
+    return raster.whole_tiles(rel.cells(spark, d), 7)
+
+
+@query("""select gx + 0 y, gy + 0 x, z from (select *, unnest(case when x = x0 then range(x0 - 2, x0 + 1) when x = x1 then range(x1, x1 + 3) else [x] end) gx from (
+ select *, unnest(case when y = y0 then range(y0 - 2, y0 + 1) when y = y1 then range(y1, y1 + 3) else [y] end) gy from cells, (select min(y) y0, max(y) y1, min(x) x0, max(x) x1 from cells)))""", "cells")
+def f61_pad_transpose(spark, d):
+    """The raster widened by two cells of its edge's values, rows and columns exchanged."""
+    padded = raster.transpose(raster.pad_edge(rel.cells(spark, d), 2))
+    return padded.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "z")
+
+
+@query("""select y, x, round(a - 2 * pi() * floor(a / (2 * pi())), 6) + 0e0 turned, 255 - code inverse, round(code / 255e0 * (2 * pi()) - pi(), 6) + 0e0 decoded, round(0.3e0 + code / 255e0 * (5 - 0.3e0), 6) distance
+ from (select *, atan2(v, u) a, cast(floor((atan2(v, u) + pi()) / (2 * pi()) * 255) as int) code from uv)""", "uv")
+def f32_f34_f35_f36_bytes(spark, d):
+    """Angles turned to 0..2 pi, bytes inverted, decoded to angles, and mapped to a range."""
+    t = rel.uv(spark, d).withColumn("a", F.atan2("v", "u"))
+    t = t.withColumn("code", raster.encode_angle(F.col("a")))
+    return _round(t.select("y", "x", geo.turn(F.col("a")).alias("turned"), (F.lit(255) - F.col("code")).alias("inverse"), raster.decode_angle(F.col("code")).alias("decoded"), geo.from_byte(F.col("code"), 0.3, 5.0).alias("distance")), 6, "turned", "decoded", "distance")
+
+
+@query(r"select page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1') stem, regexp_extract(url, '[^/](\.[^./]*)$', 1) suffix from pages")
+def f56_file_names(spark, d):
+    t = rel.table(spark, d, "pages")
+    return t.select("page_id", geo.stem(F.col("url")).alias("stem"), geo.suffix(F.col("url")).alias("suffix"))
+
+
+@query("select level, y, x, z from cells join bands on case when low <= high then z > low and z <= high else z >= high and z < low end where level >= 2 and z < 900", "cells", _BANDS_SQL)
+def p04_levels_by_parameter(spark, d):
+    """A filter behind a join, its bounds given as parameters of the statement."""
+    sliced = raster.slice_levels(rel.cells(spark, d), BANDS)
+    return spark.sql("select level, y, x, z from {sliced} where level >= :least and z < :below", args={"least": 2, "below": 900.0}, sliced=sliced)
+
+
+@query(f"""select level, y, x, side from (select l.level, l.y, l.x, f.side from land l, (values (0, -1, 0), (1, 0, 1), (2, 1, 0), (3, 0, -1)) f(side, dy, dx)
+ where not exists (select 1 from land o where o.level = l.level and o.y = l.y + f.dy and o.x = l.x + f.dx))""", "cells", _BANDS_SQL, "land as (select level, cast(y as bigint) y, cast(x as bigint) x from cells join bands on case when low <= high then z > low and z <= high else z >= high and z < low end)")
+def g23_level_outlines(spark, d):
+    """Shells and holes of all levels as lines: the sides of cells, of which each is in a ring."""
+    page = 1_000_000
+    shifted = raster.slice_levels(rel.cells(spark, d), BANDS).select((F.col("y") + F.col("level") * page).alias("y"), "x")
+    rings = raster.region_rings(shifted).where("ring is not null and seq >= 0")
+    return rings.select(F.floor(F.col("y") / page).cast("int").alias("level"), (F.col("y") % page).alias("y"), "x", "side")
+
+
 # ---- SQL for queries of `catalog` that need a statement of several parts
 
 

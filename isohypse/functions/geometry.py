@@ -82,9 +82,14 @@ def unlog(x: Column, n: float) -> Column:
     return (n + 1) * x / (n * x + 1)
 
 
-def scale_text(width_mm: float) -> str:
+def scale_text(width_mm: Column) -> Column:
     """The page's scale, equator and page both in millimetres."""
-    return f"Scale: 1:{int(40075 * 1000 * 1000 / width_mm)}"
+    return F.concat(F.lit("Scale: 1:"), F.floor(F.lit(40075.0 * 1000 * 1000) / width_mm).cast("string"))
+
+
+def linspace(low: Column, high: Column, n: int, i: Column, closed: bool = True) -> Column:
+    """The i-th of n equal steps from low; closed: the last one is high."""
+    return low + i * ((high - low) / (n - 1 if closed else n))
 
 
 def ring_area(ring: Column) -> Column:
@@ -108,3 +113,24 @@ def path_data(points: Column, closed: bool = False) -> Column:
 def polygon_data(rings: Column) -> Column:
     """An SVG path of a polygon's rings array<array<struct<x,y>>>, its holes as further closed parts."""
     return F.array_join(F.transform(rings, lambda r: path_data(r, True)), " ")
+
+
+def turn(angle: Column) -> Column:
+    """An angle in 0..2 pi: the remainder has the divisor's sign."""
+    return F.pmod(angle, F.lit(2 * math.pi))
+
+
+def from_byte(code: Column, low: float, high: float) -> Column:
+    """0..255 mapped to low..high."""
+    return F.lit(low) + code / 255 * F.lit(high - low)
+
+
+def stem(name: Column) -> Column:
+    """A path's last part without its suffix; a name that begins with its only dot has none."""
+    last = F.regexp_extract(name, r"([^/]*)$", 1)
+    return F.regexp_replace(last, r"(?<=.)\.[^.]*$", "")
+
+
+def suffix(name: Column) -> Column:
+    """The last dot of a path's last part and what follows, if anything stands before it."""
+    return F.regexp_extract(name, r"[^/](\.[^./]*)$", 1)

@@ -295,3 +295,24 @@ def bilinear(cells: DataFrame, height: int, width: int) -> DataFrame:
     u, v = F.col("u"), F.col("v")
     z = part((1 - v) * (1 - u), "z") + part((1 - v) * u, "right") + part(v * (1 - u), "low") + part(v * u, "cross")
     return found.select(F.col("_y").alias("y"), F.col("_x").alias("x"), z.alias("z"))
+
+
+def transpose(cells: DataFrame) -> DataFrame:
+    """Rows as columns; further columns stay."""
+    return cells.select(F.col("x").alias("y"), F.col("y").alias("x"), *[c for c in cells.columns if c not in ("y", "x")])
+
+
+def pad_edge(cells: DataFrame, by: int) -> DataFrame:
+    """y, x, z of the rectangle about the cells, widened by `by` on all sides; new cells have the nearest old one's value."""
+    y0, y1, x0, x1 = cells.agg(F.min("y"), F.max("y"), F.min("x"), F.max("x")).first()
+    if y0 is None:
+        return cells.select("y", "x", "z")
+    reach = lambda c, low, high: F.explode(F.when(F.col(c) == low, F.sequence(F.lit(low - by), F.lit(low if low < high else high + by))).when(F.col(c) == high, F.sequence(F.lit(high), F.lit(high + by))).otherwise(F.array(F.col(c))))
+    return cells.withColumn("_y", reach("y", y0, y1)).withColumn("_x", reach("x", x0, x1)).select(F.col("_y").alias("y"), F.col("_x").alias("x"), "z")
+
+
+def whole_tiles(cells: DataFrame, tile: int, least: int = 3) -> DataFrame:
+    """tile_y, tile_x, rows, columns, n of the tiles of tile by tile cells that are at least `least` wide and high."""
+    key = [F.floor(F.col(c) / tile).cast("int").alias(f"tile_{c}") for c in "yx"]
+    size = lambda c, n: (F.max(c) - F.min(c) + 1).cast("int").alias(n)
+    return cells.groupBy(*key).agg(size("y", "rows"), size("x", "columns"), F.count("*").alias("n")).where(F.least("rows", "columns") >= least)

@@ -65,3 +65,21 @@ def svg_shapes(docs: DataFrame) -> DataFrame:
     parts = rings.where("size(n) >= 4").withColumn("part", F.explode(F.expr("sequence(0, size(n) div 2 - 2)")))
     at = lambda k: F.expr(f"n[part * 2 + {k}]")
     return parts.select("file", "layer", "path_no", "kind", "ring", "part", at(0).alias("x1"), at(1).alias("y1"), at(2).alias("x2"), at(3).alias("y2"))
+
+
+def gazetteer(spark: SparkSession, path: str, least: int = 100_000) -> DataFrame:
+    """id, label, lat, lon, population of a gazetteer's tab-separated file of 19 unnamed columns, from `least` inhabitants on.
+
+    By place: 1 the id, 2 the name, 5 and 6 latitude and longitude, 15 the population.
+    """
+    schema = ", ".join(f"c{i} string" for i in range(1, 20))
+    rows = spark.read.option("sep", "\t").option("quote", "").schema(schema).csv(path)
+    t = rows.select(F.col("c1").cast("long").alias("id"), F.col("c2").alias("label"), F.col("c5").cast("double").alias("lat"), F.col("c6").cast("double").alias("lon"), F.col("c15").cast("long").alias("population"))
+    return t.where(F.col("population") >= least)
+
+
+def override(target: object, values: dict) -> None:
+    """Set the target's upper-case attributes of the values' names, upper-cased; unknown names are passed over."""
+    for name, value in values.items():
+        if hasattr(target, name.upper()):
+            setattr(target, name.upper(), value)
