@@ -188,3 +188,20 @@ def test_licenses_are_those_of_all_passages(spark):
                 want.add((d, name, i))
     got = {(r["doc_id"], r["license"], r["template"]) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == want and len(want) > 60
+
+
+def test_threats_and_reports_decide_documents(spark):
+    """Documents of the same words, under the seeds alone: a threat counts with its target behind it only, and an insult less where it is reported."""
+    rng = np.random.default_rng(13)
+    filler = [f"plain{i}" for i in range(80)]
+    pairs = []
+    for i in range(100):
+        a, b, c = (words[int(rng.integers(0, len(words)))] for words in (toxicity.SEED_THREAT, toxicity.SEED_INSULT, toxicity.SEED_REPORT))
+        rest = " ".join(rng.choice(filler, 12))
+        pairs.append((f"{rest}. the crops. i will {a} you tomorrow.", f"{rest}. i. you will {a} the crops tomorrow.") if i % 2 else (f"{rest}. you are an {b}. somebody {c} that.", f"{rest}. somebody {c} that you are an {b}."))
+    g = toxicity.fit([], np.empty(0))
+    docs = spark.createDataFrame([(2 * i + k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.score(docs, g).collect()}
+    for i in range(100):
+        (plain, one), (other, two) = got[2 * i], got[2 * i + 1]
+        assert plain > other and one == 1 and (two == 0 or i % 2 == 0)
