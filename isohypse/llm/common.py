@@ -35,17 +35,25 @@ def tune(spark: SparkSession) -> None:
 
 
 @contextlib.contextmanager
-def batch_rows(spark: SparkSession, rows: int):
-    """Arrow batches of fewer rows while a table is written, where single rows are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _set(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of fewer rows while a table is written, where single rows are large."""
+    return _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def small_files(spark: SparkSession):
+    """Scratch tables' small files are read several in a task, as each task costs a file for each shuffle partition."""
+    return _set(spark, "spark.sql.files.openCostInBytes", str(128 << 10))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

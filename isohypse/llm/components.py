@@ -145,7 +145,7 @@ def linked(shared: DataFrame, star: DataFrame, verify: Callable[[DataFrame], Dat
     perhaps n) of keys whose ids have several labels, and the pairs tried before, and returns pairs to verify. The last
     one must return all that may link.
     """
-    star = materialize(star, "star")
+    star, mixed = materialize(star, "star"), shared
     first = materialize(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "star-first")
     links = verify(first)
     drop(first)
@@ -154,11 +154,14 @@ def linked(shared: DataFrame, star: DataFrame, verify: Callable[[DataFrame], Dat
     rest = materialize(apart(star, labels), "star-rest")
     for cross in (None, *crosses):
         if cross:
-            named = materialize(shared.drop("c").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "named")
-            # a key whose ids are all in one component has nothing left to try
-            mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
-            rest = materialize(cross(named.join(mixed, "key"), star), "cross")
+            named = materialize(mixed.drop("c", "label").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "named")
+            # a key whose ids are all in one component has nothing left to try, now or later
+            keys = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("key")
+            if mixed is not shared:
+                drop(mixed)
+            mixed = materialize(named.join(keys, "key", "left_semi"), "mixed")
             drop(named)
+            rest = materialize(cross(mixed, star), "cross")
         if not rest.isEmpty():
             more = verify(rest)
             if not more.isEmpty():
@@ -167,13 +170,15 @@ def linked(shared: DataFrame, star: DataFrame, verify: Callable[[DataFrame], Dat
                 labels = after
             drop(more)
         drop(rest)
-    for x in (shared, star):
+    for x in (shared, star, *([] if mixed is shared else [mixed])):
         drop(x)
     return labels
 
 
 #: Members of a family that are compared with as many others at a time, and bits of a set's parity sketch.
 BLOCK, SKETCH_BITS = 1024, 2048
+#: Rows of sketches that a task compares, block by block; fewer tasks than shuffle partitions where there is little to do.
+SKETCHES_A_TASK = 4096
 
 
 def parity(hashes: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
@@ -182,6 +187,12 @@ def parity(hashes: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def parities(hashes: np.ndarray, row: np.ndarray, rows: int, bits: int = SKETCH_BITS) -> list[bytes]:
+    """`parity` of each row's set; `row` has the place of each hash."""
+    odd = np.bincount(row * bits + ((hashes.view(np.uint64) >> np.uint64(17)).astype(np.int64) & (bits - 1)), minlength=rows * bits) & 1
+    return [x.tobytes() for x in np.packbits(odd.astype(np.uint8).reshape(rows, bits), axis=1)]
+
+
 def cross_by_sketch(mixed: DataFrame, tried: DataFrame, sketches: Callable[[DataFrame], DataFrame], threshold: float, best: bool = False) -> DataFrame:
     """Pairs (a < b) of ids that share a key of `mixed` (key, id, label) under different labels and may have Jaccard similarity
     `threshold`; `sketches` takes ids and returns their (id, n, parity), n being the set's size, or a written table that holds
@@ -209,7 +220,9 @@ def cross_by_sketch(mixed: DataFrame, tried: DataFrame, sketches: Callable[[Data
     # an id outside the family's label meets all blocks of members, and is met as a member by all blocks of outsiders
     many = many.withColumn("u", F.expr("explode(array_union(if(outside, transform(sequence(0, q - 1), x -> struct(i as i, x as j)), array()), transform(sequence(0, p - 1), x -> struct(x as i, j as j))))"))
     many = many.selectExpr("id", "key", "u.i as i", "u.j as j", "label", "outside and u.i = i as s", "u.j = j as t").join(own, "id")
-    dealt = many.select("key", "i", "j", "id", "label", "s", "t", "n", "parity").repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = size.agg(F.sum(F.expr(f"r * ceil(c / {BLOCK}) + c * ceil(r / {BLOCK})"))).first()[0] or 0
+    tasks = min(partitions(spark), max(LEAST_TASKS, -(-int(rows) // SKETCHES_A_TASK)))
+    dealt = many.select("key", "i", "j", "id", "label", "s", "t", "n", "parity").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(rows):
         carry = None

@@ -19,15 +19,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, batches, drop, flat, materialize, mix64, text_or_empty, views
-from .components import cross_by_sketch, linked, parity, shared_keys, star_pairs
+from .common import BATCH_BYTES, batches, drop, flat, materialize, mix64, partitions, small_files, text_or_empty, views
+from .components import cross_by_sketch, linked, parities, star_pairs
 
 CHARS, ROWS, BANDS, THRESHOLD = 8, 4, 16, 0.75
 HASHES = ROWS * BANDS
 #: Bytes of lines that are hashed at a time, so that the arrays stay in a core's cache; decides speed only.
 PIECE_BYTES = 64 << 10
-#: Ids of lines that may be broadcast; more are joined by a shuffle.
+#: Rows of ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
+#: Buckets of band keys for each shuffle partition, of which a task holds one at a time, and the keys dealt out together.
+BUCKETS_A_PARTITION, KEYS_AT_ONCE = 8, 1 << 20
 
 _RNG = np.random.default_rng(4099)
 _A = _RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -39,19 +41,22 @@ def shingle_hashes(lines: pa.Array, k: int = CHARS) -> tuple[np.ndarray, np.ndar
     data = bytes(memoryview(np.ascontiguousarray(views(lines)[1]))).decode()
     c = np.frombuffer(data.encode("utf-32-le"), np.uint32).astype(np.uint64)
     factor = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)]
-    h, have = c + np.uint64(1), 1  # `have` characters in each
+    h, have = c + np.uint64(1), 1  # a sum over `have` characters, each with its own product of factors
     for f in factor:
         step = min(have, k - have)
         if step <= 0:
             break
-        shifted = np.zeros_like(h)
-        shifted[: max(0, len(h) - step)] = h[step:]
-        h, have = mix64(h + shifted * f), have + step
+        after = h * f
+        after[: max(0, len(h) - step)] += h[step:]
+        h, have = after, have + step
     ends = np.cumsum(n)
     starts = ends - n
     size = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
+    begins = np.ones(len(h), bool)  # whether a shingle begins here; a short line has its one at its start
+    for j in range(1, k):
+        begins[ends[n > j] - j] = False
+    out = mix64(h[begins])
     short = np.flatnonzero((n < k) & (n > 0))
-    out = h[np.arange(int(size.sum())) + np.repeat(starts - (np.cumsum(size) - size), size)]
     at = (np.cumsum(size) - size)[short]
     for i, j in zip(short.tolist(), at.tolist()):
         own = c[starts[i] : ends[i]]
@@ -70,17 +75,82 @@ def band_keys(lines: pa.Array) -> np.ndarray:
     product, least = np.empty_like(low), np.empty((HASHES, len(size)), np.uint64)
     for h in range(HASHES):
         least[h] = np.minimum.reduceat(np.multiply(low, _A[h], out=product), starts)
-    keys = np.zeros((len(size), BANDS), np.uint64)
-    for b in range(BANDS):
-        for r in range(ROWS):
-            keys[:, b] = mix64(keys[:, b] + least[b * ROWS + r] * np.uint64(0x9E3779B1) + np.uint64(b + 1))
-    return keys.view(np.int64)
+    rows = (least.reshape(BANDS, ROWS, -1) * _POWERS[:ROWS, None]).sum(1) + _POWERS[ROWS : ROWS + BANDS, None]
+    return np.ascontiguousarray(mix64(rows).T).view(np.int64)
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line, id (the line's hash) of lines that aren't blank; docs: doc_id, text."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"[^ \t\r\x0b\x0c]")).withColumn("id", F.xxhash64("line"))
+    return lines.where(F.ltrim("line", F.lit(" \t\r\x0b\x0c")) != "").withColumn("id", F.xxhash64("line"))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """The side of a join, to be broadcast if it is small; a written table."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def dealt_keys(keys: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """bucket, keys, ids: rows of equal length with all keys of a bucket and their ids."""
+    own = (keys.view(np.uint64) % np.uint64(buckets)).astype(np.uint32 if buckets > 1 << 16 else np.uint16)
+    order = np.argsort(own, kind="stable")
+    count = np.bincount(own, minlength=buckets)
+    there = np.flatnonzero(count)
+    ends = pa.array(np.concatenate(([0], np.cumsum(count[there]))), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *(pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (keys, ids))], ["bucket", "keys", "ids"])
+
+
+def shared_in(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (key, id) whose key has several ids, and c, the key's rows before they were made distinct."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
+    c = np.diff(np.append(np.flatnonzero(first), len(keys)))
+    c = np.repeat(c, c)
+    several = c > 1
+    keys, ids, c = keys[several], ids[order[several]], c[several]
+    order = np.lexsort((ids, keys))
+    keys, ids, c = keys[order], ids[order], c[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    keys, ids, c = keys[new], ids[new], c[new]
+    meets = keys[1:] == keys[:-1]
+    keep = np.zeros(len(keys), bool)
+    keep[1:] |= meets
+    keep[:-1] |= meets
+    return keys[keep], ids[keep], c[keep]
+
+
+def dealt_bands(lines: DataFrame) -> DataFrame:
+    """bucket, keys, ids: the BANDS keys of each line (id, line), many in a row, as few of them are shared."""
+    buckets = BUCKETS_A_PARTITION * partitions(lines.sparkSession)
+
+    def deal(rows):
+        keys, own, have = [], [], 0
+        for batch in rows:
+            for part in batches(batch, np.diff(views(batch.column(1))[0]), BATCH_BYTES):
+                ids, first = np.unique(part.column(0).to_numpy(), return_index=True)
+                part = pa.RecordBatch.from_arrays([pa.array(ids), flat(part.column(1).take(pa.array(first)))], ["id", "line"])
+                keys += [band_keys(piece.column(1)).ravel() for piece in batches(part, np.diff(views(part.column(1))[0]), PIECE_BYTES)]
+                own.append(np.repeat(ids, BANDS))
+                have += len(own[-1])
+                if have >= KEYS_AT_ONCE:
+                    yield dealt_keys(np.concatenate(keys), np.concatenate(own), buckets)
+                    keys, own, have = [], [], 0
+        if have:
+            yield dealt_keys(np.concatenate(keys), np.concatenate(own), buckets)
+
+    return lines.select("id", "line").mapInArrow(deal, "bucket int, keys array<long>, ids array<long>")
+
+
+def shared_bands(lines: DataFrame) -> DataFrame:
+    """key, id, c of the bands that several lines (id, line) have, as of `components.shared_keys`; a written table."""
+
+    def share(table):
+        keys, ids = (table.column(x).combine_chunks().flatten().to_numpy() for x in ("keys", "ids"))
+        return pa.table([pa.array(x) for x in shared_in(keys, ids)], ["key", "id", "c"])
+
+    return materialize(dealt_bands(lines).groupBy("bucket").applyInArrow(share, "key long, id long, c long"), "shared-keys")
 
 
 def distinct_shingles(lines: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +178,7 @@ def similar(x: pa.Array, y: pa.Array, k: int, threshold: float) -> np.ndarray:
 def candidate_lines(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, line of the lines whose hash is in ids (id); a written table."""
     ids = materialize(ids.distinct(), "line-ids")
-    found = all_lines(docs).select("id", "line").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    found = all_lines(docs).select("id", "line").join(_small(ids), "id", "left_semi")
     lines = materialize(found.groupBy("id").agg(F.first("line").alias("line")), "lines")
     drop(ids)
     return lines
@@ -133,9 +203,10 @@ def _sketches(ids: DataFrame, lines: DataFrame, k: int) -> DataFrame:
     def run(rows):
         for batch in rows:
             for part in batches(batch, np.diff(views(batch.column(1))[0]), PIECE_BYTES):
-                hashes, size = shingle_hashes(part.column(1), k)
-                sets = [np.unique(x) for x in np.split(hashes, np.cumsum(size)[:-1])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity(x) for x in sets], pa.binary())], ["id", "n", "parity"])
+                packed, line = distinct_shingles(part.column(1), k)
+                n = np.bincount(line, minlength=len(part))
+                packed = packed << np.uint64(max(1, int(len(part) - 1).bit_length()))  # the hash again, but for its last bits, which no sketch looks at
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(parities(packed, line, len(part)), pa.binary())], ["id", "n", "parity"])
 
     return lines.join(ids, "id", "left_semi").select("id", "line").mapInArrow(run, "id long, n long, parity binary")
 
@@ -151,18 +222,12 @@ def first_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     """
     if threshold < THRESHOLD:
         raise ValueError(f"bands meet at similarities from {THRESHOLD} on")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    with small_files(docs.sparkSession):
+        return _first_lines(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")), threshold)
 
-    def keys(rows):
-        for batch in rows:
-            for part in batches(batch, np.diff(views(batch.column(1))[0]), BATCH_BYTES):
-                ids, first = np.unique(part.column(0).to_numpy(), return_index=True)
-                part = pa.RecordBatch.from_arrays([pa.array(ids), flat(part.column(1).take(pa.array(first)))], ["id", "line"])
-                for piece in batches(part, np.diff(views(part.column(1))[0]), PIECE_BYTES):
-                    own = band_keys(piece.column(1))
-                    yield pa.RecordBatch.from_arrays([pa.array(own.ravel()), pa.array(np.repeat(piece.column(0).to_numpy(), BANDS))], ["key", "id"])
 
-    shared = shared_keys(all_lines(docs).select("id", "line").mapInArrow(keys, "key long, id long"))
+def _first_lines(docs: DataFrame, threshold: float) -> DataFrame:
+    shared = shared_bands(all_lines(docs))
     texts = candidate_lines(docs, shared.select("id"))
     own: list[DataFrame] = []
 
@@ -180,10 +245,13 @@ def first_lines(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     for x in (texts, *own):
         drop(x)
     labels = labels.where("id <> component")
-    lines = all_lines(docs).select("doc_id", "line_no", "id").join(labels, "id", "left")
+    lines = all_lines(docs).select("doc_id", "line_no", "id").join(_small(labels), "id", "left")
     lines = materialize(lines.select("doc_id", "line_no", F.coalesce("component", "id").alias("group")), "line-groups")
-    keepers = lines.groupBy("group").agg(F.min(F.struct("doc_id", "line_no")).alias("k"))
-    out = lines.join(keepers, "group").selectExpr("doc_id", "line_no", "k.doc_id as keeper_doc_id", "k.line_no as keeper_line_no")
+    keepers = lines.groupBy("group").agg(F.min(F.struct("doc_id", "line_no")).alias("k"), F.count("*").alias("c"))
+    keepers = materialize(keepers.where("c > 1").select("group", "k"), "keepers")  # a line alone is its own keeper
+    own_place = F.struct("doc_id", "line_no")
+    out = lines.join(_small(keepers), "group", "left").select("doc_id", "line_no", F.when(F.col("k").isNull(), own_place).otherwise(F.col("k")).alias("k"))
+    out = out.selectExpr("doc_id", "line_no", "k.doc_id as keeper_doc_id", "k.line_no as keeper_line_no")
     return out.withColumn("kept", F.expr("doc_id <=> keeper_doc_id and line_no = keeper_line_no"))
 
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from isohypse.llm import common, components, lines, ngram_join, vectors
@@ -184,6 +185,35 @@ def test_line_columns_may_clash(spark):
     assert lines.drop_repeated_lines(docs).columns == docs.columns
 
 
+def test_band_keys_travel_many_in_a_row(spark):
+    common.tune(spark)
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(80)) for _ in range(3000)]
+    texts = base + [x[:40] + "#" + x[41:] for x in base[:300]] + [base[0][:79] + chr(200 + i) for i in range(200)] + base[:50]
+    frame = spark.createDataFrame(list(enumerate(texts)), "n long, line string").selectExpr("xxhash64(line) as id", "line").repartition(3)
+    assert lines.dealt_bands(frame).count() < frame.count() / 4  # it was one for each key: 16 for each line
+
+    rows = frame.collect()
+    owners = {}
+    for row, keys in zip(rows, lines.band_keys(pa.array([r["line"] for r in rows])).tolist()):
+        for k in keys:
+            owners.setdefault(k, set()).add(row["id"])
+    want = {(k, i) for k, ids in owners.items() if len(ids) > 1 for i in ids}
+    got = [(r["key"], r["id"]) for r in lines.shared_bands(frame).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and max(len(x) for x in owners.values()) > 150
+    assert lines.shared_bands(frame.limit(0)).count() == 0
+
+
+def test_sketches_of_lines_are_their_sets_own(spark):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdéf ") for _ in range(rng.choice([3, 20, 300]))) for _ in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, line string").coalesce(1)
+    got = {r["id"]: (r["n"], bytes(r["parity"])) for r in lines._sketches(frame.select("id"), frame, lines.CHARS).collect()}
+    for i, x in enumerate(texts):
+        own = np.unique(lines.shingle_hashes(pa.array([x]))[0])
+        assert got[i] == (len({x[k : k + 8] for k in range(max(1, len(x) - 7))}), components.parity(own))
+
+
 def test_bands_meet_as_often_as_stated():
     rng = np.random.default_rng(3)
     for s, least in ((0.75, 0.995), (0.8, 0.999)):
