@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, batches, drop, materialize, mix64, partitions, text_or_empty, views
-from .components import cross_by_sketch, fold, linked, parity, shared_keys, star_pairs
+from .components import cross_by_sketch, fold, linked, parity, shared_keys, small, star_pairs
 from .shingles import shingle_rows
 
 THRESHOLD = Fraction(3, 4)
@@ -47,8 +47,6 @@ LIST_COST = 3
 LEAST_BITS, MOST_BITS = 256, 1 << 16
 #: Sets that meet a set in one task.
 HEAD_PART = 2000
-#: Classes that may be broadcast, at three longs each; more are joined by a shuffle.
-BROADCAST_IDS = 300_000
 
 
 def required(n: int, t: Fraction) -> int:
@@ -178,18 +176,19 @@ def thin_pairs(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """`wanted` (id, h, ...) with its document's text; documents that repeat id and text come again."""
-    return docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, ["id", "h"])
+    return docs.join(small(wanted), ["id", "h"])
 
 
 def verify_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, t: Fraction) -> DataFrame:
     """Of the pairs (a, b) of classes, those whose sets' Jaccard similarity is at least t; `pairs` is a written table.
 
-    b's text goes to its a, in parts of HEAD_PART where an a has more; a's text goes to each part before them.
+    No pair comes twice. b's text goes to its a, in parts of HEAD_PART where an a has more; a's text goes to each part before them.
     """
-    parts = pairs.groupBy("a").agg(F.count("*").alias("m")).selectExpr("a", f"cast(ceil(m / {HEAD_PART}) as int) as parts")
-    member = pairs.join(parts, "a").selectExpr("b as cls", "a as head", "cast(pmod(xxhash64(b), parts) as int) as part")
-    heads = parts.selectExpr("a as cls", "a as head", "explode(sequence(0, parts - 1)) as part")
-    wanted = materialize(member.unionByName(heads).join(classes.select("cls", "id", "h"), "cls"), "to-check")
+    parts = pairs.groupBy("a").agg(F.count("*").alias("m"), F.min("b").alias("lead")).selectExpr("a", f"cast(ceil(m / {HEAD_PART}) as int) as parts", "lead")
+    own = "array(struct(b as cls, cast(pmod(xxhash64(b), parts) as int) as part))"
+    heads = "if(b = lead, transform(sequence(0, parts - 1), x -> struct(a as cls, x as part)), array())"
+    put = pairs.join(parts, "a").selectExpr("a as head", f"explode(concat({own}, {heads})) as x").selectExpr("x.cls", "head", "x.part")
+    wanted = materialize(put.join(small(classes.select("cls", "id", "h")), "cls"), "to-check")
     read = texts_of(docs, wanted).selectExpr("cls", "head", "part", "text")
 
     def exact(rows):

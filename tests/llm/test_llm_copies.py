@@ -240,3 +240,54 @@ def test_join_equals_its_sql(spark):
     duck.execute(f"create view documents as select * from '{d}/documents.parquet'")
     want = sorted(duck.execute(queries.ORACLE_SQL["op8_ngram_jaccard_join"]).fetchall())
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in queries.op8_ngram_jaccard_join(spark, d).collect()) == want
+
+
+def tasks_of(spark, job):
+    """Tasks that `job` runs, those of skipped stages not counted."""
+    tracker, group = spark.sparkContext.statusTracker(), f"tasks-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    job()
+    stages = {i for j in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(j).stageIds}
+    return sum(x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x)
+
+
+def test_links_of_few_nodes_need_few_tasks(spark):
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "64k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    frame = components.materialize(spark.createDataFrame([(i + 1, i) for i in range(40)], "a long, b long").repartition(3), "edges")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = []
+        tasks = tasks_of(spark, lambda: got.extend(components.components(frame).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r["id"], r["component"]) for r in got} == {(i, 0) for i in range(41)} and len(got) == 41
+    assert tasks < 400, tasks
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_components_by_broadcast_and_by_shuffle(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 10**6 if few else 0)
+    rng = np.random.default_rng(4)
+    for n, m in ((300, 200), (400, 420), (50, 1)):
+        edges = rng.integers(-n, n, (m, 2)).tolist()
+        frame = spark.createDataFrame([tuple(e) for e in edges], "a long, b long").repartition(5)
+        ends = {x for e in edges if e[0] != e[1] for x in e}
+        got = [(r["id"], r["component"]) for r in components.components(frame).collect()]
+        assert sorted(got) == sorted(groups([e for e in edges if e[0] != e[1]], ends).items())
+
+
+def test_likeliest_partners_say_when_others_are_left():
+    def table(ids, label, sets):
+        n = len(ids)
+        return pa.table({"id": pa.array(ids, pa.int64()), "label": pa.array(label, pa.int64()), "s": [x != 0 for x in label], "t": [True] * n, "n": pa.array([len(x) for x in sets], pa.int64()), "parity": [components.parity(x) for x in sets]})
+
+    base = np.arange(100, dtype=np.int64) << 20
+    for others in (components.LIKELY, components.LIKELY + 3):
+        sets = [base, *(np.append(base, np.int64(i + 1) << 40) for i in range(others))]
+        rows = table(range(others + 1), [1, *[0] * others], sets)
+        best, whole = ({(r["a"], r["b"]) for r in components._unlike(rows, np.zeros(1, np.int64), 0.75, x).to_pylist()} for x in (True, False))
+        assert whole == {(0, i) for i in range(1, others + 1)}
+        assert best == whole if others == components.LIKELY else len(best - {(None, None)}) == components.LIKELY and best - whole == {(None, None)}
