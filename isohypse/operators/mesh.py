@@ -20,15 +20,23 @@ def triangles(cells: DataFrame, scale: float = 1.0) -> DataFrame:
     return t.select("y", "x", face.alias("f")).select("y", "x", "f.half", *[f"f.{c}" for c in CORNERS])
 
 
+def _decimals(*values: float | None) -> str | None:
+    """Three decimals each, as C prints them: from the double's exact value, ties to even. Java rounds its shortest digits up."""
+    return None if None in values else " ".join(f"{v:.3f}" for v in values)
+
+
 def stl_facets(faces: DataFrame) -> DataFrame:
-    """y, x, half, facet: each triangle as a facet of an ASCII STL file, with its unit normal."""
+    """y, x, half, facet: each triangle as a facet of an ASCII STL file, with its unit normal; null where a height is."""
     ux, uy, uz = (F.col(f"{c}2") - F.col(f"{c}1") for c in "xyz")
     vx, vy, vz = (F.col(f"{c}3") - F.col(f"{c}1") for c in "xyz")
     t = faces.withColumn("nx", uy * vz - uz * vy).withColumn("ny", uz * vx - ux * vz).withColumn("nz", ux * vy - uy * vx)
     t = t.withColumn("n", F.sqrt(F.col("nx") * F.col("nx") + F.col("ny") * F.col("ny") + F.col("nz") * F.col("nz")))
-    corner = lambda i: F.format_string("vertex %.3f %.3f %.3f", f"x{i}", f"y{i}", f"z{i}")
-    normal = F.format_string("facet normal %.4f %.4f %.4f", *[F.round(F.col(f"n{c}") / F.col("n"), 4) + F.lit(0.0) for c in "xyz"])
-    return t.select("y", "x", "half", F.concat_ws("\n", normal, F.lit("outer loop"), corner(1), corner(2), corner(3), F.lit("endloop"), F.lit("endfacet")).alias("facet"))
+    decimals = F.udf(_decimals, "string", useArrow=True)
+    corner = lambda i: F.concat(F.lit("vertex "), decimals(f"x{i}", f"y{i}", f"z{i}"))
+    # scaled, rounded and scaled back, as SQL's round does: its shortest digits alone would go up at ties
+    normal = F.format_string("facet normal %.4f %.4f %.4f", *[F.round(F.col(f"n{c}") / F.col("n") * 10000) / 10000 + F.lit(0.0) for c in "xyz"])
+    text = [normal, F.lit("outer loop"), corner(1), corner(2), corner(3), F.lit("endloop"), F.lit("endfacet")]
+    return t.select("y", "x", "half", F.concat(*[p for x in text for p in (F.lit("\n"), x)][1:]).alias("facet"))
 
 
 def heights(faces: DataFrame) -> DataFrame:

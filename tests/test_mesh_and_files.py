@@ -34,6 +34,18 @@ def test_a_raster_comes_back_from_its_mesh(spark):
     assert flat.startswith("facet normal 0.0000 0.0000 -1.0000\nouter loop\nvertex 0.000 0.000 0.000") and flat.endswith("endloop\nendfacet")
 
 
+def test_facets_print_ties_as_sql_does(spark):
+    z = [0.0625, 12.6785, 1.0005, -17.3125]  # Java prints 0.063, 12.679, 1.001, -17.313
+    cells = spark.createDataFrame([(i // 2, i % 2, v) for i, v in enumerate(z)], "y int, x int, z double")
+    facet = mesh.stl_facets(mesh.triangles(cells)).where("half = 0").first()["facet"]
+    assert [x.split()[-1] for x in facet.split("\n") if x.startswith("vertex")] == ["0.062", "1.000", "12.678"]
+    # a normal's x of 0.70715, for which SQL's round gives 0.7071
+    d = (1 / 0.70715**2 - 1) ** 0.5
+    tilted = next(h for h in (d + k * 2**-53 for k in range(-400, 400)) if 1 / (1 + h * h) ** 0.5 == 0.70715)
+    tri = spark.createDataFrame([(0, 0, 0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, tilted, 0.0, -1.0)], "y int, x int, half int, " + ", ".join(f"{c} double" for c in mesh.CORNERS))
+    assert mesh.stl_facets(tri).first()["facet"].startswith("facet normal -0.7071 ")
+
+
 def test_padding_holds_the_edge(spark):
     z = np.arange(6.0).reshape(2, 3)
     got = raster.pad_edge(spark.createDataFrame([(y, x, float(z[y, x])) for y in range(2) for x in range(3)], "y int, x int, z double"), 2)
