@@ -61,6 +61,44 @@ def test_greedy_order_is_a_permutation(spark):
     assert sorted(r["seq"] for r in got) == list(range(20)) and [r["place"] for r in got] == list(range(20))
 
 
+@pytest.mark.parametrize("kind", ["grid", "plane", "few points"])
+def test_greedy_by_tree_equals_the_scan(kind):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for n in (64, 65, 300):
+        p = {"grid": rng.integers(0, 9, (n, 4)) * 1.0, "plane": rng.random((n, 4)), "few points": rng.integers(0, 2, (n, 4)) * 1.0}[kind]
+        for got, want in zip(segments._greedy(p), segments._greedy_by_scan(p)):
+            assert got.tolist() == want.tolist()
+
+
+def test_greedy_order_takes_no_square_of_a_layer():
+    import time
+
+    import numpy as np
+
+    p = np.random.default_rng(5).integers(1, 50, (40_000, 4)) * 1.0  # looking at all free rows each time: over a minute
+    began = time.process_time()
+    assert sorted(segments._greedy(p)[0].tolist()) == list(range(len(p)))
+    assert time.process_time() - began < 15
+
+
+def test_groups_come_in_order_whole_and_apart(spark):
+    """Batches of three rows: groups cross them, one key is null, and sums go on from batch to batch."""
+    rows = [(layer, i, 0.0, 0.0, 4.0, 0.0) for layer in (None, 0, 1) for i in range(7)]
+    s = spark.createDataFrame(rows[::-1], "layer int, seq long, x1 double, y1 double, x2 double, y2 double").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = segments.filed(s, 16.0, 8.0).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for layer in (None, 0, 1):
+        own = sorted((r["seq"], r["file"], r["dip"]) for r in got if r["layer"] == layer)
+        # a file's break isn't counted in the file's length, but drawn
+        assert [x[1] for x in own] == [0, 0, 0, 0, 1, 1, 1] and [x[2] for x in own] == [False, False, True, False, False, False, True]
+
+
 def test_budget_restarts_without_the_segment_at_the_break(spark):
     rows = [(0, i, 0.0, 0.0, float(d), 0.0) for i, d in enumerate([4, 4, 4, 4, 4])]
     s = spark.createDataFrame(rows, "layer int, seq long, x1 double, y1 double, x2 double, y2 double")
