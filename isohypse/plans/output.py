@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.polygons import CELL, box_cells
-from ..operators.segments import budgeted, dips, drawn_order, pen_lifts
+from ..operators.segments import drawn_order, filed, pen_lifts
 
 
 def fold_zones(points: DataFrame, zones: DataFrame, cell: float = CELL) -> DataFrame:
@@ -65,8 +65,7 @@ def gcode(segments: DataFrame, most: float = 5000.0, dip: float | None = 120.0)
     Fixed commands and speeds: travel F6000, write F3000, lift F5000; a dip goes up to Z7, to (0, -20),
     down to Z2 (F500) and up.
     """
-    drawn = budgeted(drawn_order(segments).select("layer", F.col("place").alias("seq"), "x1", "y1", "x2", "y2"), most)
-    drawn = drawn.withColumn("dip", F.lit(False)) if dip is None else dips(drawn, dip)
+    drawn = filed(drawn_order(segments).select("layer", F.col("place").alias("seq"), "x1", "y1", "x2", "y2"), most, dip)
     w = Window.partitionBy("layer", "file").orderBy("seq")
     lifted = pen_lifts(drawn, by=("layer", "file")).withColumn("up", F.coalesce(F.lag(F.col("lift") | F.col("dip")).over(w), F.lit(True)))
     move = F.format_string("G1 X%.3f Y%.3f", "x1", "y1")
