@@ -202,7 +202,7 @@ def k03_svg_lines(spark, d):
 
 @query()
 def w09_w13_budgeted_files(spark, d):
-    return segments.dips(segments.budgeted(rel.segments(spark, d), 5000.0)).select("layer", "seq", "file", "dip")
+    return segments.filed(rel.segments(spark, d), 5000.0, 120.0, keep=())
 
 
 @query()
