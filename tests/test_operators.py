@@ -99,6 +99,50 @@ def test_groups_come_in_order_whole_and_apart(spark):
         assert [x[1] for x in own] == [0, 0, 0, 0, 1, 1, 1] and [x[2] for x in own] == [False, False, True, False, False, False, True]
 
 
+def test_long_lines_pass_in_pieces(spark, monkeypatch):
+    """Smoothed and simplified in pieces as in one, an unknown height and lines of one and two points included."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    p = [(layer, i, *map(float, rng.integers(0, 50, 2))) for layer, n in ((0, 700), (1, 1), (2, 2), (3, 33)) for i in range(n)]
+    p[300] = (*p[300][:2], None, 5.0)
+    t = spark.createDataFrame(p[::-1], "layer int, seq long, x double, y double").repartition(3)
+    one = {(r["layer"], r["seq"]): (r["x"], r["y"]) for r in lines.taubin(t, 5).collect()}
+    assert len(one) == len(p) and one[1, 0] == p[700][2:] and one[2, 1] == p[702][2:] and one[0, 300][0] is None
+    way = np.array([q[2:] for q in p if q[0] == 3])
+    for k in (0.7, -0.2) * 5:
+        way[1:-1] += k * ((way[:-2] + way[2:]) / 2 - way[1:-1])
+    assert [one[3, i] for i in range(33)] == [tuple(q) for q in way.tolist()]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    monkeypatch.setattr(lines, "BATCH", 40)
+    try:
+        assert {(r["layer"], r["seq"]): (r["x"], r["y"]) for r in lines.taubin(t, 5).collect()} == one
+        s = t.where("x is not null").withColumnRenamed("layer", "id")
+        many = sorted(map(tuple, lines.simplify(s, 10.0).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    monkeypatch.setattr(lines, "SPAN", 50)
+    assert sorted(map(tuple, lines.simplify(s, 10.0).collect())) == many and 300 < len(many) < len(p)
+
+
+@pytest.mark.parametrize("span", [1 << 20, 30])
+def test_simplified_lines_keep_the_farthest_vertices(monkeypatch, span):
+    import numpy as np
+
+    def want(p, a, b):
+        d, o = p[b] - p[a], p[a + 1 : b] - p[a]
+        size = np.hypot(*d)
+        far = (np.abs(o[:, 0] * d[1] - o[:, 1] * d[0]) / size if size else np.hypot(o[:, 0], o[:, 1])) if b - a > 1 else np.zeros(1)
+        i = a + 1 + int(np.argmax(far))
+        return {a, b} | (want(p, a, i) | want(p, i, b) if far.max() > 3 else set())
+
+    monkeypatch.setattr(lines, "SPAN", span)
+    rng = np.random.default_rng(2)
+    for p in (rng.integers(0, 9, (200, 2)) * 1.0, np.cumsum(rng.normal(size=(300, 2)), 0), np.zeros((5, 2)), np.zeros((1, 2))):
+        assert set(np.flatnonzero(lines._kept(p, 3.0)).tolist()) == want(p, 0, len(p) - 1)
+
+
 def test_budget_restarts_without_the_segment_at_the_break(spark):
     rows = [(0, i, 0.0, 0.0, float(d), 0.0) for i, d in enumerate([4, 4, 4, 4, 4])]
     s = spark.createDataFrame(rows, "layer int, seq long, x1 double, y1 double, x2 double, y2 double")
