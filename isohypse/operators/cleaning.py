@@ -31,7 +31,8 @@ def crossing_rings(rings: DataFrame, cell: float = CELL) -> DataFrame:
     side = lambda u, v, t: f"sign(({pts[v][0]} - {pts[u][0]}) * ({pts[t][1]} - {pts[u][1]}) - ({pts[v][1]} - {pts[u][1]}) * ({pts[t][0]} - {pts[u][0]}))"
     crossed = f"a.k < b.k and {side('p', 'q', 'r')} * {side('p', 'q', 's')} < 0 and {side('r', 's', 'p')} * {side('r', 's', 'q')} < 0"
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("id", "part", "row", "col")]
-    return a.join(b, same).where(crossed).select("a.id", "a.part").distinct()
+    # rows of a few bytes that grow with the rings: their shuffles look small enough for a broadcast, which the driver then has to hold
+    return a.join(b.hint("merge"), same).where(crossed).select("a.id", "a.part").distinct()
 
 
 def marked(rings: DataFrame, least_sphere: float | None = None, least_plane: float | None = None, cell: float = CELL) -> DataFrame:
@@ -48,7 +49,7 @@ def marked(rings: DataFrame, least_sphere: float | None = None, least_plane: flo
     if least_plane is not None:
         small = small | (size < least_plane)
     fate = F.when(F.coalesce("_bad", F.lit(False)), "invalid").when((F.size("ring") < LEAST_POINTS) | (size == 0), "empty").when(small, "small").otherwise("kept")
-    return rings.join(bad, ["id", "part"], "left").withColumn("fate", fate).drop("_bad")
+    return rings.join(bad.hint("merge"), ["id", "part"], "left").withColumn("fate", fate).drop("_bad")
 
 
 def cleaned(shapes: DataFrame, least_sphere: float | None = None, least_plane: float | None = None, cell: float = CELL, counters: Observation | None = None) -> DataFrame:

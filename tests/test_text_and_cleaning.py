@@ -70,6 +70,17 @@ def test_cleaning_counts_what_it_takes(spark):
         assert seen.get == {"input": 7, "invalid": 1, "empty": 3, "small": 1, "output": 2}
 
 
+def test_cleaning_broadcasts_no_rows_of_rings(spark):
+    ring = [(0.0, 0.0), (4.0, 4.0), (4.0, 0.0), (0.0, 4.0), (0.0, 0.0)]
+    shapes = spark.createDataFrame([(i, [ring]) for i in range(50)], "id long, rings array<array<struct<x:double,y:double>>>")
+    found = cleaning.marked(cleaning.unpack(shapes))
+    assert {r["fate"] for r in found.collect()} == {"invalid"}
+    found.write.format("noop").mode("overwrite").save()
+    plan = found.select("id", "fate")
+    plan.collect()
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bilinear_is_exact_on_a_plane(spark):
     cells = [(y + 3, x - 2, 2.0 * y + 5.0 * x) for y in range(6) for x in range(8)]
     got = {(r["y"], r["x"]): r["z"] for r in raster.bilinear(spark.createDataFrame(cells, "y int, x int, z double"), 12, 4).collect()}
