@@ -45,10 +45,98 @@ def box_pairs(boxes: DataFrame) -> DataFrame:
     return b.join(other, ["cx", "cy"]).where(hit).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
 
 
+def _touching(x0, y0, x1, y1) -> list[int]:
+    """For each box one box of those that it is connected with by overlaps, the same for all of them.
+
+    A sweep along x over a tree of intervals in y. A node keeps, of the boxes that take up its whole interval, the one that reaches
+    furthest, as these overlap as long as they last; and those that take up any part of it, of which two that follow each other
+    and are connected already count as one. So n boxes take n log n steps, however many pairs overlap.
+    """
+    import numpy as np
+
+    ys = np.unique(np.concatenate((y0, y1)))
+    size = 1 << max(1, int(len(ys) - 1).bit_length())
+    low, high, order = np.searchsorted(ys, y0).tolist(), np.searchsorted(ys, y1).tolist(), np.argsort(x0, kind="stable").tolist()
+    begin, end = x0.tolist(), x1.tolist()
+    whole, some = [-1] * (2 * size), [None] * (2 * size)
+    up = list(range(len(begin)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i in order:
+        if low[i] >= high[i] or begin[i] >= end[i]:
+            continue
+        root, x = i, begin[i]
+        paths, own = set(), []
+        for node in (low[i] + size, high[i] - 1 + size):
+            while node and node not in paths:
+                paths.add(node)
+                node >>= 1
+        a, b = low[i] + size, high[i] + size
+        while a < b:
+            if a & 1:
+                own.append(a)
+                a += 1
+            if b & 1:
+                b -= 1
+                own.append(b)
+            a >>= 1
+            b >>= 1
+        for node in (*paths, *own):
+            j = whole[node]
+            if j >= 0 and end[j] > x:
+                up[top(j)] = root
+        for node in own:
+            if some[node]:
+                left = [j for j in some[node] if end[j] > x]
+                for j in left:
+                    up[top(j)] = root
+                some[node] = [max(left, key=end.__getitem__)] if left else None
+            if whole[node] < 0 or end[whole[node]] < end[i]:
+                whole[node] = i
+        for node in paths:
+            if not some[node]:
+                some[node] = [i]
+            elif top(some[node][-1]) == root:
+                if end[some[node][-1]] < end[i]:
+                    some[node][-1] = i
+            else:
+                some[node].append(i)
+    return [top(i) for i in range(len(up))]
+
+
+def box_links(boxes: DataFrame) -> DataFrame:
+    """a, b: links by which boxes (id, xmin, ymin, xmax, ymax) are connected just as by all pairs that overlap, four at most for each box.
+
+    Boxes are put in all cells they touch, as in `box_pairs`; in a cell each box is linked with the least id that overlaps lead to.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(group: pa.Table) -> pa.Table:
+        ids = group["id"].to_numpy()
+        tops = np.array(_touching(*(group[c].to_numpy() for c in ("xmin", "ymin", "xmax", "ymax"))), np.int64)
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, tops, ids)
+        link = least[tops] < ids
+        return pa.table({"a": least[tops][link], "b": ids[link]})
+
+    sides = ["xmin", "ymin", "xmax", "ymax"]
+    b = boxes.select(F.col("id").cast("long").alias("id"), *sides).dropna()
+    b = b.crossJoin(F.broadcast(b.agg(*[F.greatest(F.max(F.col(f"{c}max") - F.col(f"{c}min")), F.lit(1.0)).alias(f"_{c}") for c in "xy"])))
+    for c in "xy":
+        b = b.withColumn(f"c{c}", F.explode(F.sequence(F.floor(F.col(f"{c}min") / F.col(f"_{c}")), F.floor(F.col(f"{c}max") / F.col(f"_{c}")))))
+    return b.select("cx", "cy", "id", *sides).groupBy("cx", "cy").applyInArrow(run, "a long, b long")
+
+
 def label_regions(boxes: DataFrame) -> DataFrame:
     """id, region: places connected by overlaps of the envelopes of their candidate boxes (id, xmin, ymin, xmax, ymax)."""
     whole = boxes.groupBy("id").agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
-    return components(whole.select("id"), box_pairs(whole))
+    return components(whole.select("id"), box_links(whole))
 
 
 def drop_crowded(places: DataFrame, reach: float) -> DataFrame:

@@ -31,6 +31,33 @@ def test_box_pairs_equal_all_pairs(spark):
     assert want and sorted(tuple(r) for r in places.box_pairs(b).select("a", "b").collect()) == want
 
 
+def test_box_links_connect_what_pairs_connect(spark):
+    import numpy as np
+
+    def named(n, pairs):
+        up = list(range(n))
+        for a, b in pairs:
+            u, v = up[a], up[b]
+            up = [min(u, v) if x in (u, v) else x for x in up]
+        return up
+
+    rng = np.random.default_rng(4)
+    for n, far, wide in ((60, 30, 4), (60, 90, 9), (200, 60, 3), (9, 5, 5)):
+        for whole in (True, False):
+            x0, y0, w, h = rng.integers(0, far, n), rng.integers(0, far, n), rng.integers(1, wide, n), rng.integers(1, wide, n)
+            x0, y0, x1, y1 = (v * 1.0 if whole else v + rng.random(n) / 9 for v in (x0, y0, x0 + w, y0 + h))
+            pairs = [(a, b) for a in range(n) for b in range(a) if x0[a] < x1[b] and x0[b] < x1[a] and y0[a] < y1[b] and y0[b] < y1[a]]
+            tops = places._touching(x0, y0, x1, y1)
+            assert [tops.index(t) for t in tops] == named(n, pairs)
+    b = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(x0, y0, x1, y1))], "id long, xmin double, ymin double, xmax double, ymax double")
+    assert named(n, map(tuple, places.box_links(b).collect())) == named(n, pairs)
+
+
+def test_links_of_a_crowd_are_not_its_pairs(spark):
+    crowd = spark.range(3000).selectExpr("id", "id / 3000D as xmin", "id / 3000D as ymin", "id / 3000D + 2 as xmax", "id / 3000D + 2 as ymax")
+    assert 2999 <= places.box_links(crowd).count() <= 4 * 3000  # of 4,498,500 pairs
+
+
 def area(ring):
     return abs(sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(ring, [*ring[1:], ring[0]]))) / 2
 
