@@ -8,8 +8,9 @@ polygon's edges, sorted along it, enclose the line's parts inside by twos. An ed
 different sides, an end on the line counting as left of it. So a touched vertex counts twice or not at all,
 crossings are even in number, and a line along an edge counts as lying just to the right of it.
 
-Lines meet polygons through grid cells, and a polygon's edges through horizontal strips; both joins are by
-equality, so neither a nested loop nor a whole polygon in one task is needed.
+Lines meet polygons through grid cells by equality, each pair in one of the cells only. A polygon of few edges brings them
+along, so its crossings with a line are counted where the two meet and nothing is dealt out again; those of more edges
+are met through horizontal strips, so no large polygon is needed in one task.
 """
 
 from __future__ import annotations
@@ -39,18 +40,26 @@ def at(a: str, b: str, t: Column | str) -> Column:
 
 
 def line_cells(lines: DataFrame, cell: float) -> DataFrame:
-    """Lines with the cells (row, col) that they pass: for each row the columns between their ends in it."""
+    """Lines with the cells (row, col) that they pass: for each row the columns between their ends in it.
+
+    _first is the row's least column, _before and _until are those of the row below, null for a line's first row.
+    """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     rows = lines.withColumn("row", F.explode(cells_between(low, high, cell)))
     slope = (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
     xs = lambda y: F.col("x1") + (y - F.col("y1")) * slope
-    a, b = xs(F.greatest(low, F.col("row") * cell)), xs(F.least(high, (F.col("row") + 1) * cell))
     left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
     level = slope.isNull()  # greatest and least pass over nulls
     inside = lambda x, other: F.when(level, other).otherwise(F.least(F.greatest(x, left), right))
-    a, b = inside(a, left), inside(b, right)
-    rows = rows.withColumn("_l", F.least(a, b)).withColumn("_r", F.greatest(a, b))
-    return rows.withColumn("col", F.explode(cells_between(F.col("_l"), F.col("_r"), cell))).drop("_l", "_r")
+
+    def columns(row: Column) -> tuple[Column, Column]:
+        a, b = inside(xs(F.greatest(low, row * cell)), left), inside(xs(F.least(high, (row + 1) * cell)), right)
+        return F.floor((F.least(a, b) - SLACK) / cell), F.floor((F.greatest(a, b) + SLACK) / cell)
+
+    (first, last), (before, until) = columns(F.col("row")), columns(F.col("row") - 1)
+    later = F.col("row") > F.floor((low - SLACK) / cell)
+    rows = rows.withColumns({"_first": first, "_last": last, "_before": F.when(later, before), "_until": F.when(later, until)})
+    return rows.withColumn("col", F.explode(F.sequence("_first", "_last"))).drop("_last")
 
 
 def box_cells(found: DataFrame, cell: float) -> DataFrame:
@@ -58,11 +67,23 @@ def box_cells(found: DataFrame, cell: float) -> DataFrame:
     return found.withColumn("row", F.explode(cells_between(F.col("ymin"), F.col("ymax"), cell))).withColumn("col", F.explode(cells_between(F.col("xmin"), F.col("xmax"), cell)))
 
 
-def meetings(lines: DataFrame, found: DataFrame, keys: list[str], cell: float, when: str = "true") -> DataFrame:
-    """Each line with each polygon's box that lies in one of its cells, and whose columns satisfy `when`."""
-    pairs = line_cells(lines, cell).join(box_cells(found, cell), ["row", "col"]).where(when)
+def meetings(lines: DataFrame, found: DataFrame, cell: float, when: str = "true") -> DataFrame:
+    """Each line with each polygon's box that lies in one of its cells, and whose columns satisfy `when`.
+
+    A line passes a box in rows that follow each other; the pair is formed in the first one, in its least column that both have.
+    """
+    near = box_cells(found, cell)
+    for name, c in (("_row", "ymin"), ("_left", "xmin")):
+        near = near.withColumn(name, F.floor((F.col(c) - SLACK) / cell))
+    near = near.withColumn("_right", F.floor((F.col("xmax") + SLACK) / cell))
+    pairs = line_cells(lines, cell).join(near.hint("merge"), ["row", "col"]).where(when)
+    pairs = pairs.where("col = greatest(_first, _left) and not coalesce(row > _row and _before <= _right and _until >= _left, false)")
     apart = "least(x1, x2) > xmax or greatest(x1, x2) < xmin or least(y1, y2) > ymax or greatest(y1, y2) < ymin"
-    return pairs.where(f"not ({apart})").drop("row", "col").dropDuplicates([*keys, "id"])
+    return pairs.where(f"not ({apart})").drop("row", "col", "_first", "_before", "_until", "_row", "_left", "_right")
+
+
+#: Edges of a polygon that are brought along to where lines meet it.
+FEW_EDGES = 64
 
 
 def inside_runs(lines: DataFrame, edges: DataFrame, keys: list[str], cell: float = CELL, when: str = "true", more: tuple[str, ...] = (), own: bool = False) -> DataFrame:
@@ -72,10 +93,32 @@ def inside_runs(lines: DataFrame, edges: DataFrame, keys: list[str], cell: float
     carried along. With `own`, lines have an `id` and meet that polygon only. Points have no parts.
     """
     lines = lines.where("x1 <> x2 or y1 <> y2")
+    sizes = edges.groupBy("id").agg(F.count("*").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= FEW_EDGES:
+        return _few_edges_runs(lines, edges, cell, when, more, own)
+    large = sizes.where(f"n > {FEW_EDGES}").select("id").hint("merge")
+    few = _few_edges_runs(lines, edges.join(large, "id", "left_anti"), cell, when, more, own)
+    return few.unionByName(_many_edges_runs(lines, edges.join(large, "id", "left_semi"), keys, cell, when, more, own))
+
+
+def _few_edges_runs(lines: DataFrame, edges: DataFrame, cell: float, when: str, more: tuple[str, ...], own: bool) -> DataFrame:
+    box = [f(g(f"p{c}", f"q{c}")).alias(f"{c}{n}") for c in "xy" for f, g, n in ((F.min, F.least, "min"), (F.max, F.greatest, "max"))]
+    found = edges.groupBy("id", *more).agg(F.collect_list(F.struct(*EDGE)).alias("_edges"), *box)
+    pairs = lines.join(found.hint("merge"), "id").where(when) if own else meetings(lines, found, cell, when)
+    side = lambda p: f"(x2 - x1) * (e.{p}y - y1) - (y2 - y1) * (e.{p}x - x1)"
+    on = lambda c: f"s.e.p{c} + (s.e.q{c} - s.e.p{c}) * (s.a / (s.a - s.b)) - {c}1"
+    sides = f"filter(transform(_edges, e -> struct(e, {side('p')} as a, {side('q')} as b)), s -> (s.a >= 0) <> (s.b >= 0))"
+    t = f"transform({sides}, s -> (({on('x')}) * (x2 - x1) + ({on('y')}) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))"
+    hits = pairs.withColumn("_t", F.sort_array(F.expr(t))).where("size(_t) > 0").drop("_edges", "xmin", "ymin", "xmax", "ymax")
+    runs = hits.withColumn("_r", F.explode(F.expr("transform(sequence(0, size(_t) - 1, 2), i -> struct(greatest(_t[i], 0D) as t1, least(get(_t, i + 1), 1D) as t2))"))).drop("_t")
+    return runs.select(*[c for c in runs.columns if c != "_r"], "_r.t2", "_r.t1").where("t1 < t2")
+
+
+def _many_edges_runs(lines: DataFrame, edges: DataFrame, keys: list[str], cell: float, when: str, more: tuple[str, ...], own: bool) -> DataFrame:
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     found = boxes(edges, *more)
-    pairs = lines.join(found, "id").where(when) if own else meetings(lines, found, keys, cell, when)
+    pairs = lines.join(found, "id").where(when) if own else meetings(lines, found, cell, when)
     # strips of the line as far as it runs through the polygon's box
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     y_at = lambda x: F.col("y1") + (F.col(x) - F.col("x1")) * dy / F.nullif(dx, F.lit(0.0))
     low = F.greatest("ymin", F.coalesce(F.least(y_at("xmin"), y_at("xmax")), F.col("ymin")))
     high = F.least("ymax", F.coalesce(F.greatest(y_at("xmin"), y_at("xmax")), F.col("ymax")))
@@ -101,9 +144,18 @@ def part(runs: DataFrame) -> DataFrame:
     return runs.select(*[c for c in runs.columns if c not in (*ENDS, "t1", "t2")], *[e.alias(c) for e, c in zip(ends, ENDS)])
 
 
+def by_shape(lines: DataFrame, more: list[str], found) -> DataFrame:
+    """The lines' other columns with what `found` makes of their shapes: of each place and `more` once, however many lines have it."""
+    keys = [*ENDS, *more]
+    shapes = found(lines.where("x1 <> x2 or y1 <> y2").select(*keys).distinct(), keys)
+    own, each = lines.alias("own"), shapes.alias("each").hint("merge")
+    same = [F.col(f"own.{c}").eqNullSafe(F.col(f"each.{c}")) for c in keys]
+    return own.join(each, same).select("own.*", *[f"each.{c}" for c in shapes.columns if c not in keys])
+
+
 def clip_lines(lines: DataFrame, edges: DataFrame, keys: list[str], cell: float = CELL, own: bool = False) -> DataFrame:
-    """The lines' parts inside each polygon, with its id."""
-    return part(inside_runs(lines, edges, keys, cell, own=own))
+    """The lines' parts inside each polygon, with its id; lines of equal ends are clipped once."""
+    return part(by_shape(lines, ["id"] if own else [], lambda shapes, k: inside_runs(shapes, edges, k, cell, own=own)))
 
 
 def outside_runs(lines: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:

@@ -125,3 +125,44 @@ def test_joins_are_by_cells(scene):
     z, s = scene[3:]
     plan = polygons.subtract_zones(s, z, ["layer", "seq"])._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def _crowd(spark, corners=9):
+    """120 lines, some twice, some upright, level or points; 25 stars that overlap them."""
+    rng = np.random.default_rng(9)
+    ends = [tuple(map(float, r)) for r in rng.integers(-20, 40, (80, 4))] + [tuple(map(float, r)) for r in rng.uniform(-20, 40, (20, 4))]
+    ends += [(5.0, -9.0, 5.0, 30.0), (-9.0, 8.0, 33.0, 8.0), (3.0, 3.0, 3.0, 3.0)] + ends[:17]
+    lines = spark.createDataFrame([(i % 4 if i % 9 else None, i, *e) for i, e in enumerate(ends)], "layer int, seq long, x1 double, y1 double, x2 double, y2 double")
+    edges = []
+    for i in range(25):
+        cx, cy, r = rng.uniform(-10, 30), rng.uniform(-10, 30), rng.uniform(2, 12, corners)
+        at = [(cx + r[k] * np.cos(2 * np.pi * k / corners), cy + r[k] * np.sin(2 * np.pi * k / corners)) for k in range(corners)]
+        edges += [(i, i % 4, k, *map(float, (*at[k], *at[(k + 1) % corners]))) for k in range(corners)]
+    return lines, spark.createDataFrame(edges, "id long, zone_rank int, k int, px double, py double, qx double, qy double")
+
+
+def test_polygons_of_few_and_of_many_edges_give_the_same(spark, monkeypatch):
+    lines, edges = _crowd(spark)
+    found = lambda: sorted(map(str, polygons.part(polygons.inside_runs(lines, edges, ["layer", "seq"])).collect()))
+    want = found()
+    monkeypatch.setattr(polygons, "FEW_EDGES", 3)
+    assert found() == want and len(want) > 300
+
+
+def test_a_line_and_a_polygon_meet_once(spark):
+    lines, edges = _crowd(spark)
+    pairs = polygons.meetings(lines, polygons.boxes(edges), 3.0).select("seq", "id").collect()
+    assert len(pairs) == len(set(pairs)) > 500
+    # dealt out where lines meet boxes, and nowhere behind
+    plan = polygons.inside_runs(lines, edges, ["layer", "seq"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 3
+
+
+def test_lines_of_equal_ends_keep_their_own_rows(spark):
+    lines, edges = _crowd(spark)
+    each = polygons.part(polygons.inside_runs(lines, edges, ["layer", "seq"])).select("layer", "seq", "id", *polygons.ENDS)
+    got = polygons.clip_lines(lines, edges, ["layer", "seq"]).select("layer", "seq", "id", *polygons.ENDS)
+    assert sorted(map(str, got.collect())) == sorted(map(str, each.collect()))
+    left = polygons.subtract_zones(lines, edges, ["layer", "seq"]).collect()
+    assert {r["seq"] for r in left if r["layer"] is None} == {i for i in range(120) if i % 9 == 0}
+    assert len({(r["seq"], r["part"]) for r in left}) == len(left)
