@@ -170,11 +170,14 @@ def outside_runs(lines: DataFrame, runs: DataFrame, keys: list[str]) -> DataFram
 def subtract_zones(lines: DataFrame, zones: DataFrame, keys: list[str], layer: str = "layer", cell: float = CELL) -> DataFrame:
     """The lines' parts outside all zones (edges with zone_rank) of layers drawn before theirs, numbered by `part`.
 
-    One pass for all layers: what a line loses depends on the zones' ranks only, not on the order of subtraction.
+    One pass for all layers: what a line loses depends on the zones' ranks only, not on the order of subtraction. Lines of
+    equal ends and layer are cut once.
     """
-    runs = inside_runs(lines, zones, keys, cell, f"zone_rank < {layer}", ("zone_rank",))
-    left = outside_runs(lines, runs, keys)
-    return part(left.withColumn("part", F.row_number().over(Window.partitionBy(*keys).orderBy("t1"))))
+    def left(shapes: DataFrame, k: list[str]) -> DataFrame:
+        rest = outside_runs(shapes, inside_runs(shapes, zones, k, cell, f"zone_rank < {layer}", ("zone_rank",)), k)
+        return rest.withColumn("part", F.row_number().over(Window.partitionBy(*k).orderBy("t1")))
+
+    return part(by_shape(lines, [layer], left))
 
 
 def as_lines(edges: DataFrame, own: str) -> DataFrame:
